@@ -66,7 +66,8 @@ if __name__ == "__main__":
         try:
             sql = e.oracle_sql().get(name)
             if sql is None:
-                found = f"(no SQL) {e.queries()[name](spark, sf_dir).count()} rows"
+                got = e.queries()[name](spark, sf_dir).collect()
+                found = f"(no SQL) {len(got)} rows {got[:3]}"
             else:
                 found = compare(spark, con, name, sf_dir, e.queries()[name], sql)
         except Exception as err:  # report and go on with the next query

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from txnrisk.functions import cleaning
 from txnrisk.operators.profile import numeric_columns
-from txnrisk.operators.ranks import one_column_quantiles
+from txnrisk.operators.ranks import fit_quantiles
 
 ID_COLUMNS = ["transaction_id", "customer_id", "timestamp"]
 
@@ -36,29 +36,35 @@ def drop_duplicates(df: DataFrame) -> DataFrame:
     return df.dropDuplicates()
 
 
-def iqr_bounds(df: DataFrame, column: str, k: float = 1.5, approx: bool = False) -> Column:
-    """struct(lower, upper) as a scalar: quartiles moved out by k times their distance."""
-    quartiles = one_column_quantiles(df, column, [0.25, 0.75], approx)
+def iqr_bounds(df: DataFrame, column: str, k: float = 1.5, approx: bool = False) -> tuple[float | None, float | None]:
+    """(lower, upper): the quartiles moved out by k times their distance; (None, None) without values."""
+    quartiles = fit_quantiles(df, column, [0.25, 0.75], approx)
+    if quartiles is None:
+        return None, None
     reach = (quartiles[1] - quartiles[0]) * k
-    return F.struct((quartiles[0] - reach).alias("lower"), (quartiles[1] + reach).alias("upper"))
+    return quartiles[0] - reach, quartiles[1] + reach
+
+
+def _outside(column: str, bounds: tuple[float | None, float | None]) -> Column:
+    return (F.col(column) < F.lit(bounds[0])) | (F.col(column) > F.lit(bounds[1]))
 
 
 def outlier_bounds(df: DataFrame, column: str, k: float = 1.5, approx: bool = False) -> DataFrame:
     """One row: lower and upper bound and the number of rows strictly outside."""
     bounds = iqr_bounds(df, column, k, approx)
-    outside = (F.col(column) < bounds["lower"]) | (F.col(column) > bounds["upper"])
-    return df.agg(F.count_if(outside).alias("outliers")).select(bounds["lower"].alias("lower"), bounds["upper"].alias("upper"), "outliers")
+    return df.agg(F.lit(bounds[0]).cast("double").alias("lower"), F.lit(bounds[1]).cast("double").alias("upper"),
+                  F.count_if(_outside(column, bounds)).alias("outliers"))
 
 
 def outliers(df: DataFrame, column: str, k: float = 1.5, approx: bool = False) -> DataFrame:
-    bounds = iqr_bounds(df, column, k, approx)
-    return df.filter((F.col(column) < bounds["lower"]) | (F.col(column) > bounds["upper"]))
+    return df.filter(_outside(column, iqr_bounds(df, column, k, approx)))
 
 
 def winsorize(df: DataFrame, column: str, k: float = 1.5, approx: bool = False) -> DataFrame:
     """Clip to the outlier bounds; null stays null."""
-    bounds, value = iqr_bounds(df, column, k, approx), F.col(column).cast("double")
-    return df.withColumn(column, F.when(value.isNotNull(), F.least(F.greatest(value, bounds["lower"]), bounds["upper"])))
+    (lower, upper), value = iqr_bounds(df, column, k, approx), F.col(column).cast("double")
+    clipped = F.least(F.greatest(value, F.lit(lower)), F.lit(upper))
+    return df.withColumn(column, F.when(value.isNotNull(), clipped))
 
 
 def parse_timestamp(df: DataFrame, column: str = "timestamp") -> DataFrame:

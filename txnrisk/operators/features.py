@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from txnrisk.functions import cleaning
 from txnrisk.operators.joins import skew_join
-from txnrisk.operators.ranks import one_column_quantiles
+from txnrisk.operators.ranks import fit_quantiles
 
 HIGH_QUANTILE = 0.95
 SMALL_BATCH = 20
@@ -35,16 +35,17 @@ def log_amount(col: Column) -> Column:
 
 
 def high_amount_cut(df: DataFrame, column: str = "amount", q: float = HIGH_QUANTILE,
-                    small_n: int = SMALL_BATCH, floor: float = SMALL_BATCH_FLOOR, approx: bool = False) -> Column:
-    """The batch quantile as a scalar; a fixed floor for a batch of at most ``small_n`` rows."""
-    rows = df.agg(F.count("*")).scalar()
-    return F.when(rows > small_n, one_column_quantiles(df, column, [q], approx)[0]).otherwise(F.lit(floor))
+                    small_n: int = SMALL_BATCH, floor: float = SMALL_BATCH_FLOOR, approx: bool = False) -> float:
+    """The batch quantile; a fixed floor for a batch of at most ``small_n`` rows."""
+    if df.limit(small_n + 1).count() <= small_n:
+        return floor
+    quantile = fit_quantiles(df, column, [q], approx)
+    return quantile[0] if quantile else floor
 
 
-def high_amount(df: DataFrame, column: str = "amount", cut: Column | float | None = None, approx: bool = False) -> DataFrame:
+def high_amount(df: DataFrame, column: str = "amount", cut: float | None = None, approx: bool = False) -> DataFrame:
     """Flag amounts strictly above the cut: a fitted one where given, else the batch's own."""
-    if cut is None:
-        cut = high_amount_cut(df, column, approx=approx)
+    cut = high_amount_cut(df, column, approx=approx) if cut is None else cut
     return df.withColumn("high_amount", F.when(F.col(column) > cut, 1).otherwise(0))
 
 
@@ -130,7 +131,7 @@ def chi2_scores(df: DataFrame, columns: list[str], label: str = "is_fraud") -> D
             .orderBy(F.desc("score"), "feature"))
 
 
-def risk_features(df: DataFrame, cut: Column | float) -> DataFrame:
+def risk_features(df: DataFrame, cut: float) -> DataFrame:
     """The model's features from raw transaction fields, the same in training, batch and stream.
 
     ``cut`` is the fitted amount above which ``high_amount`` is set.

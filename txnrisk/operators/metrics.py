@@ -30,19 +30,24 @@ def pr_curve(df: DataFrame, score: str = "ml_prob", label: str = "is_fraud") ->
         "threshold", (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), recall.alias("recall"), "tp", "fp")
 
 
-def average_precision(df: DataFrame, score: str = "ml_prob", label: str = "is_fraud") -> DataFrame:
-    """One row: the sum of precision times recall step; 0 without positives."""
+def areas(df: DataFrame, score: str = "ml_prob", label: str = "is_fraud") -> DataFrame:
+    """One row, from one pass down the scores. ``average_precision``: the sum of precision times recall step,
+    0 without positives. ``roc_auc``: ties count half; 0 where only one class occurs."""
     step = F.col("pos") * (F.col("tp") / (F.col("tp") + F.col("fp")))
-    return _cumulated(df, score, label).agg(ratio(F.sum(step), F.sum("pos")).alias("average_precision"))
-
-
-def roc_auc(df: DataFrame, score: str = "ml_prob", label: str = "is_fraud") -> DataFrame:
-    """One row: the area with ties counted half; 0 where only one class occurs."""
     above = F.col("neg") * (F.col("tp") - F.col("pos") / F.lit(2.0))
     return _cumulated(df, score, label).agg(
+        ratio(F.sum(step), F.sum("pos")).alias("average_precision"),
         ratio(F.sum(above), F.sum("pos").cast("double") * F.sum("neg")).alias("roc_auc"))
 
 
+def average_precision(df: DataFrame, score: str = "ml_prob", label: str = "is_fraud") -> DataFrame:
+    return areas(df, score, label).select("average_precision")
+
+
+def roc_auc(df: DataFrame, score: str = "ml_prob", label: str = "is_fraud") -> DataFrame:
+    return areas(df, score, label).select("roc_auc")
+
+
 def best_threshold(df: DataFrame, target_recall: float = 0.8, score: str = "ml_prob", label: str = "is_fraud") -> DataFrame:
     """One row: the threshold of highest precision among those that reach the target recall, the lowest on ties;
     where none reaches it, the threshold of highest F1."""

@@ -115,6 +115,8 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], by: l
     return at_rank.select(*keys, "n", F.array(*[interpolated(p) for p in probs]).alias("quantiles"))
 
 
-def one_column_quantiles(df: DataFrame, column: str, probs: list[float], approx: bool = False) -> Column:
-    """The quantile array of one column as a scalar, usable in any expression."""
-    return exact_quantiles(df, [column], probs, approx=approx).select("quantiles").scalar()
+def fit_quantiles(df: DataFrame, column: str, probs: list[float], approx: bool = False) -> list[float] | None:
+    """The quantiles of one column as numbers (None without values), so that what is built from
+    them holds plain literals: filters on them reach the scan."""
+    row = exact_quantiles(df, [column], probs, approx=approx).first()
+    return row and list(row["quantiles"])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from txnrisk.operators import metrics
 from txnrisk.operators.joins import skew_join
@@ -39,22 +39,20 @@ def labelled_metrics(txns: DataFrame, user_id: int) -> DataFrame:
     themselves (``self_consistency``, whose accuracy is always 1); ``none`` without transactions.
     """
     mine = txns.filter(F.col("user_id") == user_id).select("predicted", "probability", "actual_label")
-    labelled = mine.agg(F.count("actual_label")).scalar() > 0
-    truth = F.when(labelled, F.col("actual_label")).otherwise(F.col("predicted"))
-    judged = mine.withColumn("truth", truth).filter(F.col("truth").isNotNull())
-    one = metrics.binary_scores(judged, "predicted", "truth")
-    kind = F.when(F.col("n") == 0, "none").when(labelled, "real").otherwise("self_consistency")
-    said = (F.when(F.col("n") == 0, "No transactions available yet")
-            .when(labelled, F.concat(F.lit("Based on "), F.col("n").cast("string"), F.lit(" reviewed transactions")))
-            .otherwise(F.concat(F.lit("Based on "), F.col("n").cast("string"),
-                                F.lit(" total transactions (self-consistency check)"))))
-    auc = F.coalesce(metrics.roc_auc(judged, "probability", "truth").scalar(), F.lit(0.0))
-
-    def rounded(col: str | Column, name: str) -> Column:
-        return F.round(col, 4).alias(name)
-
-    return one.select(
-        rounded("accuracy", "accuracy"), rounded("precision", "precision"), rounded("recall", "recall"),
-        rounded("f1", "f1_score"), F.col("tp").alias("true_positives"), F.col("tn").alias("true_negatives"),
-        F.col("fp").alias("false_positives"), F.col("fn").alias("false_negatives"), rounded(auc, "auc"),
-        F.when(labelled, F.col("n")).otherwise(0).alias("labeled_count"), kind.alias("metrics_type"), said.alias("message"))
+    reviewed = mine.filter(F.col("actual_label").isNotNull())
+    # Looking for one labelled row decides the branch, so only that branch is planned.
+    real = not reviewed.isEmpty()
+    judged = reviewed.withColumn("truth", F.col("actual_label")) if real else mine.withColumn("truth", F.col("predicted"))
+    n, kind = F.col("n"), "real" if real else "self_consistency"
+    said = " reviewed transactions" if real else " total transactions (self-consistency check)"
+    auc = metrics.roc_auc(judged, "probability", "truth").scalar()
+    rounded = [F.round(F.col(c), 4).alias(name) for c, name in
+               [("accuracy", "accuracy"), ("precision", "precision"), ("recall", "recall"), ("f1", "f1_score")]]
+    counts = [F.col(c).alias(name) for c, name in [("tp", "true_positives"), ("tn", "true_negatives"),
+                                                   ("fp", "false_positives"), ("fn", "false_negatives")]]
+    return metrics.binary_scores(judged, "predicted", "truth").select(
+        *rounded, *counts, F.round(F.coalesce(auc, F.lit(0.0)), 4).alias("auc"),
+        (n if real else F.lit(0).cast("long")).alias("labeled_count"),
+        F.when(n == 0, "none").otherwise(kind).alias("metrics_type"),
+        F.when(n == 0, "No transactions available yet")
+        .otherwise(F.concat(F.lit("Based on "), n.cast("string"), F.lit(said))).alias("message"))

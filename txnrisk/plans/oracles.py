@@ -360,4 +360,12 @@ ORACLES: dict[str, str] = {
     "apply_labels": chain(ORDERS, extra=_LABEL_EVENTS) + "SELECT transaction_id, actual_label FROM lab",
     "labelled_metrics": chain(ORDERS) + _user_metrics(3, "actual_label", "actual_label IS NOT NULL", "real"),
     "self_consistency_metrics": chain(EVENTS) + _user_metrics(5, "predicted", "true", "self_consistency"),
+    # Stored records and resampling
+    "stored_transactions": chain(ORDERS) + """SELECT transaction_id AS id, user_id, to_json({'transaction_id': transaction_id::VARCHAR, 'customer_id': customer_id::VARCHAR,
+        'account_age_days': account_age_days::VARCHAR, 'channel': channel::VARCHAR, 'kyc_verified': kyc_verified})::VARCHAR AS data, predicted, probability FROM scored""",
+    "parsed_records": txn(ORDERS) + """SELECT transaction_id, CASE WHEN transaction_id % 3 < 2 THEN channel::VARCHAR END AS channel, CASE WHEN transaction_id % 3 < 2 THEN kyc_verified END AS kyc_verified,
+        CASE WHEN transaction_id % 3 = 1 THEN 'it is None, True' END AS note, NULL::VARCHAR AS path, CASE WHEN transaction_id % 3 = 1 THEN 'true' END AS checked,
+        CASE WHEN transaction_id % 3 = 2 THEN '<row ' || transaction_id || '>' END AS raw_data, CASE WHEN transaction_id % 3 = 2 THEN 'true' END AS parse_error FROM txn""",
+    "smote_counts": txn(ORDERS) + """, c AS (SELECT is_fraud, count(*) AS n FROM txn GROUP BY 1)
+        SELECT is_fraud, 0 AS synthetic, n FROM c UNION ALL SELECT arg_min(is_fraud, n), 1, max(n) - min(n) FROM c""",
 }

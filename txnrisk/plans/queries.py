@@ -7,9 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from txnrisk.functions import cleaning, fusion, reasons, rules
-from txnrisk.operators import alerts, clean, features, metrics, profile, scaling, split
-from txnrisk.plans import analytics, labels, views
+from txnrisk.operators import alerts, clean, features, metrics, models, profile, scaling, split
+from txnrisk.operators.smote import smote
+from txnrisk.plans import analytics, labels, training, views
+from txnrisk.plans.scoring import score
 from txnrisk.plans.views import read_table, txn_events, txn_orders
+from txnrisk.sources.records import parse_record
+from txnrisk.sources.sinks import transaction_rows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -613,3 +617,81 @@ def labelled_metrics(spark, sf):
 def self_consistency_metrics(spark, sf):
     unlabelled = scored_events(spark, sf).withColumn("actual_label", F.lit(None).cast("int"))
     return labels.labelled_metrics(unlabelled, 5)
+
+
+# ---- Stored records
+
+@query
+def stored_transactions(spark, sf):
+    """The rows the transaction sink appends, with the record as JSON text."""
+    fields = ["transaction_id", "customer_id", "account_age_days", "channel", "kyc_verified"]
+    text = scored_orders(spark, sf).withColumns({c: F.col(c).cast("string") for c in fields})
+    return transaction_rows(text, fields).drop("created_at", "kyc_document_path", "actual_label")
+
+
+@query
+def parsed_records(spark, sf):
+    """Records stored as JSON, as a Python-literal dict, and as junk, by turns."""
+    tid, channel, kyc = F.col("transaction_id"), F.col("channel").cast("string"), F.col("kyc_verified")
+    as_json = F.to_json(F.struct("channel", "kyc_verified"))
+    as_literal = F.concat(F.lit("{'channel': "), channel, F.lit(", 'kyc_verified': '"), kyc,
+                          F.lit("', 'note': 'it is None, True', 'path': None, 'checked': True}"))
+    junk = F.concat(F.lit("<row "), tid.cast("string"), F.lit(">"))
+    text = F.when(tid % 3 == 0, as_json).when(tid % 3 == 1, as_literal).otherwise(junk)
+    record = txn_orders(spark, sf).select("transaction_id", parse_record(text).alias("record"))
+    names = ("channel", "kyc_verified", "note", "path", "checked", "raw_data", "parse_error")
+    return record.select("transaction_id", *[F.col("record")[n].alias(n) for n in names])
+
+
+# ---- Resampling and models (fitted models have no SQL twin)
+
+_MODEL_FEATURES = ["transaction_amount", "account_age_days", "channel", "ml_prob"]
+
+
+def _model_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scaling.robust_scale(txn_orders(spark, sf_dir).select("transaction_id", "is_fraud", *_MODEL_FEATURES), _MODEL_FEATURES)
+
+
+@query
+def smote_counts(spark, sf):
+    """Rows per class and origin after balancing; the real rows all stay."""
+    return smote(_model_rows(spark, sf), _MODEL_FEATURES).groupBy("is_fraud", F.col("synthetic").cast("int").alias("synthetic")).agg(F.count("*").alias("n"))
+
+
+@query
+def feature_importance(spark, sf):
+    return models.feature_importance(_model_rows(spark, sf), _MODEL_FEATURES, trees=20, depth=6)
+
+
+# The hidden probability behind the views' labels, offered to the models as one more field.
+_SIGNAL = [*training.NUMERIC, "signal"]
+
+
+def _with_signal(t: DataFrame) -> DataFrame:
+    return t.withColumnRenamed("ml_prob", "signal")
+
+
+@query
+def model_comparison(spark, sf):
+    return training.train(_with_signal(txn_orders(spark, sf)), numeric=_SIGNAL).results
+
+
+@query
+def wide_model_comparison(spark, sf):
+    """The five-model comparison with shallower trees, ranked by F1."""
+    def candidates(rows: int) -> dict:
+        return {"Logistic Regression": models.logistic(rows, "default", max_iter=50), "Decision Tree": models.tree("small"),
+                "Random Forest": models.forest("small", balanced=False), "SVM": models.linear_svm(max_iter=20),
+                "Boosted": models.boosted("default", rounds=10, depth=3)}
+
+    got = training.train(_with_signal(txn_orders(spark, sf)), test_fraction=0.2, balance="none", candidates=candidates, numeric=_SIGNAL)
+    return metrics.compare_models(got.results, "f1")
+
+
+@query
+def trained_scores(spark, sf):
+    """Events scored by a model trained on them: probability, rules, decision."""
+    t = _with_signal(txn_events(spark, sf))
+    only = lambda rows: {"LogisticRegression": models.logistic(rows, max_iter=50)}
+    fitted = training.train(t, candidates=only, numeric=_SIGNAL).bundle
+    return score(t, fitted).select("transaction_id", "ml_prob", "rule_score", "risk_score", "final_label")
