@@ -39,9 +39,8 @@ def rows_of(columns: list[str], rows: list[tuple]) -> tuple[list[str], list[tupl
     return [columns[i] for i in order], sorted(plain, key=repr)
 
 
-def compare(spark, con, name: str, sf_dir: str, query, sql: str) -> str | None:
-    """None where both agree, else what differs."""
-    df = query(spark, sf_dir)
+def compare(df, con, sql: str) -> str | None:
+    """None where the frame and the SQL agree, else what differs."""
     mine = rows_of(df.columns, [tuple(r) for r in df.collect()])
     cursor = con.execute(sql)
     theirs = rows_of([d[0] for d in cursor.description], cursor.fetchall())
@@ -69,7 +68,7 @@ if __name__ == "__main__":
                 got = e.queries()[name](spark, sf_dir).collect()
                 found = f"(no SQL) {len(got)} rows {got[:3]}"
             else:
-                found = compare(spark, con, name, sf_dir, e.queries()[name], sql)
+                found = compare(e.queries()[name](spark, sf_dir), con, sql)
         except Exception as err:  # report and go on with the next query
             found = f"{type(err).__name__}: {str(err)[:600]}"
         bad += found is not None and not found.startswith("(no SQL)")

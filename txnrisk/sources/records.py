@@ -4,16 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-# A quoted string, either kind of quote, with backslash escapes.
-_QUOTED = r"'(?:[^'\\]|\\.)*+'" + r'|"(?:[^"\\]|\\.)*+"'
+# A quoted text, a run without quotes, or a stray quote.
+_PIECES = r"""'[^']*+'|"[^"]*+"|[^'"]++|['"]"""
+# Escaped characters and what stands for them meanwhile: control characters, which neither notation has unescaped.
+_ESCAPES = {"\\\\": "\u0001", "\\'": "\u0002", '\\"': "\u0003"}
 # Python-literal keywords and the JSON words for them.
 _KEYWORDS = {"None": "null", "True": "true", "False": "false"}
 
 
 def _json_words(col: Column) -> Column:
-    """Replace Python's keywords by JSON's, outside quoted text."""
-    for word, json_word in _KEYWORDS.items():
-        col = F.regexp_replace(col, rf"\G((?:[^'\"]|{_QUOTED})*?)\b{word}\b", f"$1{json_word}")
+    """Write Python's keywords outside quoted text, and its two-digit character codes, as JSON does."""
+    def plain(piece: Column) -> Column:
+        for word, json_word in _KEYWORDS.items():
+            piece = F.regexp_replace(piece, rf"\b{word}\b", json_word)
+        return piece
+
+    for escaped, mark in _ESCAPES.items():
+        col = F.replace(col, F.lit(escaped), F.lit(mark))
+    col = F.regexp_replace(col, r"\\x([0-9a-fA-F]{2})", r"\\u00$1")
+    pieces = F.regexp_extract_all(col, F.lit(_PIECES), F.lit(0))
+    col = F.array_join(F.transform(pieces, lambda p: F.when(p.rlike("^['\"]"), p).otherwise(plain(p))), "")
+    for escaped, mark in _ESCAPES.items():
+        col = F.replace(col, F.lit(mark), F.lit(escaped))
     return col
 
 

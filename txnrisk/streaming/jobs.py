@@ -4,15 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import TimestampType
 
+from txnrisk.functions import cleaning
 from txnrisk.operators.alerts import build_alerts
 from txnrisk.plans.scoring import score
 from txnrisk.sources.bundle import Bundle
 
 
 def score_stream(stream: DataFrame, bundle: Bundle) -> DataFrame:
-    """Scored transactions; ``created_at`` is the transaction's own time."""
-    return score(stream, bundle).withColumn("created_at", F.col("timestamp").try_cast("timestamp"))
+    """Scored transactions; ``created_at`` is the transaction's own time (and keeps its watermark)."""
+    when = F.col("timestamp")
+    if stream.schema["timestamp"].dataType != TimestampType():
+        when = cleaning.to_timestamp(when)
+    return score(stream, bundle).withColumn("created_at", when)
 
 
 def write_alert_batch(alerts: DataFrame, batch_id: int, path: str) -> None:
@@ -29,17 +34,22 @@ def alert_stream(scored: DataFrame, path: str, checkpoint: str, **trigger) -> St
             .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start())
 
 
-def trend_stream(alerts: DataFrame, late: str = "1 day") -> DataFrame:
+def _late(stream: DataFrame, time: str, late: str | None) -> DataFrame:
+    """A stream has one watermark: pass None where it was set before, as by ``dedup_stream``."""
+    return stream.withWatermark(time, late) if late else stream
+
+
+def trend_stream(alerts: DataFrame, late: str | None = "1 day") -> DataFrame:
     """Alerts and mean risk per day; rows later than the watermark are dropped."""
-    return (alerts.withWatermark("created_at", late).groupBy(F.window("created_at", "1 day").alias("day"))
+    return (_late(alerts, "created_at", late).groupBy(F.window("created_at", "1 day").alias("day"))
             .agg(F.count("*").alias("count"), F.avg("risk_score").alias("avg_risk"))
             .select(F.col("day.start").alias("day_start"), "count", "avg_risk"))
 
 
-def velocity_stream(transactions: DataFrame, late: str = "1 hour", step: str = "1 hour") -> DataFrame:
+def velocity_stream(transactions: DataFrame, late: str | None = "1 hour", step: str = "1 hour") -> DataFrame:
     """Transactions per customer in 24-hour windows that start every ``step``. The exact count per
     transaction is the batch operator's."""
-    return (transactions.withWatermark("timestamp", late)
+    return (_late(transactions, "timestamp", late)
             .groupBy(F.window("timestamp", "24 hours", step).alias("span"), "customer_id").agg(F.count("*").alias("txn_count"))
             .select("customer_id", F.col("span.start").alias("from"), F.col("span.end").alias("to"), "txn_count"))
 
