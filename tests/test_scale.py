@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from txnrisk.operators import features, neighbours, profile
-from txnrisk.operators.joins import skew_join
+from txnrisk.operators.joins import hot_keys, skew_join
 from txnrisk.operators.ranks import exact_quantiles, running_sums
 from txnrisk.operators.smote import smote, synthetic_rows
 
@@ -54,7 +54,7 @@ def test_quantiles_by_group_skip_null_and_nan(spark):
 def test_unbounded_groups_take_the_shuffle_path(spark, monkeypatch):
     from txnrisk.operators import ranks
 
-    monkeypatch.setattr(ranks, "broadcast_if_small", lambda df: df)
+    monkeypatch.setattr(ranks, "broadcast_if_few", lambda df, by: lambda rows: rows)
     pdf = pd.DataFrame({"g": np.arange(600) % 50, "x": np.arange(600.0)})
     got = exact_quantiles(spark.createDataFrame(pdf), ["x"], [0.5], ["g"]).collect()
     assert {r["g"]: r["quantiles"][0] for r in got} == pdf.groupby("g")["x"].median().to_dict()
@@ -82,10 +82,12 @@ def test_skew_join_keeps_every_row(spark):
     assert got == {i: (k * 10 if k is not None and 1 <= k < 2500 else None) for i, k in enumerate(keys)}
 
 
-def test_hot_keys_never_shuffle(spark):
-    left = spark.createDataFrame([(1, i) for i in range(100)], "k int, i int")
-    plan = skew_join(left, left.groupBy("k").agg(F.max("i").alias("v")), ["k"])._jdf.queryExecution().toString()
-    assert "BroadcastHashJoin" in plan and "Cartesian" not in plan
+def test_only_hot_keys_are_broadcast(spark):
+    keys = [1] * 4000 + list(range(2, 3000))
+    left = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k int, i int")
+    counts = left.groupBy("k").agg(F.count("*").alias("n"))
+    assert [r["k"] for r in hot_keys(counts, ["k"]).collect()] == [1]
+    assert hot_keys(counts.filter("k > 1"), ["k"]) is None
 
 
 def test_velocity_with_hot_customer(spark):

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from txnrisk.session import computed_once
+
 # Model weight, alert cut-off, default decision threshold, rule cut-off.
 MODEL_WEIGHT = 0.6
 ALERT_RISK = 0.45
@@ -134,10 +136,10 @@ def with_decision(df: DataFrame, threshold: float = THRESHOLD, alert: float = AL
     """Add ``risk_score``, ``predicted``, ``final_label`` and ``confidence`` to a frame that has
     ``ml_prob``, ``rule_score`` and ``reasons``."""
     ml, rule, risk, label = F.col("ml_prob"), F.col("rule_score"), F.col("risk_score"), F.col("final_label")
-    return (df.withColumn("risk_score", fuse_risk(ml, rule, weight))
-            .withColumns({"predicted": (ml >= threshold).cast("int"),
-                          "final_label": final_label(ml, rule, risk, threshold, alert)})
-            .withColumn("confidence", confidence(label)))
+    fused = df.withColumn("risk_score", fuse_risk(ml, rule, weight))
+    decided = computed_once(fused, {"predicted": (ml >= threshold).cast("int"),
+                                    "final_label": final_label(ml, rule, risk, threshold, alert)})
+    return decided.withColumn("confidence", confidence(label))
 
 
 def score_result(df: DataFrame, weight: float = MODEL_WEIGHT, digits: int | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import NumericType
 
 from txnrisk.functions import cleaning
 
@@ -49,13 +50,19 @@ def with_rule_inputs(df: DataFrame, kyc_mode: str = "any") -> DataFrame:
     def field(name: str) -> Column:
         return F.col(name) if name in df.columns else F.lit(None).cast("string")
 
-    def usable(name: str, parsed: Column) -> Column:
-        text = F.trim(field(name).cast("string"))
-        return text.isNull() | parsed.isNotNull() | ((text == "") & F.lit(name == "transaction_amount"))
+    def usable(name: str, kind: str, *words: str) -> Column:
+        """Missing, one of the words, or of the wanted kind; a column that is a number already needs no look.
+
+        Known words are looked up first: casting a text that is no number is slow.
+        """
+        col = field(name)
+        if name in df.columns and isinstance(df.schema[name].dataType, NumericType):
+            return F.lit(True)
+        known = [F.lower(F.trim(col.cast("string"))).isin(*words)] if words else []
+        return reduce(lambda a, b: a | b, [col.isNull(), *known, col.try_cast(kind).isNotNull()])
 
     amount, age, channel = field("transaction_amount"), field("account_age_days"), field("channel")
     kyc, when = field("kyc_verified"), cleaning.to_timestamp(field("timestamp"))
-    kyc_words = F.lower(F.trim(kyc.cast("string"))).isin("yes", "y", "true", "no", "n", "false")
     return df.withColumns({
         "rule_amount": cleaning.number_or_zero(amount),
         "rule_age": cleaning.int_or_zero(age),
@@ -64,10 +71,8 @@ def with_rule_inputs(df: DataFrame, kyc_mode: str = "any") -> DataFrame:
         "rule_hour": F.hour(when),
         "rule_weekend": F.coalesce(F.weekday(when) >= 5, F.lit(False)),
         "rule_inputs_ok": (
-            usable("transaction_amount", amount.try_cast("double"))
-            & usable("account_age_days", age.try_cast("int"))
-            & usable("channel", channel.try_cast("int"))
-            & (usable("kyc_verified", kyc.try_cast("int")) | kyc_words)
+            usable("transaction_amount", "double", "") & usable("account_age_days", "int") & usable("channel", "int")
+            & usable("kyc_verified", "int", "yes", "y", "true", "no", "n", "false")
         ),
     })
 

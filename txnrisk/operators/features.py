@@ -79,19 +79,23 @@ def velocity_24h(df: DataFrame) -> DataFrame:
 
     Rows without a customer or time get 0.
     """
+    second = 1_000_000
     micros = F.unix_micros(F.col("timestamp").cast("timestamp"))
+    minute = F.floor(F.col("_us") / (_SLOT * second))
     known = F.col("customer_id").isNotNull() & F.col("timestamp").isNotNull()
-    per_time = (df.filter(known).groupBy("customer_id", micros.alias("_us")).agg(F.count("*").alias("n"))
-                .withColumn("_minute", F.floor(F.col("_us") / (_SLOT * 1_000_000))))
-    minutes = per_time.groupBy("customer_id", "_minute").agg(F.sum("n").alias("n"))
-    between = Window.partitionBy("customer_id").orderBy("_minute").rangeBetween(1 - _SLOTS, -1)
-    minutes = minutes.select("customer_id", "_minute", F.coalesce(F.sum("n").over(between), F.lit(0)).alias("_between"))
-    ends = (Window.partitionBy("customer_id", F.pmod("_minute", F.lit(_SLOTS))).orderBy("_us")
-            .rangeBetween(1 - _DAY * 1_000_000, 0))
-    counted = (per_time.withColumn("_ends", F.sum("n").over(ends)).join(minutes, ["customer_id", "_minute"])
-               .select("customer_id", "_us", (F.col("_ends") + F.col("_between")).alias("txn_last_24h")))
-    rows = df.withColumn("_us", micros)
-    joined = skew_join(rows, counted, ["customer_id", "_us"], per_time.select("customer_id", "_us", "n"))
+    per_time = df.filter(known).groupBy("customer_id", micros.alias("_us")).agg(F.count("*").alias("n"))
+    minutes = per_time.groupBy("customer_id", minute.alias("_minute")).agg(F.sum("n").alias("n"))
+    between = F.sum("n").over(Window.partitionBy("customer_id").orderBy("_minute").rangeBetween(1 - _SLOTS, -1))
+    # The total of the minutes between goes along as a mark at the start of its minute, so that the window
+    # over the ends picks it up and needs no join.
+    marks = minutes.select("customer_id", (F.col("_minute") * _SLOT * second).alias("_us"), F.lit(0).cast("long").alias("n"),
+                           F.coalesce(between, F.lit(0)).alias("_between"))
+    times = Window.partitionBy("customer_id", F.pmod(minute, F.lit(_SLOTS))).orderBy("_us")
+    ends = F.sum("n").over(times.rangeBetween(1 - _DAY * second, 0))
+    whole = F.last("_between", ignorenulls=True).over(times.rangeBetween(Window.unboundedPreceding, 0))
+    counted = (per_time.withColumn("_between", F.lit(None).cast("long")).unionByName(marks)
+               .select("customer_id", "_us", "n", (ends + whole).alias("txn_last_24h")).filter(F.col("n") > 0).drop("n"))
+    joined = skew_join(df.withColumn("_us", micros), counted, ["customer_id", "_us"], per_time)
     return joined.withColumn("txn_last_24h", F.coalesce("txn_last_24h", F.lit(0))).drop("_us")
 
 

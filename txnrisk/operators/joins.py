@@ -2,27 +2,35 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
-# Fewer than this many keys can each hold more than 1/HOT_KEYS of the rows.
+# Fewer than HOT_KEYS keys can each hold more than 1/HOT_KEYS of the rows, whatever the data.
 HOT_KEYS = 1000
 
 
+def hot_keys(counts: DataFrame, on: list[str]) -> DataFrame | None:
+    """The keys with more than 1/HOT_KEYS of all rows, as a local frame of fewer than HOT_KEYS rows; None where
+    there is none. ``counts`` has the key columns and ``n``; a null key joins nothing and is left out."""
+    total = counts.agg(F.sum("n")).scalar()
+    known = [F.col(key).isNotNull() for key in on]
+    found = counts.filter((F.col("n") * HOT_KEYS > total) & reduce(lambda a, b: a & b, known)).select(*on)
+    rows = found.collect()
+    return counts.sparkSession.createDataFrame(rows, found.schema) if rows else None
+
+
 def skew_join(left: DataFrame, right: DataFrame, on: list[str], counts: DataFrame | None = None) -> DataFrame:
     """Left join of ``left`` to ``right``, where ``right`` is unique on ``on``.
 
-    Keys with more than 1/1000 of the left rows (so fewer than 1000 keys, whatever the data) are
-    joined map-side: their right rows are broadcast and their left rows never shuffle. All other
-    keys take the ordinary join. ``counts`` (key columns and ``n``) may be passed where the caller
-    has it already; it is derived from ``left`` otherwise.
+    The rows of hot keys are joined map-side: the few right rows they need are broadcast and their left
+    rows never shuffle. All other keys take the ordinary join, which is the whole plan where no key is
+    hot. ``counts`` (key columns and ``n``) may be passed where the caller has it already.
     """
-    counts = counts if counts is not None else left.groupBy(*on).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n")).scalar()
-    keys = counts.filter(F.col("n") * HOT_KEYS > total)
-    for key in on:
-        keys = keys.filter(F.col(key).isNotNull())
-    hot = F.broadcast(keys.select(*on))
+    hot = hot_keys(counts if counts is not None else left.groupBy(*on).agg(F.count("*").alias("n")), on)
+    if hot is None:
+        return left.join(right, on, "left")
+    hot = F.broadcast(hot)
     hot_right = F.broadcast(right.join(hot, on, "left_semi"))
     hot_rows = left.join(hot, on, "left_semi").join(hot_right, on, "left")
-    cold_rows = left.join(hot, on, "left_anti").join(right, on, "left")
-    return hot_rows.unionByName(cold_rows)
+    return hot_rows.unionByName(left.join(hot, on, "left_anti").join(right, on, "left"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import NumericType
 
 from txnrisk.operators.ranks import exact_quantiles, long_values
-from txnrisk.session import broadcast_if_small
+from txnrisk.session import broadcast_if_few
 
 FIRST_ROWS = 5
 
@@ -91,12 +91,12 @@ def count_by_hour(df: DataFrame, label: str = "is_fraud") -> DataFrame:
 
 def box_stats(df: DataFrame, columns: list[str], by: str = "is_fraud", k: float = 1.5) -> DataFrame:
     """Per column and group: quartiles, the last values inside k times the quartile distance, and how many lie outside."""
-    keys = ["column", by]
-    quartiles = exact_quantiles(df, columns, [0.25, 0.5, 0.75], [by]).select(
+    keys, side = ["column", by], broadcast_if_few(df, [by])
+    quartiles = exact_quantiles(df, columns, [0.25, 0.5, 0.75], [by], side=side).select(
         *keys, *[F.get("quantiles", F.lit(i)).alias(f"q{i + 1}") for i in range(3)])
     reach, value = (F.col("q3") - F.col("q1")) * k, F.col("value")
     inside = (value >= F.col("q1") - reach) & (value <= F.col("q3") + reach)
-    return (long_values(df, columns, [by]).join(broadcast_if_small(quartiles), keys).groupBy(*keys)
+    return (long_values(df, columns, [by]).join(side(quartiles), keys).groupBy(*keys)
             .agg(F.first("q1").alias("q1"), F.first("q2").alias("median"), F.first("q3").alias("q3"),
                  F.min(F.when(inside, value)).alias("whisker_low"), F.max(F.when(inside, value)).alias("whisker_high"),
                  F.count_if(~inside).alias("outliers")))

@@ -6,11 +6,12 @@ work is spread; counts per piece are exact, so the results are exact for any cut
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from txnrisk.session import broadcast_if_small
+from txnrisk.session import broadcast_if_few
 
 # Running sums: pieces of the axis, a power of two. Each holds about 1 / BINS of the distinct values.
 _BIN_BITS = 12
@@ -62,12 +63,13 @@ def long_values(df: DataFrame, columns: list[str], by: list[str] | None = None)
 
 
 def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], by: list[str] | None = None,
-                    approx: bool = False) -> DataFrame:
+                    approx: bool = False, side: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """One row per (by..., column): ``n`` and the array ``quantiles``, linearly interpolated.
 
     Three column-pruned scans: a sketch places two cuts close around every wanted rank; the pieces
     between the cuts are counted; the few pieces that hold a wanted rank are read out, collapsed
-    to distinct values. With ``approx`` the sketch is the answer.
+    to distinct values. With ``approx`` the sketch is the answer. ``side`` hints the join with the
+    rows per group, where the caller has checked their number already.
     """
     by = by or []
     values, keys = long_values(df, columns, by), [*by, "column"]
@@ -78,8 +80,8 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], by: l
     cuts = [f"cut{i}" for i in range(len(around))]
     sketch = (values.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile_approx("value", around, _ACCURACY).alias("cuts"))
               .select(*keys, "n", *[F.get("cuts", F.lit(i)).alias(c) for i, c in enumerate(cuts)]))
-    # Without ``by`` there is one sketch row per column; with it, the number of groups is checked.
-    side = F.broadcast if not by else broadcast_if_small
+    # One sketch row per column and group; the number of groups is checked.
+    side = side or broadcast_if_few(df, by)
     piece = reduce(lambda a, b: a + b, [(F.col("value") >= F.col(c)).cast("int") for c in cuts])
     placed = values.join(side(sketch), keys).select(*keys, "value", "n", piece.alias("piece"))
 

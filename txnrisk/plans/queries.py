@@ -540,9 +540,8 @@ def fraud_by_customer_segment(spark, sf):
 
 @query
 def route_query(spark, sf):
-    text = F.col("text")
-    return read_table(spark, sf, "conversations").select(
-        "conv_id", "turn", analytics.route_query(text).alias("route"), analytics.route_days(text).alias("days"))
+    asked = read_table(spark, sf, "conversations").withColumn("route", analytics.route_query(F.col("text")))
+    return asked.select("conv_id", "turn", "route", analytics.route_days(F.col("route"), F.col("text")).alias("days"))
 
 
 @query

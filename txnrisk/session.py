@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # A broadcast side may hold at most this many (narrow, aggregated) rows.
 BROADCAST_ROWS = 10_000
@@ -33,14 +35,24 @@ def local_session(cores: int | str = 8, app: str = "txnrisk", **conf: str) -> Sp
     return spark
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only after counting that it has at most ``max_rows`` rows.
+def broadcast_if_few(df: DataFrame, keys: list[str], max_rows: int = BROADCAST_ROWS) -> Callable[[DataFrame], DataFrame]:
+    """``F.broadcast`` for frames with about one row per distinct key of ``df``, if there are few; else no hint.
+
+    The check reads the key columns only and counts at most ``max_rows + 1`` keys. Unhinted joins
+    shuffle, and adaptive execution splits their skewed partitions.
+    """
+    few = not keys or df.select(*keys).distinct().limit(max_rows + 1).count() <= max_rows
+    return F.broadcast if few else lambda side: side
+
+
+def computed_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns whose expressions are evaluated once per row.
 
-    The check counts at most ``max_rows + 1`` rows and, for a grouped aggregate, only reads
-    the grouping columns. A larger side is returned unhinted, so the join shuffles and
-    adaptive execution can split skewed partitions.
+    The optimizer replaces a column by its expression wherever a filter uses it, so a filter on a column
+    built in many steps evaluates every step many times over. A generator of one row stops that; filters
+    on other columns still move below it, and unused columns around it are still pruned.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
