@@ -13,9 +13,9 @@ SMALL_BATCH = 20
 SMALL_BATCH_FLOOR = 50000.0
 MAX_LEVELS = 10_000
 
-_DAY = 86_400
-_SLOT = 60
-_SLOTS = _DAY // _SLOT
+# In microseconds.
+_MINUTE = 60 * 1_000_000
+_DAY = 24 * 60 * _MINUTE
 
 
 def time_features(df: DataFrame, column: str = "timestamp") -> DataFrame:
@@ -70,31 +70,32 @@ def join_customer_stats(df: DataFrame, stats: DataFrame) -> DataFrame:
 def velocity_24h(df: DataFrame) -> DataFrame:
     """Add ``txn_last_24h``: the customer's transactions in (t - 24 h, t], same-time ones included.
 
-    A customer with a large share of the rows must not become one window partition, so the count
-    is put together from two balanced parts:
-
-    * the 1439 whole minutes between the minute of t - 24 h and the minute of t, from per-minute totals;
-    * the two minutes at the ends, which share their minute of the day: one window per customer
-      and minute of the day, over the distinct times only.
-
-    Rows without a customer or time get 0.
+    That is C(t) - C(t - 24 h), with C(x) the customer's transactions up to x. Every distinct time goes
+    in twice, as itself and as a probe 24 hours earlier. A customer with a large share of the rows must
+    not become one window partition, and a sliding frame would look at all of the 24 hours for each
+    row, so C is put together from two running sums: one over the customer's minutes, one inside
+    each minute. Rows without a customer or time get 0.
     """
-    second = 1_000_000
     micros = F.unix_micros(F.col("timestamp").cast("timestamp"))
-    minute = F.floor(F.col("_us") / (_SLOT * second))
+    minute = F.floor(F.col("_us") / _MINUTE)
     known = F.col("customer_id").isNotNull() & F.col("timestamp").isNotNull()
     per_time = df.filter(known).groupBy("customer_id", micros.alias("_us")).agg(F.count("*").alias("n"))
-    minutes = per_time.groupBy("customer_id", minute.alias("_minute")).agg(F.sum("n").alias("n"))
-    between = F.sum("n").over(Window.partitionBy("customer_id").orderBy("_minute").rangeBetween(1 - _SLOTS, -1))
-    # The total of the minutes between goes along as a mark at the start of its minute, so that the window
-    # over the ends picks it up and needs no join.
-    marks = minutes.select("customer_id", (F.col("_minute") * _SLOT * second).alias("_us"), F.lit(0).cast("long").alias("n"),
-                           F.coalesce(between, F.lit(0)).alias("_between"))
-    times = Window.partitionBy("customer_id", F.pmod(minute, F.lit(_SLOTS))).orderBy("_us")
-    ends = F.sum("n").over(times.rangeBetween(1 - _DAY * second, 0))
-    whole = F.last("_between", ignorenulls=True).over(times.rangeBetween(Window.unboundedPreceding, 0))
-    counted = (per_time.withColumn("_between", F.lit(None).cast("long")).unionByName(marks)
-               .select("customer_id", "_us", "n", (ends + whole).alias("txn_last_24h")).filter(F.col("n") > 0).drop("n"))
+
+    def rows(us: Column, n: Column, at: Column, sign: int, of: DataFrame) -> DataFrame:
+        return of.select("customer_id", us.alias("_us"), n.cast("long").alias("n"), at.cast("long").alias("_at"), F.lit(sign).alias("_sign"))
+
+    us = F.col("_us")
+    both = rows(us, F.col("n"), us, 1, per_time).unionByName(rows(us - _DAY, F.lit(0), us, -1, per_time))
+    minutes = both.groupBy("customer_id", minute.alias("_minute")).agg(F.sum("n").alias("n"))
+    # One row per customer and minute: bounded by the time the data spans.
+    earlier = Window.partitionBy("customer_id").orderBy("_minute").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("n").over(earlier), F.lit(0))
+    # What came before the minute goes along as a mark at its start, so the sum inside the minute needs no join.
+    marks = rows(F.col("_minute") * _MINUTE, F.col("before"), F.lit(None), 0, minutes.withColumn("before", before))
+    inside = Window.partitionBy("customer_id", minute).orderBy("_us").rangeBetween(Window.unboundedPreceding, 0)
+    counted = (both.unionByName(marks).select("customer_id", "_at", (F.sum("n").over(inside) * F.col("_sign")).alias("c"))
+               .filter(F.col("_at").isNotNull()).groupBy("customer_id", F.col("_at").alias("_us"))
+               .agg(F.sum("c").alias("txn_last_24h")))
     joined = skew_join(df.withColumn("_us", micros), counted, ["customer_id", "_us"], per_time)
     return joined.withColumn("txn_last_24h", F.coalesce("txn_last_24h", F.lit(0))).drop("_us")
 
