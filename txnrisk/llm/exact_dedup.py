@@ -172,7 +172,7 @@ def exact_dedup(docs: DataFrame, bits: int = 64) -> DataFrame:
     and text, one is kept. Empty tables give no rows; other columns are not read.
     """
     docs = needed(docs, "doc_id", "text")
-    marks = written(fingerprinted(docs, ["doc_id"], bits).withColumnRenamed("c0", "doc_id")).withColumn("row_no", F.monotonically_increasing_id())
+    marks = written(fingerprinted(docs, ["doc_id"], bits).withColumnRenamed("c0", "doc_id").withColumn("row_no", F.monotonically_increasing_id()))
     verified = copy_groups(docs, bits).select("fp", "text_sha256")
     keys = ["fp", "text_sha256"]
     picked = (

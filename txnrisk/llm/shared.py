@@ -3,18 +3,28 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the checkpoint folder, so that a lost executor loses none of it.
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below the one the cluster names in ``spark.checkpoint.dir``.
 
-    A cluster names the folder in ``spark.checkpoint.dir``; only where that is unset and no folder was set
-    before (a local session) a temporary one is taken.
+    Only where that is unset and the session has no checkpoint folder (a local session) a temporary one is taken.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+    return f"{context.getCheckpointDir()}/{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` computed once into a table in the shared folder, and read from there: a lost executor loses none of it, and later
+    readers take only the columns they need. The folder goes when the session ends."""
+    spark = df.sparkSession
+    folder = shared_folder(spark)
+    df.write.parquet(folder)
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(folder)
