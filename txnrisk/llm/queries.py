@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from txnrisk.llm import exact_dedup, language, lm, mixing, near_dedup, packing, repeats, token_counts, topk
+from txnrisk.llm import exact_dedup, language, lm, mixing, near_dedup, packing, quality, repeats, token_counts, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -77,6 +77,11 @@ def op8_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+@query
+def op9_quality_classifier(spark, sf_dir):
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op10_language_id(spark, sf_dir):
     return language.identify(table(spark, sf_dir, "documents"))
