@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from txnrisk.llm.shared import written
-from txnrisk.llm.text import needed, sorted_counts, texts_of
+from txnrisk.llm.text import needed, portions, sorted_counts, texts_of
 
 #: Fingerprints that one range is meant to hold; the number of ranges follows the number of rows.
 RANGE_ROWS = 1 << 20
@@ -108,7 +108,7 @@ def fingerprinted(docs: DataFrame, keep: list[str], bits: int = 64, with_text: b
     schema = schema.add("norm", "binary") if with_text else schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, "t"):
             texts = [t.lower() for t in texts_of(batch, "t")]
             fps = np.fromiter(map(xxhash.xxh3_64_intdigest, texts), np.uint64, len(texts)) >> np.uint64(64 - bits)
             columns = [batch.column(i) for i in range(len(keep))]

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from txnrisk.llm.text import id_remainder, needed, sorted_counts
+from txnrisk.llm.text import id_remainder, needed, portions, sorted_counts
 
 DIMENSIONS = 512
 #: Vectors of n-grams that a task remembers; beyond that it starts afresh.
@@ -92,7 +92,7 @@ def learn(docs: DataFrame, folds: int = 5, dimensions: int = DIMENSIONS, seed: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         alphabet, vectors, sums = Alphabet(), Vectors(dimensions, seed), {}
-        for batch in batches:
+        for batch in portions(batches):
             by: dict[str, list] = {}
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 by.setdefault(lang, []).append(alphabet.grams(text))
@@ -120,7 +120,7 @@ def with_language(docs: DataFrame, prototypes: dict[str, np.ndarray], carry: lis
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         alphabet, vectors = Alphabet(), Vectors(dimensions, seed)
         names, against = held.value
-        for batch in batches:
+        for batch in portions(batches, "t"):
             found, scores = [], []
             for text in batch.column("t").to_pylist():
                 grams = alphabet.grams(text or "")

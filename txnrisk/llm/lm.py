@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from txnrisk.llm.shared import written
-from txnrisk.llm.text import mixed, needed, remainder, sorted_counts, texts_of, word_hashes
+from txnrisk.llm.text import mixed, needed, portions, remainder, sorted_counts, texts_of, word_hashes
 
 #: Bytes of text in a block, keys in a range.
 BLOCK_BYTES, RANGE_KEYS = 8 << 20, 2 << 20
@@ -72,7 +72,7 @@ def blocks(docs: DataFrame, folds: int, fold: int, tuning: int) -> DataFrame:
             }
             return pa.RecordBatch.from_pydict(row, schema=BLOCK)
 
-        for batch in batches:
+        for batch in portions(batches):
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch), strict=True):
                 r = role(doc_id, folds, fold, tuning)
                 if held[r] and size[r] + len(text) > BLOCK_BYTES:

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from txnrisk.llm.shared import written
-from txnrisk.llm.text import needed, texts_of
+from txnrisk.llm.text import needed, portions, texts_of
 
 #: Key ranges that a level of refinement counts in each source.
 RANGES = 1024
@@ -60,7 +60,7 @@ def keyed(docs: DataFrame, carry: list[str], quality: Callable[[bytes], float] =
     schema = T.StructType(source.schema.fields[: len(carry)]).add("size", "long").add("u", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, "t"):
             texts, ids = texts_of(batch, "t"), batch.column("id").to_pylist()
             size = [len(t.split()) for t in texts]
             r = np.array([(xxhash.xxh3_64_intdigest(t, seed) ^ xxhash.xxh3_64_intdigest(str(i), seed + 1)) + 1 for t, i in zip(texts, ids, strict=True)], float) / 2.0**64

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from txnrisk.llm.components import components
 from txnrisk.llm.shared import written
-from txnrisk.llm.text import mixed, needed, sorted_counts, texts_of, word_hashes
+from txnrisk.llm.text import mixed, needed, portions, sorted_counts, texts_of, word_hashes
 
 POSITIONS, CHUNKS, ERRORS = 64, 16, 1
 DISTANCE = (ERRORS + 1) * CHUNKS - 1
@@ -70,7 +70,7 @@ def marked_sets(docs: DataFrame, k: int, carry: list[str], seed: int = 3, with_t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         times, plus = multipliers(seed)
         squeeze = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
+        for batch in portions(batches, "t"):
             texts = [t.lower().split() for t in texts_of(batch, "t")]
             hashes = word_hashes([w for t in texts for w in t])
             ends = np.cumsum([len(t) for t in texts])

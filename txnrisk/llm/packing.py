@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tokenizers import Tokenizer
 
 from txnrisk.llm.shared import written
-from txnrisk.llm.text import needed, texts_of
+from txnrisk.llm.text import needed, portions, texts_of
 
 LIMIT = 1024
 #: Id that ends a document.
@@ -73,7 +73,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, end: int =
         tokenizer = Tokenizer.from_file(tokenizer_path)
         ids_of, seen, part = ChunkIds(tokenizer), np.zeros(limit + 1, np.int64), TaskContext.get().partitionId()
         closing = np.array([end], "<u4").tobytes()
-        for batch in batches:
+        for batch in portions(batches):
             owner, piece, start, length, crc, nth = [], [], [], [], [], []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch), strict=True):
                 ids = ids_of.of_text(text) + closing

@@ -21,7 +21,7 @@ from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame, functions as F
 
 from txnrisk.llm.shared import written
-from txnrisk.llm.text import id_remainder
+from txnrisk.llm.text import id_remainder, portions
 
 #: Places of hashed features in either view.
 TEXT_PLACES, META_PLACES = 1 << 18, 512
@@ -149,7 +149,7 @@ def sampled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     rows = docs.join(wanted, "doc_id").select("doc_id", "quality", "toxic", id_remainder(F.col("doc_id"), 5).alias("fold"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             texts = [t or b"" for t in batch.column("text").to_pylist()]
             one = [dict(sorted(text_features(t).items())) for t in texts]
             two = [sorted(meta_features(t, s, g)) for t, s, g in zip(texts, batch.column("source").to_pylist(), batch.column("lang").to_pylist(), strict=True)]
@@ -233,7 +233,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, ro
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models = held.value
         weights = WordWeights(models)
-        for batch in batches:
+        for batch in portions(batches):
             scores = []
             for text, source, lang in zip(batch.column("text").to_pylist(), batch.column("source").to_pylist(), batch.column("lang").to_pylist(), strict=True):
                 text = text or b""

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from txnrisk.llm.shared import written
-from txnrisk.llm.text import mixed, needed, texts_of, word_hashes
+from txnrisk.llm.text import mixed, needed, portions, texts_of, word_hashes
 
 SEED = 8
 MIN_WORDS = 50
@@ -70,7 +70,7 @@ def seed_owners(docs: DataFrame, span: int) -> DataFrame:
     """(key, least, most): the seeds of each task with the least and the greatest document number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             keys, owners = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
             for uid, _, hashes in documents(batch):
                 at = seeds(hashes, span)
@@ -87,7 +87,7 @@ def seed_rows(docs: DataFrame, span: int) -> DataFrame:
     """(key, uid, doc_id, at, n, class): every seed; ``class`` digests the seed with all words around it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             made = []
             for uid, doc_id, hashes in documents(batch):
                 at = seeds(hashes, span)
@@ -107,14 +107,14 @@ def suffixes(docs: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
     """(key, right, left, uid, doc_id, at): the suffixes at ``wanted`` places (uid, places) with the words around them."""
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             texts = [t.lower() for t in texts_of(batch)]
             ids = batch.column("doc_id").to_pylist()
             uids = [xxhash.xxh3_64_intdigest(t, xxhash.xxh3_64_intdigest(str(i))) >> 1 for t, i in zip(texts, ids, strict=True)]
             yield arrays(uid=pa.array(uids, pa.int64()), doc_id=pa.array(ids, pa.int64()), text=pa.array(texts, pa.binary()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             for (uid, doc_id, hashes), places in zip(documents(batch), batch.column("places").to_pylist(), strict=True):
                 at = np.unique(np.array(places, np.int64))
                 left, right = around(hashes, at, span)

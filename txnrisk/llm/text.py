@@ -12,8 +12,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
+#: Bytes of text whose words are held at a time.
+PORTION = 4 << 20
 #: Odd multipliers that spread the bits of 64-bit hashes (fixed values of a well-known mixer).
 MIX_A, MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -62,11 +65,16 @@ def id_remainder(column: Column, modulus: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
 
 
-def rows_of(batches: Iterator[pa.RecordBatch], schema: pa.Schema, make) -> Iterator[pa.RecordBatch]:
-    """Apply ``make(batch) -> dict of columns`` to each non-empty batch."""
+def portions(batches: Iterator[pa.RecordBatch], name: str = "text", most: int = PORTION) -> Iterator[pa.RecordBatch]:
+    """The same rows in pieces of about ``most`` bytes of text (one row at least), so that the words of a piece fit into memory
+    however many rows a batch has."""
     for batch in batches:
-        if batch.num_rows:
-            yield pa.RecordBatch.from_pydict(make(batch), schema=schema)
+        sizes = pc.fill_null(pc.binary_length(batch.column(name)), 0).to_numpy(zero_copy_only=False)
+        part = np.cumsum(sizes) // most
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+        for at, upto in zip(cuts, cuts[1:], strict=False):
+            if upto > at:
+                yield batch.slice(at, upto - at)
 
 
 def needed(docs: DataFrame, *names: str) -> DataFrame:

@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from txnrisk.llm.text import needed, texts_of
+from txnrisk.llm.text import needed, portions, texts_of
 
 #: Distinct words whose counts one task remembers; beyond that it starts afresh.
 REMEMBERED = 400_000
@@ -142,7 +142,7 @@ def token_counts(docs: DataFrame, vocabulary: Vocabulary, lower: bool = False) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         counts = Remembered(held.value)
-        for batch in batches:
+        for batch in portions(batches):
             words, tokens, unknown = [], [], []
             for text in texts_of(batch):
                 got = [counts[w] for w in (text.lower() if lower else text).split()]
