@@ -368,12 +368,26 @@ def test_bin_completion_finds_the_least(items):
     assert held == Counter(items)
 
 
-@given(st.text("a the.\n\t　 1é's<|endoftext|>", max_size=40))
+@given(st.lists(st.sampled_from([*"a .\n\t\u3000 1é's|<", "the", " the", "<|endoftext|>", "word, ", "…", "«x»", "\r\n"]), max_size=25).map("".join))
 @settings(max_examples=300, deadline=None)
-def test_chunks_have_the_ids_of_the_whole_text(text):
-    tokenizer = test_chunks_have_the_ids_of_the_whole_text.__dict__.setdefault("tokenizer", Tokenizer.from_file(PATH))
-    ids = np.frombuffer(packing.ChunkIds(tokenizer).of_text(text.encode()), "<u4").tolist()
-    assert ids == tokenizer.encode(text, add_special_tokens=False).ids
+def test_ranks_give_the_tokenizers_ids(text):
+    known = test_ranks_give_the_tokenizers_ids.__dict__
+    ids = known.setdefault("ids", None) or known.update(ids=packing.TextIds(PATH)) or known["ids"]
+    assert ids.ranks is not None
+    for t in (text, text[::-1]):
+        assert np.frombuffer(ids(t.encode()), "<u4").tolist() == ids.tokenizer.encode(t, add_special_tokens=False).ids
+
+
+def test_other_tokenizers_encode_themselves():
+    ids = packing.TextIds(public_tokenizers.path("word_bpe_49k.json"))
+    assert ids.ranks is None and np.frombuffer(ids(b"two words"), "<u4").tolist() == ids.tokenizer.encode("two words", add_special_tokens=False).ids
+
+
+def test_ranks_agree_for_letters_of_all_scripts():
+    ids = packing.TextIds(PATH)
+    for at in range(0, 0x110000, 0x400):
+        text = "".join(f"a{c} {c}1{c}{c}.  {c}" for c in map(chr, range(at, at + 0x400, 17)) if not "\ud800" <= c <= "\udfff")
+        assert np.frombuffer(ids(text.encode()), "<u4").tolist() == ids.tokenizer.encode(text, add_special_tokens=False).ids
 
 
 # ---- 8, mixing
