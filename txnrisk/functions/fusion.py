@@ -41,7 +41,6 @@ EXPLAIN_MINOR = (
     "%). Continue monitoring but no immediate action required.",
 )
 ALERT_WITHOUT_REASON = "ML Model Detection"
-ALERT_REASON_CHARS = 512
 
 
 def extreme(ml: Column) -> Column:
@@ -127,8 +126,7 @@ def effective_breakdown(ml: Column, rule: Column, weight: float = MODEL_WEIGHT)
 
 
 def alert_reason(reasons: Column) -> Column:
-    joined = F.substring(F.array_join(reasons, "; "), 1, ALERT_REASON_CHARS)
-    return F.when(F.size(reasons) > 0, joined).otherwise(ALERT_WITHOUT_REASON)
+    return F.when(F.size(reasons) > 0, F.array_join(reasons, "; ")).otherwise(ALERT_WITHOUT_REASON)
 
 
 def with_decision(df: DataFrame, threshold: float = THRESHOLD, alert: float = ALERT_RISK,

@@ -57,10 +57,10 @@ def kyc_from_reasons(reasons: Column, default: bool = True) -> Column:
 
 def when_from_reasons(reasons: Column) -> Column:
     hours = _found(reasons, HOUR_PATTERN)
-    hour = F.when(F.size(hours) > 0, F.concat(F.lit("round "), F.element_at(hours, -1), F.lit(":00")))
+    hour = F.when(F.size(hours) > 0, F.concat(F.lit("Around "), F.element_at(hours, -1), F.lit(":00")))
     weekend = F.exists(reasons, lambda r: F.lower(r).contains("weekend transaction"))
-    return (F.when(weekend & hour.isNotNull(), F.concat(F.lit("During the weekend, a"), hour))
-            .when(hour.isNotNull(), F.concat(F.lit("A"), hour))
+    return (F.when(weekend & hour.isNotNull(), F.concat(F.lit("During the weekend, "), F.lower(hour)))
+            .when(hour.isNotNull(), hour)
             .when(weekend, "During the weekend").otherwise("N/A"))
 
 

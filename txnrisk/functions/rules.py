@@ -71,7 +71,7 @@ def with_rule_inputs(df: DataFrame, kyc_mode: str = "any") -> DataFrame:
         "rule_hour": F.hour(when),
         "rule_weekend": F.coalesce(F.weekday(when) >= 5, F.lit(False)),
         "rule_inputs_ok": (
-            usable("transaction_amount", "double", "") & usable("account_age_days", "int") & usable("channel", "int")
+            usable("transaction_amount", "double", "") & usable("account_age_days", "long") & usable("channel", "long")
             & usable("kyc_verified", "int", "yes", "y", "true", "no", "n", "false")
         ),
     })

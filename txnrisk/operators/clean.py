@@ -46,7 +46,8 @@ def iqr_bounds(df: DataFrame, column: str, k: float = 1.5, approx: bool = False)
 
 
 def _outside(column: str, bounds: tuple[float | None, float | None]) -> Column:
-    return (F.col(column) < F.lit(bounds[0])) | (F.col(column) > F.lit(bounds[1]))
+    value = cleaning.known(F.col(column))
+    return (value < F.lit(bounds[0])) | (value > F.lit(bounds[1]))
 
 
 def outlier_bounds(df: DataFrame, column: str, k: float = 1.5, approx: bool = False) -> DataFrame:
@@ -61,8 +62,8 @@ def outliers(df: DataFrame, column: str, k: float = 1.5, approx: bool = False) -
 
 
 def winsorize(df: DataFrame, column: str, k: float = 1.5, approx: bool = False) -> DataFrame:
-    """Clip to the outlier bounds; null stays null."""
-    (lower, upper), value = iqr_bounds(df, column, k, approx), F.col(column).cast("double")
+    """Clip to the outlier bounds; null stays null, and NaN becomes null."""
+    (lower, upper), value = iqr_bounds(df, column, k, approx), cleaning.known(F.col(column))
     clipped = F.least(F.greatest(value, F.lit(lower)), F.lit(upper))
     return df.withColumn(column, F.when(value.isNotNull(), clipped))
 
@@ -78,4 +79,4 @@ def fill_missing(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 def align_features(df: DataFrame, names: list[str], keep: list[str] | None = None) -> DataFrame:
     """Exactly the named columns in order, a missing one as 0, after the ``keep`` columns."""
     have = set(df.columns)
-    return df.select(*(keep or []), *[F.col(n) if n in have else F.lit(0).alias(n) for n in names])
+    return df.select(*(keep or []), *[F.col(f"`{n}`") if n in have else F.lit(0).alias(n) for n in names])

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from txnrisk.functions import cleaning
@@ -9,9 +12,6 @@ from txnrisk.operators.joins import skew_join
 from txnrisk.operators.ranks import fit_quantiles
 
 HIGH_QUANTILE = 0.95
-SMALL_BATCH = 20
-SMALL_BATCH_FLOOR = 50000.0
-MAX_LEVELS = 10_000
 
 # In microseconds.
 _MINUTE = 60 * 1_000_000
@@ -35,18 +35,16 @@ def log_amount(col: Column) -> Column:
 
 
 def high_amount_cut(df: DataFrame, column: str = "amount", q: float = HIGH_QUANTILE,
-                    small_n: int = SMALL_BATCH, floor: float = SMALL_BATCH_FLOOR, approx: bool = False) -> float:
-    """The batch quantile; a fixed floor for a batch of at most ``small_n`` rows."""
-    if df.limit(small_n + 1).count() <= small_n:
-        return floor
+                    approx: bool = False) -> float:
+    """The quantile of the known amounts; infinite, which flags nothing, without any."""
     quantile = fit_quantiles(df, column, [q], approx)
-    return quantile[0] if quantile else floor
+    return quantile[0] if quantile else math.inf
 
 
 def high_amount(df: DataFrame, column: str = "amount", cut: float | None = None, approx: bool = False) -> DataFrame:
     """Flag amounts strictly above the cut: a fitted one where given, else the batch's own."""
     cut = high_amount_cut(df, column, approx=approx) if cut is None else cut
-    return df.withColumn("high_amount", F.when(F.col(column) > cut, 1).otherwise(0))
+    return df.withColumn("high_amount", F.when(cleaning.known(F.col(column)) > cut, 1).otherwise(0))
 
 
 def high_amount_night(df: DataFrame) -> DataFrame:
@@ -100,21 +98,23 @@ def velocity_24h(df: DataFrame) -> DataFrame:
     return joined.withColumn("txn_last_24h", F.coalesce("txn_last_24h", F.lit(0))).drop("_us")
 
 
-def fit_levels(df: DataFrame, columns: list[str], max_levels: int = MAX_LEVELS) -> dict[str, list]:
-    """The sorted levels of each column. More than ``max_levels`` is an error: that is no category."""
-    levels = {}
-    for c in columns:
-        found = [r[0] for r in df.select(c).filter(F.col(c).isNotNull()).distinct().limit(max_levels + 1).collect()]
-        if len(found) > max_levels:
-            raise ValueError(f"{c} has more than {max_levels} levels")
-        levels[c] = sorted(found)
-    return levels
+def fit_levels(df: DataFrame, columns: list[str]) -> dict[str, list]:
+    """The sorted levels of each column. Each becomes a column of its own, so only categories belong here."""
+    return {c: sorted(r[0] for r in df.select(c).filter(F.col(c).isNotNull()).distinct().collect()) for c in columns}
+
+
+def dummy_name(column: str, level: object) -> str:
+    """``<column>_<level>``; a dot, which would name a field of a column, becomes an underscore."""
+    return f"{column}_{level}".replace(".", "_")
 
 
 def dummy_columns(levels: dict[str, list], drop_first: bool = True) -> dict[str, Column]:
     """A 0/1 expression ``<column>_<level>`` per level; the first level and null are all zeros."""
-    return {f"{c}_{level}": F.when(F.col(c) == F.lit(level), 1).otherwise(0)
-            for c, found in levels.items() for level in found[int(drop_first):]}
+    pairs = [(c, level) for c, found in levels.items() for level in found[int(drop_first):]]
+    made = {dummy_name(c, level): F.when(F.col(c) == F.lit(level), 1).otherwise(0) for c, level in pairs}
+    if len(made) < len(pairs):
+        raise ValueError("two levels give the same column name")
+    return made
 
 
 def one_hot(df: DataFrame, columns: list[str], levels: dict[str, list] | None = None, drop_first: bool = True) -> DataFrame:
@@ -124,16 +124,19 @@ def one_hot(df: DataFrame, columns: list[str], levels: dict[str, list] | None =
 
 def chi2_scores(df: DataFrame, columns: list[str], label: str = "is_fraud") -> DataFrame:
     """Score of each dummy against the label: over the classes, (observed - expected)^2 / expected of its sum."""
-    dummies = dummy_columns(fit_levels(df, columns))
-    sums = df.groupBy(label).agg(F.count("*").alias("n"), *[F.sum(e).alias(name) for name, e in dummies.items()])
-    cells = sums.select("n", F.inline(F.array(*[F.struct(F.lit(name).alias("feature"), F.col(f"`{name}`").alias("observed"))
-                                               for name in dummies])))
-    # A window partition holds one row per class.
-    whole = Window.partitionBy("feature")
-    expected = F.col("n") / F.sum("n").over(whole) * F.sum("observed").over(whole)
-    term = F.try_divide((F.col("observed") - F.col("expected")) ** 2, F.col("expected"))
-    return (cells.withColumn("expected", expected).groupBy("feature").agg(F.sum(term).alias("score"))
-            .orderBy(F.desc("score"), "feature"))
+    classes = df.groupBy(label).agg(F.count("*").alias("class_n"))
+    share = classes.withColumn("share", F.col("class_n") / df.agg(F.count("*")).scalar()).select(F.col(label).alias("class"), "share")
+    scores = []
+    # The loop runs over the few columns; levels stay in Spark, however many there are.
+    for c in columns:
+        cells = df.filter(F.col(c) > df.agg(F.min(c)).scalar()).groupBy(F.col(c).alias("level"), F.col(label).alias("class")).agg(F.count("*").alias("observed"))
+        total = F.sum("observed")
+        # The squares of all classes, those without a row of the level included, sum up to this.
+        score = F.sum(F.col("observed") * F.col("observed") / F.col("share")) / total - total
+        feature = F.translate(F.concat(F.lit(f"{c}_"), F.col("level").cast("string")), ".", "_")
+        scores.append(cells.alias("x").join(share.alias("s"), F.col("x.class").eqNullSafe(F.col("s.class")))
+                      .groupBy(feature.alias("feature")).agg(score.alias("score")))
+    return reduce(DataFrame.unionByName, scores).orderBy(F.desc("score"), "feature")
 
 
 def risk_features(df: DataFrame, cut: float) -> DataFrame:

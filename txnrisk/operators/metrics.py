@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from txnrisk.functions.cleaning import known
 from txnrisk.operators.ranks import running_sums
 
 _EPS = 1e-8
@@ -14,17 +15,22 @@ def ratio(top: Column, bottom: Column) -> Column:
     return F.coalesce(F.try_divide(top.cast("double"), bottom.cast("double")), F.lit(0.0))
 
 
+def judged(df: DataFrame, score: str, label: str) -> DataFrame:
+    """(threshold, y) of the rows that have a label and a score; null and NaN are no score."""
+    return (df.select(known(F.col(score)).alias("threshold"), (F.col(label) == 1).cast("long").alias("y"))
+            .filter(F.col("threshold").isNotNull() & F.col("y").isNotNull()))
+
+
 def _cumulated(df: DataFrame, score: str, label: str) -> DataFrame:
     """Per distinct score, highest first: its positives and negatives, and the totals down to it."""
-    per_score = (df.select(F.col(score).cast("double").alias("threshold"), (F.col(label) == 1).cast("long").alias("y"))
-                 .filter(F.col("threshold").isNotNull() & F.col("y").isNotNull()).groupBy("threshold")
+    per_score = (judged(df, score, label).groupBy("threshold")
                  .agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg")))
     return running_sums(per_score, "threshold", {"pos": "tp", "neg": "fp"}, descending=True)
 
 
 def pr_curve(df: DataFrame, score: str = "ml_prob", label: str = "is_fraud") -> DataFrame:
     """(threshold, precision, recall, tp, fp) per distinct score; recall is 1 where there is no positive."""
-    positives = df.agg(F.count_if(F.col(label) == 1)).scalar()
+    positives = judged(df, score, label).agg(F.sum("y")).scalar()
     recall = F.when(positives > 0, F.col("tp") / positives).otherwise(1.0)
     return _cumulated(df, score, label).select(
         "threshold", (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), recall.alias("recall"), "tp", "fp")

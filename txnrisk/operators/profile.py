@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import NumericType
 
+from txnrisk.functions.cleaning import known
 from txnrisk.operators.ranks import exact_quantiles, long_values
 from txnrisk.session import broadcast_if_few
 
@@ -39,8 +40,7 @@ def describe(df: DataFrame, columns: list[str] | None = None, approx: bool = Fal
     columns = columns or numeric_columns(df)
     aggs = []
     for c in columns:
-        value = F.col(c).cast("double")
-        value = F.when(~F.isnan(value), value)
+        value = known(F.col(c))
         aggs += [F.count(value).alias(f"count_{c}"), F.avg(value).alias(f"mean_{c}"),
                  F.stddev_samp(value).alias(f"std_{c}"), F.min(value).alias(f"min_{c}"), F.max(value).alias(f"max_{c}")]
     moments = _unpivot(df.agg(*aggs), columns, {"count": "long", "mean": "double", "std": "double",
@@ -53,7 +53,10 @@ def describe(df: DataFrame, columns: list[str] | None = None, approx: bool = Fal
 
 
 def null_counts(df: DataFrame) -> DataFrame:
-    one = df.agg(*[F.count_if(F.col(c).isNull()).alias(f"nulls_{c}") for c in df.columns])
+    """Per column the rows without a value; NaN is none."""
+    floating = {c for c, kind in df.dtypes if kind in ("double", "float")}
+    missing = {c: F.col(c).isNull() | F.isnan(c) if c in floating else F.col(c).isNull() for c in df.columns}
+    one = df.agg(*[F.count_if(m).alias(f"nulls_{c}") for c, m in missing.items()])
     return _unpivot(one, df.columns, {"nulls": "long"})
 
 
@@ -104,12 +107,12 @@ def box_stats(df: DataFrame, columns: list[str], by: str = "is_fraud", k: float
 
 def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
     """Equal-width bins over [min, max], the last one closed; a single value gets a range of width 1."""
-    value = F.col(column).cast("double")
+    value = known(F.col(column))
     edges = df.agg(F.struct(F.min(value).alias("lo"), F.max(value).alias("hi"))).scalar()
     flat = edges["lo"] == edges["hi"]
     low = F.when(flat, edges["lo"] - 0.5).otherwise(edges["lo"])
     width = F.when(flat, F.lit(1.0)).otherwise(edges["hi"] - edges["lo"]) / bins
-    counts = (df.filter(value.isNotNull() & ~F.isnan(value))
+    counts = (df.filter(value.isNotNull())
               .groupBy(F.least(F.floor((value - low) / width), F.lit(bins - 1)).cast("long").alias("bin"))
               .agg(F.count("*").alias("n")))
     # One row per bin, filled or empty.
@@ -122,11 +125,7 @@ def correlation(df: DataFrame, columns: list[str]) -> DataFrame:
     """Pearson correlation of every pair of columns, over rows where both are known; null for a constant."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
 
-    def number(c: str) -> Column:
-        value = F.col(c).cast("double")
-        return F.when(~F.isnan(value), value)
-
-    one = df.agg(*[F.corr(number(a), number(b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
+    one = df.agg(*[F.corr(known(F.col(a)), known(F.col(b))).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
     rows = []
     for i, (a, b) in enumerate(pairs):
         value = F.col(f"r{i}")

@@ -49,7 +49,7 @@ _SCORED = """
            round(ml_prob, 6) AS probability, customer_id % 7 AS user_id, "timestamp" AS created_at FROM fused"""
 _ALERTS = """
     SELECT transaction_id AS alert_id, transaction_id, customer_id, risk_score,
-           CASE WHEN len(reasons) > 0 THEN substr(array_to_string(reasons, '; '), 1, 512) ELSE 'ML Model Detection' END AS reason,
+           CASE WHEN len(reasons) > 0 THEN array_to_string(reasons, '; ') ELSE 'ML Model Detection' END AS reason,
            ml_prob, rule_score, created_at FROM scored WHERE final_label = 'Fraud'"""
 
 CLEAN_INPUTS = """
@@ -71,21 +71,25 @@ _DIRTY_COLUMNS = """
     SELECT transaction_id, customer_id, ml_prob, is_fraud,
            CASE transaction_id % 11 WHEN 0 THEN '1,000' WHEN 1 THEN 'abc' WHEN 2 THEN '' WHEN 3 THEN 'nan' WHEN 4 THEN NULL
                 ELSE transaction_amount::VARCHAR END AS transaction_amount,
-           CASE transaction_id % 13 WHEN 0 THEN '12.5' WHEN 1 THEN NULL WHEN 2 THEN 'old'
+           CASE transaction_id % 13 WHEN 0 THEN '12.5' WHEN 1 THEN NULL WHEN 2 THEN 'old' WHEN 3 THEN '3000000000'
                 ELSE account_age_days::VARCHAR END AS account_age_days,
            CASE transaction_id % 7 WHEN 0 THEN '9' WHEN 1 THEN NULL WHEN 2 THEN 'web' ELSE channel::VARCHAR END AS channel,
-           CASE transaction_id % 9 WHEN 0 THEN ' yes ' WHEN 1 THEN '1' WHEN 2 THEN 'true' WHEN 3 THEN '1.7' WHEN 4 THEN 'N'
-                WHEN 5 THEN NULL ELSE kyc_verified END AS kyc_verified,
-           CASE transaction_id % 17 WHEN 0 THEN 'garbage' WHEN 1 THEN '2025-13-01' WHEN 2 THEN NULL
+           CASE transaction_id % 11 WHEN 0 THEN ' yes ' WHEN 1 THEN '1' WHEN 2 THEN 'true' WHEN 3 THEN '1.7' WHEN 4 THEN 'N'
+                WHEN 5 THEN NULL WHEN 6 THEN '1.0' WHEN 7 THEN '2' ELSE kyc_verified END AS kyc_verified,
+           CASE transaction_id % 17 WHEN 0 THEN 'garbage' WHEN 1 THEN '2025-13-01' WHEN 2 THEN NULL WHEN 3 THEN '2025/01/02 03:04'
+                WHEN 4 THEN '01/02/2025 03:04:00' WHEN 5 THEN 'Jan 2 2025 03:00' WHEN 6 THEN '2025-01-01T03:00:00+05:30'
                 ELSE strftime("timestamp", '%Y-%m-%d %H:%M:%S') END AS "timestamp"
     FROM clean"""
 DIRTY = f"SELECT * FROM (WITH clean AS ({ORDERS}) {_DIRTY_COLUMNS})"
-_INT = "coalesce(CASE WHEN regexp_full_match(trim({c}), '[+-]?[0-9]+') THEN {c}::INT END, 0)"
+_INT = "coalesce(CASE WHEN regexp_full_match(trim({c}), '[+-]?[0-9]+') THEN {c}::BIGINT END, 0)"
 _AMT = "coalesce(CASE WHEN NOT isnan(TRY_CAST(transaction_amount AS DOUBLE)) THEN TRY_CAST(transaction_amount AS DOUBLE) END, 0e0)"
-_KYC = "(coalesce(lower(trim(kyc_verified)), '') IN ('yes', 'y', 'true', '1'))::INT"
+_KYC = """(coalesce(lower(trim(kyc_verified)), '') IN ('yes', 'y', 'true', '1')
+            OR coalesce(abs(TRY_CAST(trim(kyc_verified) AS DOUBLE)) >= 1, false))::INT"""
+_TIME = """coalesce(TRY_CAST(regexp_replace("timestamp", '(:[0-9][0-9])[+-][0-9][0-9]:[0-9][0-9]$', '\\1') AS TIMESTAMP),
+            try_strptime("timestamp", '%Y/%m/%d %H:%M'), try_strptime("timestamp", '%m/%d/%Y %H:%M:%S'), try_strptime("timestamp", '%b %d %Y %H:%M'))"""
 DIRTY_INPUTS = f"""
     SELECT *, {_AMT} AS amt, {_INT.format(c='account_age_days')} AS age, {_INT.format(c='channel')} AS chan, {_KYC} AS kyc,
-           hour(TRY_CAST("timestamp" AS TIMESTAMP)) AS hr, coalesce(isodow(TRY_CAST("timestamp" AS TIMESTAMP)) >= 6, false) AS wend,
+           hour({_TIME}) AS hr, coalesce(isodow({_TIME}) >= 6, false) AS wend,
            (transaction_amount IS NULL OR trim(transaction_amount) = '' OR TRY_CAST(transaction_amount AS DOUBLE) IS NOT NULL)
            AND (account_age_days IS NULL OR regexp_full_match(trim(account_age_days), '[+-]?[0-9]+'))
            AND (channel IS NULL OR regexp_full_match(trim(channel), '[+-]?[0-9]+'))
@@ -236,7 +240,7 @@ ORACLES: dict[str, str] = {
     "outlier_bounds": txn(_SKEWED, _BOUNDS) + "SELECT round(lower, 6) AS lower, round(upper, 6) AS upper, (SELECT count(*) FROM txn, b WHERE transaction_amount < lower OR transaction_amount > upper) AS outliers FROM b",
     "outliers": txn(_SKEWED, _BOUNDS) + "SELECT transaction_id, transaction_amount FROM txn, b WHERE transaction_amount < lower OR transaction_amount > upper",
     "winsorize": txn(_SKEWED, _BOUNDS) + "SELECT transaction_id, round(least(greatest(transaction_amount, lower), upper), 6) AS transaction_amount FROM txn, b",
-    "parse_timestamp": txn(DIRTY) + """SELECT transaction_id, strftime(TRY_CAST("timestamp" AS TIMESTAMP), '%Y-%m-%d %H:%M:%S') AS "timestamp" FROM txn""",
+    "parse_timestamp": txn(DIRTY) + f"""SELECT transaction_id, strftime({_TIME}, '%Y-%m-%d %H:%M:%S') AS "timestamp" FROM txn""",
     "kyc_flag": txn(DIRTY) + f"""SELECT transaction_id, {_KYC} AS any_case, (coalesce(kyc_verified, '') = 'Yes')::INT AS title,
         (coalesce(kyc_verified, '') IN ('yes', 'y', 'True', 'true'))::INT AS "lower", coalesce(trunc(TRY_CAST(kyc_verified AS DOUBLE))::INT, 0) AS "numeric" FROM txn""",
     "fill_missing": txn(DIRTY) + f"SELECT transaction_id, {_AMT} AS amount, {_INT.format(c='account_age_days')} AS account_age_days FROM txn",
@@ -246,7 +250,7 @@ ORACLES: dict[str, str] = {
     # Features
     "time_features": txn(DIRTY) + f"""SELECT transaction_id, coalesce(hour(t), 0) AS hour, day(t) AS day, isodow(t) - 1 AS day_of_week, month(t) AS month,
         coalesce(isodow(t) >= 6, false)::INT AS is_weekend, coalesce(hour(t) >= 22 OR hour(t) <= 6, false)::INT AS is_night
-        FROM (SELECT transaction_id, TRY_CAST("timestamp" AS TIMESTAMP) AS t FROM txn)""",
+        FROM (SELECT transaction_id, {_TIME} AS t FROM txn)""",
     "log_amount": txn(DIRTY) + f"SELECT transaction_id, round(ln(1 + {_AMT}), 6) AS log_amount FROM txn",
     "high_amount": txn(ORDERS) + """SELECT transaction_id, (transaction_amount > (SELECT quantile_cont(transaction_amount, 0.95) FROM txn))::INT AS high_amount,
         (transaction_amount > (SELECT quantile_cont(transaction_amount, 0.95) FROM txn) AND (hour("timestamp") >= 22 OR hour("timestamp") <= 6))::INT AS high_amount_night FROM txn""",

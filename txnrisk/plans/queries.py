@@ -28,6 +28,10 @@ def r(col: str | Column, digits: int = 6, name: str | None = None) -> Column:
     return F.round(col, digits).alias(name or col)
 
 
+# Spellings of a time other than the usual one.
+OTHER_TIMES = ["2025/01/02 03:04", "01/02/2025 03:04:00", "Jan 2 2025 03:00", "2025-01-01T03:00:00+05:30"]
+
+
 def dirty_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The orders view as text, with unusable values mixed in."""
     t, tid = txn_orders(spark, sf_dir), F.col("transaction_id")
@@ -42,10 +46,10 @@ def dirty_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select(
         "transaction_id", "customer_id", "ml_prob", "is_fraud",
         mixed("transaction_amount", 11, ["1,000", "abc", "", "nan", None]).alias("transaction_amount"),
-        mixed("account_age_days", 13, ["12.5", None, "old"]).alias("account_age_days"),
+        mixed("account_age_days", 13, ["12.5", None, "old", "3000000000"]).alias("account_age_days"),
         mixed("channel", 7, ["9", None, "web"]).alias("channel"),
-        mixed("kyc_verified", 9, [" yes ", "1", "true", "1.7", "N", None]).alias("kyc_verified"),
-        mixed(F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss"), 17, ["garbage", "2025-13-01", None]).alias("timestamp"))
+        mixed("kyc_verified", 11, [" yes ", "1", "true", "1.7", "N", None, "1.0", "2"]).alias("kyc_verified"),
+        mixed(F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss"), 17, ["garbage", "2025-13-01", None, *OTHER_TIMES]).alias("timestamp"))
 
 
 def skewed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,7 +197,7 @@ def kyc_flag(spark, sf):
 def fill_missing(spark, sf):
     numbers = dirty_orders(spark, sf).select(
         "transaction_id", cleaning.to_double(F.col("transaction_amount")).alias("amount"),
-        F.col("account_age_days").try_cast("int").alias("account_age_days"))
+        F.col("account_age_days").try_cast("long").alias("account_age_days"))
     return clean.fill_missing(numbers)
 
 

@@ -21,9 +21,11 @@ def score_stream(stream: DataFrame, bundle: Bundle) -> DataFrame:
 
 
 def write_alert_batch(alerts: DataFrame, batch_id: int, path: str) -> None:
-    """Write one micro-batch. A retried batch replaces its own partitions, so no alert is stored twice."""
-    (alerts.withColumns({"alert_date": F.to_date("created_at"), "batch_id": F.lit(batch_id).cast("long")})
-     .dropDuplicates(["transaction_id"])
+    """Write one micro-batch. A retried batch replaces its own partitions, so no alert is stored twice; alerts without
+    an id can't be told apart and are all stored."""
+    has_id = F.col("transaction_id").isNotNull()
+    stored = alerts.filter(has_id).dropDuplicates(["transaction_id"]).unionByName(alerts.filter(~has_id))
+    (stored.withColumns({"alert_date": F.to_date("created_at"), "batch_id": F.lit(batch_id).cast("long")})
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("alert_date", "batch_id").parquet(path))
 
@@ -55,5 +57,6 @@ def velocity_stream(transactions: DataFrame, late: str | None = "1 hour", step:
 
 
 def dedup_stream(transactions: DataFrame, late: str = "1 day", time: str = "timestamp") -> DataFrame:
-    """One row per transaction id among those that arrive within the watermark."""
-    return transactions.withWatermark(time, late).dropDuplicatesWithinWatermark(["transaction_id"])
+    """One row per transaction id among those that arrive within the watermark; rows without an id all pass."""
+    marked, has_id = transactions.withWatermark(time, late), F.col("transaction_id").isNotNull()
+    return marked.filter(has_id).dropDuplicatesWithinWatermark(["transaction_id"]).unionByName(marked.filter(~has_id))
