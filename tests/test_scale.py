@@ -170,3 +170,20 @@ def test_smote_needs_two(spark):
     df = spark.createDataFrame([(0.0, 1), (1.0, 0), (2.0, 0)], "a double, is_fraud int")
     with pytest.raises(ValueError):
         smote(df, ["a"])
+
+
+def test_boxes_stay_bounded_beyond_the_first_sample(spark, monkeypatch):
+    """With far more boxes than the first sample can shape, large boxes are cut again and the neighbours stay exact."""
+    monkeypatch.setattr(neighbours, "BOX_ROWS", 10)
+    monkeypatch.setattr(neighbours, "SAMPLE_ROWS", 80)
+    rng = np.random.default_rng(8)
+    points = np.unique(np.concatenate([rng.normal(size=(900, 2)), rng.normal(size=(300, 2)) * 0.01 + 3]).round(6), axis=0)
+    df = spark.createDataFrame([(i, p.tolist(), 1) for i, p in enumerate(points)], "key long, vec array<double>, copies long")
+    tree = neighbours.box_tree(df, 42)
+    _, boxes = neighbours.reached_boxes(tree, points, np.zeros(len(points)))
+    assert np.bincount(boxes).max() <= 4 * 10 and len(set(boxes)) > 50
+    got = {r["key"]: np.array(r["near"]) for r in neighbours.nearest_vectors(df, 3).collect()}
+    gap = np.sqrt(((points[:, None] - points[None]) ** 2).sum(axis=2))
+    np.fill_diagonal(gap, np.inf)
+    for i, near in got.items():
+        assert np.allclose(np.sort(gap[i])[:3], np.sqrt(((near - points[i]) ** 2).sum(axis=1)))
