@@ -36,14 +36,19 @@ def pr_curve(df: DataFrame, score: str = "ml_prob", label: str = "is_fraud") ->
         "threshold", (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), recall.alias("recall"), "tp", "fp")
 
 
+def auc(pos: Column, neg: Column, upto: Column) -> Column:
+    """The area under the ROC curve, as an aggregate over scores, highest first: their positives and negatives and the positives
+    up to them. Ties count half; 0 where only one class occurs."""
+    return ratio(F.sum(neg * (upto - pos / F.lit(2.0))), F.sum(pos).cast("double") * F.sum(neg))
+
+
 def areas(df: DataFrame, score: str = "ml_prob", label: str = "is_fraud") -> DataFrame:
     """One row, from one pass down the scores. ``average_precision``: the sum of precision times recall step,
     0 without positives. ``roc_auc``: ties count half; 0 where only one class occurs."""
     step = F.col("pos") * (F.col("tp") / (F.col("tp") + F.col("fp")))
-    above = F.col("neg") * (F.col("tp") - F.col("pos") / F.lit(2.0))
     return _cumulated(df, score, label).agg(
         ratio(F.sum(step), F.sum("pos")).alias("average_precision"),
-        ratio(F.sum(above), F.sum("pos").cast("double") * F.sum("neg")).alias("roc_auc"))
+        auc(F.col("pos"), F.col("neg"), F.col("tp")).alias("roc_auc"))
 
 
 def average_precision(df: DataFrame, score: str = "ml_prob", label: str = "is_fraud") -> DataFrame:

@@ -79,10 +79,11 @@ def system_overview(scored: DataFrame, alerts: DataFrame) -> DataFrame:
 def _by(alerts: DataFrame, txns: DataFrame, name: str, bucket: Column) -> DataFrame:
     """Alert count and mean risk per bucket of the alert's transaction.
 
-    The bucket is read from the record before the join, so that no record text is shuffled; both
-    sides are unique on the key, so it cannot be skewed.
+    The bucket is read from the record before the join, so that no record text is shuffled. Both sides meet on the id of the
+    stored row, which is unique however often a transaction was scored; tables without one meet on the transaction's id.
     """
-    return (alerts.select("transaction_id", "risk_score").join(txns.select("transaction_id", bucket.alias(name)), "transaction_id")
+    key = "stored_id" if "stored_id" in alerts.columns and "stored_id" in txns.columns else "transaction_id"
+    return (alerts.select(key, "risk_score").join(txns.select(key, bucket.alias(name)), key)
             .groupBy(name).agg(F.count("*").alias("fraud_count"), F.avg("risk_score").alias("avg_risk"))
             .orderBy(F.desc("fraud_count"), name))
 

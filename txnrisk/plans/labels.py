@@ -2,22 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from txnrisk.functions.cleaning import known
 from txnrisk.operators import metrics
-from txnrisk.operators.joins import skew_join
+from txnrisk.operators.ranks import running_sums
 
 
 def label_status(txns: DataFrame, events: DataFrame) -> DataFrame:
     """Each label event with the outcome it gets: 400 bad label, 404 unknown id, 403 other owner, else 200.
 
-    Events of one transaction may be many, so the join is the skew-safe one.
+    Events of one transaction may be many; adaptive execution splits such partitions of the join.
     """
     owners = txns.select("transaction_id", F.col("user_id").alias("owner"))
     status = (F.when(F.col("label").isNull() | ~F.col("label").isin(0, 1), 400)
               .when(F.col("owner").isNull(), 404)
               .when(~F.col("owner").eqNullSafe(F.col("user_id")), 403).otherwise(200))
-    return skew_join(events, owners, ["transaction_id"]).withColumn("status", status).drop("owner")
+    return events.join(owners, "transaction_id", "left").withColumn("status", status).drop("owner")
 
 
 def apply_labels(txns: DataFrame, events: DataFrame, order: str = "seq") -> DataFrame:
@@ -39,20 +40,31 @@ def labelled_metrics(txns: DataFrame, user_id: int) -> DataFrame:
     themselves (``self_consistency``, whose accuracy is always 1); ``none`` without transactions.
     """
     mine = txns.filter(F.col("user_id") == user_id).select("predicted", "probability", "actual_label")
-    reviewed = mine.filter(F.col("actual_label").isNotNull())
-    # Looking for one labelled row decides the branch, so only that branch is planned.
-    real = not reviewed.isEmpty()
-    judged = reviewed.withColumn("truth", F.col("actual_label")) if real else mine.withColumn("truth", F.col("predicted"))
-    n, kind = F.col("n"), "real" if real else "self_consistency"
-    said = " reviewed transactions" if real else " total transactions (self-consistency check)"
-    auc = metrics.roc_auc(judged, "probability", "truth").scalar()
-    rounded = [F.round(F.col(c), 4).alias(name) for c, name in
-               [("accuracy", "accuracy"), ("precision", "precision"), ("recall", "recall"), ("f1", "f1_score")]]
-    counts = [F.col(c).alias(name) for c, name in [("tp", "true_positives"), ("tn", "true_negatives"),
-                                                   ("fp", "false_positives"), ("fn", "false_negatives")]]
-    return metrics.binary_scores(judged, "predicted", "truth").select(
-        *rounded, *counts, F.round(F.coalesce(auc, F.lit(0.0)), 4).alias("auc"),
-        (n if real else F.lit(0).cast("long")).alias("labeled_count"),
-        F.when(n == 0, "none").otherwise(kind).alias("metrics_type"),
-        F.when(n == 0, "No transactions available yet")
-        .otherwise(F.concat(F.lit("Based on "), n.cast("string"), F.lit(said))).alias("message"))
+    hit = F.col("predicted") == 1
+    # Both truths are counted in the same pass; which of them counts is known at its end.
+    truths = {"real": F.col("actual_label"), "self": F.when(hit, 1).otherwise(0)}
+
+    def counts(name: str, truth: Column) -> list[Column]:
+        true = truth == 1
+        return [F.count(truth).alias(f"n_{name}"), F.count_if(hit & true).alias(f"tp_{name}"), F.count_if(~hit & ~true).alias(f"tn_{name}"),
+                F.count_if(hit & ~true).alias(f"fp_{name}"), F.count_if(~hit & true).alias(f"fn_{name}")]
+
+    one = mine.agg(*[c for name, truth in truths.items() for c in counts(name, truth)])
+    threshold = known(F.col("probability"))
+    sides = {f"{side}_{name}": F.count_if((truth == 1) if side == "pos" else (truth == 0)) for name, truth in truths.items() for side in ("pos", "neg")}
+    per_score = mine.groupBy(threshold.alias("threshold")).agg(*[c.alias(name) for name, c in sides.items()]).filter("threshold IS NOT NULL")
+    upto = running_sums(per_score, "threshold", {f"pos_{name}": f"upto_{name}" for name in truths}, descending=True)
+    areas = upto.agg(*[metrics.auc(F.col(f"pos_{name}"), F.col(f"neg_{name}"), F.col(f"upto_{name}")).alias(f"auc_{name}") for name in truths])
+    real = F.col("n_real") > 0
+    found = areas.select(F.struct(*[f"auc_{name}" for name in truths])).scalar()
+    both = one.withColumn("areas", found).select("*", "areas.*")
+    chosen = both.select(real.alias("real"), *[F.when(real, F.col(f"{c}_real")).otherwise(F.col(f"{c}_self")).alias(c) for c in ("n", "tp", "tn", "fp", "fn", "auc")])
+    tn, fp, fn, tp, n = (F.col(c) for c in ("tn", "fp", "fn", "tp", "n"))
+    said = F.when(F.col("real"), " reviewed transactions").otherwise(" total transactions (self-consistency check)")
+    return chosen.select(
+        F.round(metrics.ratio(tp + tn, tp + tn + fp + fn), 4).alias("accuracy"), F.round(metrics.ratio(tp, tp + fp), 4).alias("precision"),
+        F.round(metrics.ratio(tp, tp + fn), 4).alias("recall"), F.round(metrics.ratio(2 * tp, 2 * tp + fp + fn), 4).alias("f1_score"),
+        tp.alias("true_positives"), tn.alias("true_negatives"), fp.alias("false_positives"), fn.alias("false_negatives"),
+        F.round(F.coalesce("auc", F.lit(0.0)), 4).alias("auc"), F.when(F.col("real"), n).otherwise(F.lit(0).cast("long")).alias("labeled_count"),
+        F.when(n == 0, "none").when(F.col("real"), "real").otherwise("self_consistency").alias("metrics_type"),
+        F.when(n == 0, "No transactions available yet").otherwise(F.concat(F.lit("Based on "), n.cast("string"), said)).alias("message"))

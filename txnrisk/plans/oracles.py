@@ -342,6 +342,13 @@ ORACLES: dict[str, str] = {
     "system_overview": chain(ORDERS) + """SELECT 'Total Transactions' AS metric, count(*)::DOUBLE AS value FROM scored UNION ALL SELECT 'Fraud Detected', sum(predicted)::DOUBLE FROM scored
         UNION ALL SELECT 'Fraud Alerts', count(*)::DOUBLE FROM alerts UNION ALL SELECT 'Fraud Rate', round(sum(predicted) / count(*) * 100, 6) FROM scored""",
     "fraud_by_channel": chain(ORDERS) + f"SELECT channel, fraud_count, round(avg_risk, 6) AS avg_risk FROM {_CHANNEL}",
+    "fraud_by_channel_twice": chain(ORDERS) + """SELECT CASE channel WHEN 0 THEN 'Mobile' WHEN 1 THEN 'POS' WHEN 2 THEN 'ATM' ELSE 'Web' END AS channel,
+        count(*) AS fraud_count, round(avg(risk_score), 6) AS avg_risk FROM
+        (SELECT transaction_id, risk_score FROM alerts UNION ALL SELECT transaction_id, risk_score FROM alerts WHERE transaction_id % 10 = 0) f
+        JOIN txn USING (transaction_id) GROUP BY 1""",
+    "split_null_ids": txn(ORDERS) + "SELECT is_fraud, count(*) AS n, count(*) FILTER (transaction_id % 3 = 0) AS without_id FROM txn GROUP BY 1",
+    "class_weights_unlabelled": txn(ORDERS) + """, l AS (SELECT is_fraud FROM txn WHERE transaction_id % 5 > 0)
+        SELECT is_fraud, count(*) AS count, round((SELECT count(*) FROM l) / ((SELECT count(DISTINCT is_fraud) FROM l) * count(*)), 6) AS weight FROM l GROUP BY 1""",
     "fraud_by_account_age": chain(ORDERS) + """SELECT CASE WHEN age < 7 THEN 'under 7 days' WHEN age < 30 THEN '7-29 days' WHEN age < 60 THEN '30-59 days' WHEN age < 365 THEN '60-364 days' ELSE '365 days or more' END AS age_group,
         count(*) AS fraud_count, round(avg(f.risk_score), 6) AS avg_risk FROM alerts f JOIN rin USING (transaction_id) GROUP BY 1""",
     "fraud_by_kyc": chain(ORDERS) + "SELECT kyc_verified AS kyc, count(*) AS fraud_count, round(avg(f.risk_score), 6) AS avg_risk FROM alerts f JOIN txn USING (transaction_id) GROUP BY 1",

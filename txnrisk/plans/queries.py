@@ -520,6 +520,30 @@ def fraud_by_channel(spark, sf):
     return _rounded_risk(analytics.fraud_by_channel(alerts.build_alerts(s), s))
 
 
+@query
+def fraud_by_channel_twice(spark, sf):
+    """A tenth of the transactions is scored twice; each alert counts for the row that it was raised on."""
+    s = scored_orders(spark, sf).withColumn("stored_id", F.col("transaction_id") * 2)
+    again = s.filter(F.col("transaction_id") % 10 == 0).withColumn("stored_id", F.col("stored_id") + 1)
+    both = s.unionByName(again)
+    return _rounded_risk(analytics.fraud_by_channel(alerts.build_alerts(both), both))
+
+
+@query
+def split_null_ids(spark, sf):
+    """Rows whose id is missing are split like all others: none is lost."""
+    t = txn_orders(spark, sf).withColumn("transaction_id", F.when(F.col("transaction_id") % 3 > 0, F.col("transaction_id")))
+    train, test = split.stratified_split(t)
+    return train.unionByName(test).groupBy("is_fraud").agg(F.count("*").alias("n"), F.count_if(F.col("transaction_id").isNull()).alias("without_id"))
+
+
+@query
+def class_weights_unlabelled(spark, sf):
+    """Weights of the two classes where a fifth of the rows has no label."""
+    t = txn_orders(spark, sf).withColumn("is_fraud", F.when(F.col("transaction_id") % 5 > 0, F.col("is_fraud")))
+    return split.class_weights(t).withColumn("weight", r("weight"))
+
+
 @query
 def fraud_by_account_age(spark, sf):
     s = scored_orders(spark, sf)
@@ -663,7 +687,7 @@ def smote_counts(spark, sf):
 
 @query
 def feature_importance(spark, sf):
-    return models.feature_importance(_model_rows(spark, sf), _MODEL_FEATURES, trees=20, depth=6)
+    return models.feature_importance(_model_rows(spark, sf), _MODEL_FEATURES)
 
 
 # The hidden probability behind the views' labels, offered to the models as one more field.
@@ -681,13 +705,8 @@ def model_comparison(spark, sf):
 
 @query
 def wide_model_comparison(spark, sf):
-    """The five-model comparison with shallower trees, ranked by F1."""
-    def candidates(rows: int) -> dict:
-        return {"Logistic Regression": models.logistic(rows, "default", max_iter=50), "Decision Tree": models.tree("small"),
-                "Random Forest": models.forest("small", balanced=False), "SVM": models.linear_svm(max_iter=20),
-                "Boosted": models.boosted("default", rounds=10, depth=3)}
-
-    got = training.train(_with_signal(txn_orders(spark, sf)), test_fraction=0.2, balance="none", candidates=candidates, numeric=_SIGNAL)
+    """The five-model comparison, ranked by F1."""
+    got = training.train(_with_signal(txn_orders(spark, sf)), test_fraction=0.2, balance="none", candidates=training.comparison_models, numeric=_SIGNAL)
     return metrics.compare_models(got.results, "f1")
 
 
@@ -695,6 +714,6 @@ def wide_model_comparison(spark, sf):
 def trained_scores(spark, sf):
     """Events scored by a model trained on them: probability, rules, decision."""
     t = _with_signal(txn_events(spark, sf))
-    only = lambda rows: {"LogisticRegression": models.logistic(rows, max_iter=50)}
+    only = lambda rows: {"LogisticRegression": models.logistic(rows)}
     fitted = training.train(t, candidates=only, numeric=_SIGNAL).bundle
     return score(t, fitted).select("transaction_id", "ml_prob", "rule_score", "risk_score", "final_label")

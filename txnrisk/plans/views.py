@@ -60,12 +60,14 @@ def scored(txns: DataFrame, threshold: float = fusion.THRESHOLD) -> DataFrame:
 
 def label_events(txns: DataFrame) -> DataFrame:
     """Reviewer feedback on every tenth transaction, with a bad label, an unknown id and a wrong owner mixed in."""
-    tid = F.col("transaction_id")
-    tenth = txns.filter(tid % 10 == 0).select("transaction_id", (F.col("customer_id") % 7).alias("user_id"),
-                                              F.col("is_fraud").alias("label"), F.lit(1).alias("seq"))
-    changed = tenth.filter(tid % 50 == 0)
-    return (tenth
-            .unionByName(changed.withColumns({"label": F.lit(2), "seq": F.lit(2)}))
-            .unionByName(changed.withColumns({"transaction_id": -1 - tid, "seq": F.lit(3)}))
-            .unionByName(changed.withColumns({"user_id": F.col("user_id") + 1, "seq": F.lit(4)}))
-            .unionByName(tenth.filter(tid % 30 == 0).withColumns({"label": 1 - F.col("label"), "seq": F.lit(5)})))
+    tid, label = F.col("transaction_id"), F.col("is_fraud")
+    user = F.col("customer_id") % 7
+
+    def event(seq: int, when: Column, transaction: Column = tid, owner: Column = user, given: Column = label) -> Column:
+        return F.when(when, F.struct(transaction.alias("transaction_id"), owner.alias("user_id"), given.alias("label"), F.lit(seq).alias("seq")))
+
+    fiftieth = tid % 50 == 0
+    events = F.array(event(1, F.lit(True)), event(2, fiftieth, given=F.lit(2)), event(3, fiftieth, transaction=-1 - tid),
+                     event(4, fiftieth, owner=user + 1), event(5, tid % 30 == 0, given=1 - label))
+    # One scan, whatever the number of events a transaction gets.
+    return txns.filter(tid % 10 == 0).select(F.inline(F.array_compact(events)))

@@ -23,10 +23,18 @@ def transaction_rows(scored: DataFrame, record_columns: list[str]) -> DataFrame:
     return scored.select(
         key.alias("id"), F.col("user_id").cast("long").alias("user_id"), record.alias("data"), "predicted",
         F.round("ml_prob", 6).alias("probability"), F.lit(None).cast("int").alias("actual_label"),
-        made.alias("created_at"), path.alias("kyc_document_path"))
+        made.alias("created_at"), path.alias("kyc_document_path"),
+        *(["stored_id"] if "stored_id" in scored.columns else []))
+
+
+def with_stored_id(scored: DataFrame) -> DataFrame:
+    """Add an id of its own for each row, however often a transaction is scored and whether it has an id."""
+    return scored if "stored_id" in scored.columns else scored.withColumn("stored_id", F.expr("uuid()"))
 
 
 def write_scored(scored: DataFrame, path: str, record_columns: list[str]) -> None:
+    """Append the transactions. To let alerts refer to stored rows, write ``with_stored_id`` rows and alerts built from what
+    was written: an id is drawn anew each time the rows are computed."""
     _append_by_day(transaction_rows(scored, record_columns), path, "created_date")
 
 
