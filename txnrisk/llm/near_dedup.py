@@ -25,6 +25,8 @@ from txnrisk.llm.text import mixed, needed, portions, sorted_counts, texts_of, w
 
 POSITIONS, CHUNKS, ERRORS = 64, 16, 1
 DISTANCE = (ERRORS + 1) * CHUNKS - 1
+#: Ids (8 bytes each) up to which they are broadcast; beyond that the join shuffles.
+FEW = 1_000_000
 #: Shingles whose hashes are permuted at a time.
 BLOCK = 1 << 14
 
@@ -61,11 +63,12 @@ def signature(hashes: np.ndarray, times: np.ndarray, plus: np.ndarray) -> bytes:
     return (mixed(least) >> np.uint64(48)).astype("<u2").tobytes()
 
 
-def marked_sets(docs: DataFrame, k: int, carry: list[str], seed: int = 3, with_text: bool = False) -> DataFrame:
-    """The ``carry`` columns (as c0, c1, ...), n_shingles, set_id (a 128-bit digest of the set, null if it is empty) and the
-    signature, or with ``with_text`` the compressed words in its place."""
+def marked_sets(docs: DataFrame, k: int, carry: list[str], extra: str | None = None, seed: int = 3) -> DataFrame:
+    """The ``carry`` columns (as c0, c1, ...), n_shingles and set_id, a 128-bit digest of the set, null if it is empty; with
+    ``extra`` also the signature (``sig``) or the compressed words (``words``)."""
     source = docs.select(*[F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(carry)], F.col("text").cast("binary").alias("t"))
-    schema = T.StructType(source.schema.fields[: len(carry)]).add("n_shingles", "long").add("set_id", "binary").add("words" if with_text else "sig", "binary")
+    schema = T.StructType(source.schema.fields[: len(carry)]).add("n_shingles", "long").add("set_id", "binary")
+    schema = schema.add(extra, "binary") if extra else schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         times, plus = multipliers(seed)
@@ -76,8 +79,11 @@ def marked_sets(docs: DataFrame, k: int, carry: list[str], seed: int = 3, with_t
             ends = np.cumsum([len(t) for t in texts])
             sets = [shingle_set(hashes[e - len(t) : e], k) for t, e in zip(texts, ends, strict=True)]
             ids = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-            last = [squeeze.compress(b" ".join(t)) for t in texts] if with_text else [signature(s, times, plus) if len(s) else None for s in sets]
-            columns = [*[batch.column(i) for i in range(len(carry))], pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.binary()), pa.array(last, pa.binary())]
+            columns = [*[batch.column(i) for i in range(len(carry))], pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.binary())]
+            if extra == "words":
+                columns.append(pa.array([squeeze.compress(b" ".join(t)) for t in texts], pa.binary()))
+            elif extra:
+                columns.append(pa.array([signature(s, times, plus) if len(s) else None for s in sets], pa.binary()))
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return source.mapInArrow(run, schema)
@@ -178,15 +184,20 @@ def links(docs: DataFrame, sets: DataFrame, k: int, share: tuple[int, int]) -> D
 
 
 def words_of(docs: DataFrame, sets: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
-    """``sid`` and the compressed words of each set that occurs in a pair."""
-    wanted = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct().join(sets.select("sid", "set_id"), "sid")
-    texts = marked_sets(docs, k, [], with_text=True).filter("set_id is not null").select("set_id", "words")
-    return written(texts.join(wanted, "set_id").groupBy("sid").agg(F.min("words").alias("words")))
+    """``sid`` and the compressed words of each set that occurs in a pair, from the document of least id that has the set."""
+    ids = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
+    wanted = written(ids.join(sets.select("sid", "set_id", "low"), "sid"))
+    low = wanted.filter("low IS NOT NULL").select(F.col("low").alias("doc_id")).distinct()
+    low = F.broadcast(low) if wanted.count() <= FEW else low
+    # Only texts of these ids are looked at again. An id may have other texts too, and sets may be found under no id only.
+    texts = docs.join(low, "doc_id", "left_semi").unionByName(docs.filter("doc_id IS NULL"))
+    found = marked_sets(texts, k, [], "words").filter("set_id IS NOT NULL").select("set_id", "words")
+    return written(found.join(wanted.select("sid", "set_id"), "set_id").groupBy("sid").agg(F.min("words").alias("words")))
 
 
 def grouped(docs: DataFrame, k: int, share: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
     """The documents (doc_id, n_shingles, set_id), and for each set_id its ``group`` and the group's ``component_id``."""
-    marked = written(marked_sets(docs, k, ["doc_id"]).withColumnRenamed("c0", "doc_id"))
+    marked = written(marked_sets(docs, k, ["doc_id"], "sig").withColumnRenamed("c0", "doc_id"))
     some = marked.filter("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("low"), F.min("sig").alias("sig"))
     sets = written(some.withColumn("sid", F.monotonically_increasing_id()))
     joined = components(links(docs, sets, k, share)).withColumnRenamed("node", "sid")

@@ -204,20 +204,24 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     again = runs.groupBy("digest").agg(F.min("uid").alias("first"), F.max("uid").alias("last")).filter("first != last").select("digest")
     looked_up = runs.join(again, "digest", "left_semi").select("uid", "doc_id", "start", (F.col("start") + min_words).alias("end"))
     every = whole.unionByName(extended).unionByName(looked_up)
-    grouped = every.groupBy("uid").agg(F.min("doc_id").alias("doc_id"), F.collect_set(F.struct("start", "end")).alias("spans"))
+    # A span is one number, so that a document's spans are a flat list.
+    packed = (F.shiftleft("start", 32) + F.col("end")).alias("span")
+    grouped = every.select("uid", "doc_id", packed).groupBy("uid").agg(F.min("doc_id").alias("doc_id"), F.collect_set("span").alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = []
-            for doc_id, spans in zip(batch.column("doc_id").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-                joined: list[list[int]] = []
-                for s in sorted((x["start"], x["end"]) for x in spans):
-                    if joined and s[0] <= joined[-1][1]:
-                        joined[-1][1] = max(joined[-1][1], s[1])
-                    else:
-                        joined.append(list(s))
-                made += [(doc_id, a, b) for a, b in joined]
-            ids, a, b = (list(x) for x in zip(*made, strict=True)) if made else ([], [], [])
-            yield arrays(doc_id=pa.array(ids, pa.int64()), start_word=pa.array(a, pa.int64()), end_word=pa.array(b, pa.int64()), n_words=pa.array([y - x for x, y in zip(a, b, strict=True)], pa.int64()))
+            if not batch.num_rows:
+                continue
+            lists = batch.column("spans")
+            spans = lists.flatten().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+            order = np.lexsort((spans, row))
+            row, start, end = row[order], spans[order] >> 32, spans[order] & 0xFFFFFFFF
+            # Shifted by document, the greatest end so far never reaches into the next document.
+            reach = np.maximum.accumulate(end + (row << 33))
+            first = np.flatnonzero(np.concatenate(([True], start[1:] + (row[1:] << 33) > reach[:-1])))
+            last = np.append(first[1:], len(row)) - 1
+            a, b = start[first], reach[last] - (row[first] << 33)
+            yield arrays(doc_id=batch.column("doc_id").take(pa.array(row[first])), start_word=pa.array(a), end_word=pa.array(b), n_words=pa.array(b - a))
 
     return grouped.select("doc_id", "spans").mapInArrow(run, "doc_id long, start_word long, end_word long, n_words long")
