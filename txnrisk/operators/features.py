@@ -118,7 +118,9 @@ def dummy_columns(levels: dict[str, list], drop_first: bool = True) -> dict[str,
 
 
 def one_hot(df: DataFrame, columns: list[str], levels: dict[str, list] | None = None, drop_first: bool = True) -> DataFrame:
+    """Replace the columns by their dummies; a column with fitted levels that the data lacks gives none."""
     levels = levels or fit_levels(df, columns)
+    levels = {c: found for c, found in levels.items() if c in df.columns}
     return df.withColumns(dummy_columns(levels, drop_first)).drop(*columns)
 
 
@@ -142,15 +144,15 @@ def chi2_scores(df: DataFrame, columns: list[str], label: str = "is_fraud") -> D
 def risk_features(df: DataFrame, cut: float) -> DataFrame:
     """The model's features from raw transaction fields, the same in training, batch and stream.
 
-    ``cut`` is the fitted amount above which ``high_amount`` is set.
+    ``cut`` is the fitted amount above which ``high_amount`` is set. Features of a field that the data lacks are not made.
     """
-    ready = df.withColumns({
-        "amount": cleaning.number_or_zero(F.col("transaction_amount")),
-        "account_age_days": cleaning.number_or_zero(F.col("account_age_days")),
-        "kyc_verified": cleaning.kyc_flag(F.col("kyc_verified")),
-        "channel": cleaning.channel_name(F.col("channel")),
-    })
-    ready = time_features(ready).withColumn("log_amount", log_amount(F.col("amount")))
-    return high_amount_night(high_amount(ready, cut=cut))
+    made = {"transaction_amount": ("amount", cleaning.number_or_zero), "account_age_days": ("account_age_days", cleaning.number_or_zero),
+            "kyc_verified": ("kyc_verified", cleaning.kyc_flag), "channel": ("channel", cleaning.channel_name)}
+    ready = df.withColumns({name: of(F.col(field)) for field, (name, of) in made.items() if field in df.columns})
+    if "timestamp" in df.columns:
+        ready = time_features(ready)
+    if "amount" in ready.columns:
+        ready = high_amount_night(high_amount(ready.withColumn("log_amount", log_amount(F.col("amount"))), cut=cut))
+    return ready
 
 

@@ -13,7 +13,9 @@ from txnrisk.sources.bundle import Bundle
 
 
 def score_stream(stream: DataFrame, bundle: Bundle) -> DataFrame:
-    """Scored transactions; ``created_at`` is the transaction's own time (and keeps its watermark)."""
+    """Scored transactions; ``created_at`` is the transaction's own time (and keeps its watermark), null in data without one."""
+    if "timestamp" not in stream.columns:
+        return score(stream, bundle).withColumn("created_at", F.lit(None).cast("timestamp"))
     when = F.col("timestamp")
     if stream.schema["timestamp"].dataType != TimestampType():
         when = cleaning.to_timestamp(when)
