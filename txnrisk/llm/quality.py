@@ -1,7 +1,7 @@
 """Quality and toxicity by co-training.
 
 Two classifiers look at a document from different sides: one at the words of its text, one at its metadata (source, language,
-length and layout figures). Over some rounds each labels the documents of an unlabelled pool that it is sure of, and the other
+length and layout figures). Either sums the log-odds of the features that tell the classes apart beyond chance. Over some rounds each labels the documents of an unlabelled pool that it is sure of, and the other
 learns from them. Both are then calibrated on documents kept out of training, and the calibrated views are combined to score
 every document.
 """
@@ -16,18 +16,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame, functions as F
 
 from txnrisk.llm.shared import written
 from txnrisk.llm.text import id_remainder, portions
 
 #: Places of hashed features in either view.
-TEXT_PLACES, META_PLACES = 1 << 18, 512
-#: Fitting reads at most about this many labelled documents and as many unlabelled ones; scoring reads all.
-SAMPLE = 16_000
+TEXT_PLACES, META_PLACES = 1 << 20, 512
+#: Fitting reads at most about this many labelled and unlabelled documents; scoring reads all.
+SAMPLE, POOL = 30_000, 10_000
 ROUNDS = 2
+#: A feature counts if its log-odds are this many standard errors from 0.
+BEYOND_CHANCE = 4.0
 #: A view hands on documents whose probability is this near to 0 or 1.
 SURE = 0.02
 REMEMBERED = 400_000
@@ -53,15 +53,11 @@ def word_places(word: bytes) -> tuple[int, ...]:
     return place(b"w", word, TEXT_PLACES), place(b"p", word.decode("utf-8", "ignore")[:4].encode(), TEXT_PLACES)
 
 
-def text_features(text: bytes) -> dict[int, float]:
-    found: dict[int, float] = {}
-    for word in content_words(text):
-        for p in word_places(word):
-            found[p] = found.get(p, 0.0) + 1.0
-    return found
+def text_features(text: bytes) -> set[int]:
+    return {p for word in content_words(text) for p in word_places(word)}
 
 
-def meta_features(text: bytes, source: str | None, lang: str | None) -> dict[int, float]:
+def meta_features(text: bytes, source: str | None, lang: str | None) -> set[int]:
     """Source and language as they are, and figures of length and layout cut into classes."""
     words = text.split()
     n = max(1, len(words))
@@ -73,32 +69,31 @@ def meta_features(text: bytes, source: str | None, lang: str | None) -> dict[int
         b"bars": min(8, round(20 * words.count(b"|") / n)), b"lines": math.log2(text.count(b"\n") + 1), b"digits": min(10, round(20 * sum(map(text.count, (b"0", b"1", b"5"))) / max(1, len(text)))),
         b"runs": min(6, len(MARKS.findall(text)) * 20 // n),
     }
-    found = {place(k, str(int(v)).encode(), META_PLACES): 1.0 for k, v in figures.items()}
-    found[place(b"source", str(source).encode(), META_PLACES)] = 1.0
-    found[place(b"lang", str(lang).encode(), META_PLACES)] = 1.0
-    return found
+    found = {place(k, str(int(v)).encode(), META_PLACES) for k, v in figures.items()}
+    return found | {place(b"source", str(source).encode(), META_PLACES), place(b"lang", str(lang).encode(), META_PLACES)}
 
 
 @dataclass(frozen=True)
-class Linear:
-    """A linear view: weights by place and an intercept; ``calibrated`` holds slope and offset of its log-odds."""
+class View:
+    """The log-odds of each feature place (0 for those that tell nothing) and of the classes."""
 
     weights: np.ndarray
     intercept: float
 
-    def log_odds(self, features: dict[int, float]) -> float:
-        return float(self.intercept + sum(self.weights[p] * v for p, v in features.items()))
 
-
-def fit(rows: DataFrame, features: str, places: int, penalty: float, elastic: float, iterations: int = 25) -> Linear:
-    """Logistic regression with Spark's own solver. With one class only, the log-odds of its smoothed share."""
-    seen = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if len(seen) < 2:
-        total, ones = sum(seen.values()), seen.get(1.0, 0)
-        return Linear(np.zeros(places), math.log((ones + 1) / (total - ones + 1)))
-    solver = LogisticRegression(featuresCol=features, labelCol="label", maxIter=iterations, regParam=penalty, elasticNetParam=elastic)
-    model = solver.fit(rows.select(features, F.col("label")))
-    return Linear(model.coefficients.toArray(), model.intercept)
+def fit(rows: DataFrame, features: str, places: int) -> View:
+    """From rows with ``label`` (0 or 1) and a list of feature places. One aggregation; what is collected has at most a row for
+    each place. With one class only, nothing tells the classes apart."""
+    totals = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    ones, zeros = totals.get(1, 0), totals.get(0, 0)
+    weights, intercept = np.zeros(places), math.log((ones + 1) / (zeros + 1))
+    if ones and zeros:
+        counts = rows.select("label", F.explode(features).alias("place")).groupBy("place").agg((F.sum("label") + 0.5).alias("a"), (F.count(F.lit(1)) - F.sum("label") + 0.5).alias("b"))
+        odds = F.log(F.col("a") / (ones + 1)) - F.log(F.col("b") / (zeros + 1))
+        told = counts.withColumn("odds", odds).filter(F.abs("odds") >= BEYOND_CHANCE * F.sqrt(1 / F.col("a") + 1 / F.col("b")))
+        for r in told.select("place", "odds").collect():
+            weights[r["place"]] = r["odds"]
+    return View(weights, intercept)
 
 
 def platt(pairs: list[tuple[list[float], float]]) -> np.ndarray:
@@ -123,123 +118,136 @@ def platt(pairs: list[tuple[list[float], float]]) -> np.ndarray:
 class Combined:
     """Both views of one target with their calibrations and the combination of the calibrated log-odds."""
 
-    text: Linear
-    meta: Linear
+    text: View
+    meta: View
     by_text: np.ndarray
     by_meta: np.ndarray
     both: np.ndarray
 
     def probability(self, text_odds: float, meta_odds: float) -> float:
-        a = self.by_text[0] * min(30.0, max(-30.0, text_odds)) + self.by_text[1]
-        b = self.by_meta[0] * min(30.0, max(-30.0, meta_odds)) + self.by_meta[1]
-        z = self.both[0] * a + self.both[1] * b + self.both[2]
-        return 1 / (1 + math.exp(-min(30.0, max(-30.0, z))))
+        a = self.by_text[0] * bounded(text_odds) + self.by_text[1]
+        b = self.by_meta[0] * bounded(meta_odds) + self.by_meta[1]
+        return 1 / (1 + math.exp(-bounded(self.both[0] * a + self.both[1] * b + self.both[2])))
 
 
-def sampled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
+def sampled(docs: DataFrame, labels: DataFrame, sample: int, pool: int) -> DataFrame:
     """Features of a bounded sample of labelled and of unlabelled documents, chosen by a hash of the id: doc_id, quality,
-    toxic, fold (0: for calibration), text_places, text_values, meta_places."""
+    toxic, fold (0: for calibration), text, meta (lists of feature places)."""
     known = labels.select("doc_id", "quality", "toxic").filter("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
     n_known, n_all = known.count(), docs.filter("doc_id IS NOT NULL").count()
     chance = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) / 1_000_000
     few = known.filter(chance < min(1.0, sample / max(1, n_known)))
     ids = docs.filter("doc_id IS NOT NULL").select("doc_id")
-    pool = ids.filter(chance < min(1.0, sample / max(1, n_all))).join(known.select("doc_id"), "doc_id", "left_anti").distinct()
-    wanted = few.unionByName(pool.select("doc_id", F.lit(None).cast("int").alias("quality"), F.lit(None).cast("int").alias("toxic")))
+    others = ids.filter(chance < min(1.0, pool / max(1, n_all))).join(known.select("doc_id"), "doc_id", "left_anti").distinct()
+    wanted = few.unionByName(others.select("doc_id", F.lit(None).cast("int").alias("quality"), F.lit(None).cast("int").alias("toxic")))
     rows = docs.join(wanted, "doc_id").select("doc_id", "quality", "toxic", id_remainder(F.col("doc_id"), 5).alias("fold"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches):
             texts = [t or b"" for t in batch.column("text").to_pylist()]
-            one = [dict(sorted(text_features(t).items())) for t in texts]
+            one = [sorted(text_features(t)) for t in texts]
             two = [sorted(meta_features(t, s, g)) for t, s, g in zip(texts, batch.column("source").to_pylist(), batch.column("lang").to_pylist(), strict=True)]
-            columns = [*batch.columns[:3], batch.column("fold").cast(pa.int64()), pa.array([list(x) for x in one], pa.list_(pa.int32())), pa.array([list(x.values()) for x in one], pa.list_(pa.float64())), pa.array(two, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "quality", "toxic", "fold", "text_places", "text_values", "meta_places"])
+            columns = [*batch.columns[:3], batch.column("fold").cast(pa.int64()), pa.array(one, pa.list_(pa.int32())), pa.array(two, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "quality", "toxic", "fold", "text", "meta"])
 
-    return rows.mapInArrow(run, "doc_id long, quality int, toxic int, fold long, text_places array<int>, text_values array<double>, meta_places array<int>")
+    return rows.mapInArrow(run, "doc_id long, quality int, toxic int, fold long, text array<int>, meta array<int>")
 
 
 def co_train(sample: DataFrame, target: str, rounds: int, sure: float) -> Combined:
-    """Fits both views of one target; ``sample`` as ``sampled`` makes it, with the vectors ``text`` and ``meta``."""
+    """Fits both views of one target; ``sample`` as ``sampled`` makes it."""
     given = F.col(target).isNotNull()
-    known = sample.filter(given & (F.col("fold") != 0)).select("text", "meta", F.col(target).cast("double").alias("label"))
-    pool = sample.filter(~given).select("doc_id", "text", "meta")
-    held = sample.filter(given & (F.col("fold") == 0)).select("text", "meta", F.col(target).cast("double").alias("label"))
+    known = sample.filter(given & (F.col("fold") != 0)).select("text", "meta", F.col(target).alias("label"))
+    pool = sample.filter(~given).select("text", "meta", F.lit(None).cast("int").alias("label"))
+    held = sample.filter(given & (F.col("fold") == 0)).select("text", "meta", F.col(target).alias("label"))
     for_text, for_meta = known, known
     for step in range(rounds):
-        text = fit(for_text, "text", TEXT_PLACES, 1e-4, 1.0)
-        meta = fit(for_meta, "meta", META_PLACES, 1e-4, 0.0)
+        text, meta = fit(for_text, "text", TEXT_PLACES), fit(for_meta, "meta", META_PLACES)
         if step == rounds - 1:
             break
         scored = with_odds(pool, text, meta)
+        # The sums are not probabilities yet, so each view is calibrated on the labels before it is trusted.
+        a, b = calibrations(known, text, meta)
         edge = math.log((1 - sure) / sure)
+        scored = scored.withColumns({"text_odds": F.col("text_odds") * float(a[0]) + float(a[1]), "meta_odds": F.col("meta_odds") * float(b[0]) + float(b[1])})
         by_text, by_meta = F.abs("text_odds") > edge, F.abs("meta_odds") > edge
         agree = (F.col("text_odds") > 0) == (F.col("meta_odds") > 0)
-        told = lambda c: (F.col(c) > 0).cast("double").alias("label")
+        told = lambda c: (F.col(c) > 0).cast("int").alias("label")
         # What one view is sure of goes to the other, unless that is just as sure of the opposite.
         for_meta = known.unionByName(scored.filter(by_text & (agree | ~by_meta)).select("text", "meta", told("text_odds")))
         for_text = known.unionByName(scored.filter(by_meta & (agree | ~by_text)).select("text", "meta", told("meta_odds")))
-    odds = [(r["text_odds"], r["meta_odds"], r["label"]) for r in with_odds(held, text, meta).select("text_odds", "meta_odds", "label").collect()]
-    by_text, by_meta = platt([([a], y) for a, _, y in odds]), platt([([b], y) for _, b, y in odds])
-    calibrated = [([by_text[0] * min(30, max(-30, a)) + by_text[1], by_meta[0] * min(30, max(-30, b)) + by_meta[1]], y) for a, b, y in odds]
+    odds = found_odds(held, text, meta)
+    by_text, by_meta = platt([([x], y) for x, _, y in odds]), platt([([x], y) for _, x, y in odds])
+    calibrated = [([by_text[0] * bounded(x) + by_text[1], by_meta[0] * bounded(z) + by_meta[1]], y) for x, z, y in odds]
     both = platt(calibrated)
     return Combined(text, meta, by_text, by_meta, both if len(both) == 3 else np.array([0.5, 0.5, 0.0]))
 
 
-def with_odds(rows: DataFrame, text: Linear, meta: Linear) -> DataFrame:
-    """Adds the log-odds of both views to rows with the vectors ``text`` and ``meta``."""
+def bounded(odds: float) -> float:
+    return min(30.0, max(-30.0, odds))
+
+
+def found_odds(rows: DataFrame, text: View, meta: View) -> list[tuple[float, float, int]]:
+    """Both log-odds and the label of labelled rows, of which there are a bounded number."""
+    return [(r["text_odds"], r["meta_odds"], r["label"]) for r in with_odds(rows, text, meta).select("text_odds", "meta_odds", "label").collect()]
+
+
+def calibrations(rows: DataFrame, text: View, meta: View) -> tuple[np.ndarray, np.ndarray]:
+    odds = found_odds(rows, text, meta)
+    return platt([([x], y) for x, _, y in odds]), platt([([x], y) for _, x, y in odds])
+
+
+def with_odds(rows: DataFrame, text: View, meta: View) -> DataFrame:
+    """(text, meta, label, text_odds, meta_odds) for rows with feature places and a label."""
     models = rows.sparkSession.sparkContext.broadcast((text, meta))
 
-    @F.udf("struct<a: double, b: double>")
-    def both(x, y):
-        one, two = models.value
-        return float(one.weights[x.indices] @ x.values + one.intercept), float(two.weights[y.indices] @ y.values + two.intercept)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums = []
+            for name, view in zip(("text", "meta"), models.value, strict=True):
+                lists = batch.column(name)
+                owner = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+                sums.append(np.bincount(owner, view.weights[lists.flatten().to_numpy(zero_copy_only=False)], batch.num_rows) + view.intercept)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sums[0]), pa.array(sums[1])], ["text", "meta", "label", "text_odds", "meta_odds"])
 
-    return rows.withColumn("odds", both("text", "meta")).withColumn("text_odds", F.col("odds.a")).withColumn("meta_odds", F.col("odds.b")).drop("odds")
+    return rows.select("text", "meta", "label").mapInArrow(run, "text array<int>, meta array<int>, label int, text_odds double, meta_odds double")
 
 
-class WordWeights(dict):
-    """What a word adds to the log-odds of each target, remembered in a task."""
+class ToldPlaces(dict):
+    """The places of a word that tell something about any target, remembered in a task; most words have none."""
 
     def __init__(self, models: list[Combined]):
-        self.models = models
+        self.told = np.any([m.text.weights != 0 for m in models], axis=0)
 
-    def __missing__(self, word: bytes) -> complex:
+    def __missing__(self, word: bytes) -> tuple[int, ...]:
         if len(self) >= REMEMBERED:
             self.clear()
-        at = list(word_places(word))
-        first, second = (float(m.text.weights[at].sum()) for m in self.models)
-        value = self[word] = complex(first, second)  # one sum over the words adds up both targets
-        return value
+        found = self[word] = tuple(p for p in word_places(word) if self.told[p])
+        return found
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int = ROUNDS, sure: float = SURE) -> DataFrame:
+def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, pool: int = POOL, rounds: int = ROUNDS, sure: float = SURE) -> DataFrame:
     """One row per row of ``docs`` (doc_id, source, lang, text): doc_id, quality, toxic (probabilities) and kept, which is true
     if quality is 0.5 or more and toxic is below 0.5.
 
     ``labels`` has doc_id, quality and toxic (0 or 1); rows with a null take no part, and of several labels for an id the
-    greatest counts. Only fitting is bounded, to about ``sample`` labelled and ``sample`` unlabelled documents. Without labels
+    greatest counts. Only fitting is bounded, to about ``sample`` labelled and ``pool`` unlabelled documents. Without labels
     every document gets 0.5 and 0.5 and is not kept. A null text is empty; null source and language are values of their own;
     null ids are scored too; repeated rows are scored alike. An empty table gives no rows; other columns are not read.
     """
     docs = docs.select("doc_id", "source", "lang", "text")
-    vector = F.udf(lambda size, at, values: Vectors.sparse(size, at, values), VectorUDT())
-    marked = written(sampled(docs, labels, sample))
-    ones = F.transform("meta_places", lambda x: F.lit(1.0))
-    ready = marked.select("doc_id", "quality", "toxic", "fold", vector(F.lit(TEXT_PLACES), "text_places", "text_values").alias("text"), vector(F.lit(META_PLACES), "meta_places", ones).alias("meta"))
-    ready = written(ready.repartition(2 * docs.sparkSession.sparkContext.defaultParallelism))
+    ready = written(sampled(docs, labels, sample, pool))
     held = docs.sparkSession.sparkContext.broadcast([co_train(ready, target, rounds, sure) for target in ("quality", "toxic")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models = held.value
-        weights = WordWeights(models)
+        told = ToldPlaces(models)
         for batch in portions(batches):
             scores = []
             for text, source, lang in zip(batch.column("text").to_pylist(), batch.column("source").to_pylist(), batch.column("lang").to_pylist(), strict=True):
                 text = text or b""
-                total = sum([weights[w] for w in content_words(text)], 0j)
-                at = list(meta_features(text, source, lang))
-                scores.append([m.probability(m.text.intercept + x, m.meta.intercept + float(m.meta.weights[at].sum())) for m, x in zip(models, (total.real, total.imag), strict=True)])
+                words = list({p for w in content_words(text) for p in told[w]})
+                about = list(meta_features(text, source, lang))
+                scores.append([m.probability(m.text.intercept + float(m.text.weights[words].sum()), m.meta.intercept + float(m.meta.weights[about].sum())) for m in models])
             found = np.array(scores).reshape(-1, 2)
             kept = (found[:, 0] >= 0.5) & (found[:, 1] < 0.5)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(found[:, 0]), pa.array(found[:, 1]), pa.array(kept)], ["doc_id", "quality", "toxic", "kept"])
