@@ -16,6 +16,7 @@ HIGH_QUANTILE = 0.95
 # In microseconds.
 _MINUTE = 60 * 1_000_000
 _DAY = 24 * 60 * _MINUTE
+_MINUTES = 24 * 60
 
 
 def time_features(df: DataFrame, column: str = "timestamp") -> DataFrame:
@@ -71,8 +72,8 @@ def velocity_24h(df: DataFrame) -> DataFrame:
     That is C(t) - C(t - 24 h), with C(x) the customer's transactions up to x. Every distinct time goes
     in twice, as itself and as a probe 24 hours earlier. A customer with a large share of the rows must
     not become one window partition, and a sliding frame would look at all of the 24 hours for each
-    row, so C is put together from two running sums: one over the customer's minutes, one inside
-    each minute. Rows without a customer or time get 0.
+    row, so C is put together from running sums over the customer's days, the minutes of each day and
+    the times of each minute. Rows without a customer or time get 0.
     """
     micros = F.unix_micros(F.col("timestamp").cast("timestamp"))
     minute = F.floor(F.col("_us") / _MINUTE)
@@ -85,11 +86,17 @@ def velocity_24h(df: DataFrame) -> DataFrame:
     us = F.col("_us")
     both = rows(us, F.col("n"), us, 1, per_time).unionByName(rows(us - _DAY, F.lit(0), us, -1, per_time))
     minutes = both.groupBy("customer_id", minute.alias("_minute")).agg(F.sum("n").alias("n"))
-    # One row per customer and minute: bounded by the time the data spans.
-    earlier = Window.partitionBy("customer_id").orderBy("_minute").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("n").over(earlier), F.lit(0))
+    day = F.floor(F.col("_minute") / _MINUTES)
+    # One row per customer and day; what came before a day goes along as a mark at its start, so no window holds more
+    # than the days of a customer or the minutes of a day.
+    days = minutes.groupBy("customer_id", day.alias("_day")).agg(F.sum("n").alias("n"))
+    earlier = Window.partitionBy("customer_id").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    starts = days.select("customer_id", (F.col("_day") * _MINUTES).alias("_minute"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n"), F.lit(0).alias("_real"))
+    sooner = Window.partitionBy("customer_id", day).orderBy("_minute", "_real").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("n").over(sooner), F.lit(0))
+    minutes = minutes.withColumn("_real", F.lit(1)).unionByName(starts).withColumn("before", before).filter("_real = 1")
     # What came before the minute goes along as a mark at its start, so the sum inside the minute needs no join.
-    marks = rows(F.col("_minute") * _MINUTE, F.col("before"), F.lit(None), 0, minutes.withColumn("before", before))
+    marks = rows(F.col("_minute") * _MINUTE, F.col("before"), F.lit(None), 0, minutes)
     inside = Window.partitionBy("customer_id", minute).orderBy("_us").rangeBetween(Window.unboundedPreceding, 0)
     counted = (both.unionByName(marks).select("customer_id", "_at", (F.sum("n").over(inside) * F.col("_sign")).alias("c"))
                .filter(F.col("_at").isNotNull()).groupBy("customer_id", F.col("_at").alias("_us"))

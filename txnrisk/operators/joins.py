@@ -27,6 +27,13 @@ def skew_join(left: DataFrame, right: DataFrame, on: list[str], counts: DataFram
     rows never shuffle. All other keys take the ordinary join, which is the whole plan where no key is
     hot. ``counts`` (key columns and ``n``) may be passed where the caller has it already.
     """
+    keyed = reduce(lambda a, b: a & b, [F.col(key).isNotNull() for key in on])
+    # Rows without a key join nothing; they go past the join instead of meeting in one of its partitions.
+    joined = _keyed_join(left.filter(keyed), right, on, counts)
+    return joined.unionByName(left.filter(~keyed), allowMissingColumns=True)
+
+
+def _keyed_join(left: DataFrame, right: DataFrame, on: list[str], counts: DataFrame | None) -> DataFrame:
     hot = hot_keys(counts if counts is not None else left.groupBy(*on).agg(F.count("*").alias("n")), on)
     if hot is None:
         return left.join(right, on, "left")
