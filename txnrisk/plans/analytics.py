@@ -205,11 +205,21 @@ def run_named_query(name: str, scored: DataFrame, alerts: DataFrame, as_of: Colu
 def run_sql(spark: SparkSession, text: str, tables: dict[str, DataFrame]) -> DataFrame:
     """Run a caller's SELECT over temporary views.
 
-    The text stands in a subquery, where the SQL grammar admits queries only, so it cannot change anything.
+    The text stands in a subquery, where the SQL grammar admits queries only, so it cannot change anything. The views are there
+    only while the text is analyzed; views of the same names that the caller has come back afterwards.
     """
-    for name, df in tables.items():
-        df.createOrReplaceTempView(name)
-    return spark.sql(f"SELECT * FROM (\n{text.strip().rstrip(';')}\n)")
+    temporary = {t.name for t in spark.catalog.listTables() if t.isTemporary}
+    before = {name: spark.table(name) for name in tables if name in temporary}
+    try:
+        for name, df in tables.items():
+            df.createOrReplaceTempView(name)
+        return spark.sql(f"SELECT * FROM (\n{text.strip().rstrip(';')}\n)")
+    finally:
+        for name in tables:
+            if name in before:
+                before[name].createOrReplaceTempView(name)
+            else:
+                spark.catalog.dropTempView(name)
 
 
 def answer(question: str, scored: DataFrame, alerts: DataFrame, as_of: Column | datetime) -> tuple[str, DataFrame]:

@@ -349,6 +349,18 @@ ORACLES: dict[str, str] = {
     "split_null_ids": txn(ORDERS) + "SELECT is_fraud, count(*) AS n, count(*) FILTER (transaction_id % 3 = 0) AS without_id FROM txn GROUP BY 1",
     "class_weights_unlabelled": txn(ORDERS) + """, l AS (SELECT is_fraud FROM txn WHERE transaction_id % 5 > 0)
         SELECT is_fraud, count(*) AS count, round((SELECT count(*) FROM l) / ((SELECT count(DISTINCT is_fraud) FROM l) * count(*)), 6) AS weight FROM l GROUP BY 1""",
+    "normalize_columns": txn(ORDERS) + "SELECT transaction_id, transaction_amount AS amount_paid, kyc_verified FROM txn",
+    "named_query_kyc": chain(ORDERS) + "SELECT kyc_verified AS kyc, count(*) AS fraud_count, round(avg(f.risk_score), 6) AS avg_risk FROM alerts f JOIN txn USING (transaction_id) GROUP BY 1",
+    "sql_by_channel": txn(ORDERS) + "SELECT channel, count(*) AS n, max(transaction_amount) AS most FROM txn GROUP BY 1",
+    "trend_windows": chain(EVENTS) + "SELECT strftime(created_at, '%Y-%m-%d') AS day, count(*) AS count, round(avg(risk_score), 6) AS avg_risk FROM alerts GROUP BY 1",
+    "velocity_windows": txn(EVENTS) + """, w AS (SELECT customer_id, time_bucket(INTERVAL 6 HOUR, "timestamp"::TIMESTAMP, TIMESTAMP '1970-01-01') - k * INTERVAL 6 HOUR AS f
+        FROM txn, range(4) r(k) WHERE "timestamp" IS NOT NULL)
+        SELECT customer_id, strftime(f, '%Y-%m-%d %H:%M:%S') AS "from", count(*) AS txn_count FROM w GROUP BY ALL""",
+    "feature_list": txn(ORDERS) + """, n AS (SELECT unnest(['amount', 'account_age_days', 'kyc_verified', 'hour', 'is_weekend', 'is_night', 'log_amount', 'high_amount', 'high_amount_night']) AS feature,
+            generate_subscripts(range(9), 1) - 1 AS position),
+        c AS (SELECT DISTINCT CASE channel WHEN 0 THEN 'Mobile' WHEN 1 THEN 'POS' WHEN 2 THEN 'ATM' ELSE 'Web' END AS name FROM txn),
+        d AS (SELECT 'channel_' || name AS feature, 8 + row_number() OVER (ORDER BY name) - 1 AS position FROM c)
+        SELECT position::INTEGER AS position, feature FROM n UNION ALL SELECT position::INTEGER, feature FROM d WHERE position > 8""",
     "fraud_by_account_age": chain(ORDERS) + """SELECT CASE WHEN age < 7 THEN 'under 7 days' WHEN age < 30 THEN '7-29 days' WHEN age < 60 THEN '30-59 days' WHEN age < 365 THEN '60-364 days' ELSE '365 days or more' END AS age_group,
         count(*) AS fraud_count, round(avg(f.risk_score), 6) AS avg_risk FROM alerts f JOIN rin USING (transaction_id) GROUP BY 1""",
     "fraud_by_kyc": chain(ORDERS) + "SELECT kyc_verified AS kyc, count(*) AS fraud_count, round(avg(f.risk_score), 6) AS avg_risk FROM alerts f JOIN txn USING (transaction_id) GROUP BY 1",

@@ -14,6 +14,7 @@ from txnrisk.plans.scoring import score
 from txnrisk.plans.views import read_table, txn_events, txn_orders
 from txnrisk.sources.records import parse_record
 from txnrisk.sources.sinks import transaction_rows
+from txnrisk.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -670,6 +671,44 @@ def parsed_records(spark, sf):
     return record.select("transaction_id", *[F.col("record")[n].alias(n) for n in names])
 
 
+@query
+def normalize_columns(spark, sf):
+    t = txn_orders(spark, sf).select("transaction_id", "transaction_amount", "kyc_verified").toDF(" Transaction ID", "Amount  Paid ", "KYC\tVerified")
+    return clean.normalize_columns(t)
+
+
+@query
+def named_query_kyc(spark, sf):
+    s = scored_orders(spark, sf)
+    found = alerts.build_alerts(s)
+    return _rounded_risk(analytics.run_named_query("kyc_status", s, found, analytics.newest(found))[0])
+
+
+@query
+def sql_by_channel(spark, sf):
+    text = "SELECT channel, count(*) AS n, max(transaction_amount) AS most FROM transactions GROUP BY channel;"
+    return analytics.run_sql(spark, text, {"transactions": txn_orders(spark, sf)})
+
+
+@query
+def trend_windows(spark, sf):
+    """The stream's daily trend over a table."""
+    found = jobs.trend_stream(alerts_events(spark, sf), None)
+    return found.select(F.date_format("day_start", "yyyy-MM-dd").alias("day"), "count", r("avg_risk"))
+
+
+@query
+def velocity_windows(spark, sf):
+    """The stream's 24-hour windows over a table, one starting every six hours."""
+    found = jobs.velocity_stream(txn_events(spark, sf), None, "6 hours")
+    return found.select("customer_id", F.date_format("from", "yyyy-MM-dd HH:mm:ss").alias("from"), "txn_count")
+
+
+@query
+def feature_list(spark, sf):
+    return training.fit_bundle(txn_orders(spark, sf)).feature_list(spark)
+
+
 # ---- Resampling and models (fitted models have no SQL twin)
 
 _MODEL_FEATURES = ["transaction_amount", "account_age_days", "channel", "ml_prob"]
