@@ -35,19 +35,19 @@ def test_requests(spark, tmp_path):
     one.write_text(json.dumps({"transaction_id": "a", "transaction_amount": 12.5, "channel": 1}, indent=1))
     many.write_text(json.dumps([{"transaction_id": "b", "kyc_verified": True}, {"transaction_id": "c", "kyc_document_path": "p"}]))
     bad.write_text("\"just text\"")
-    got = {r["transaction_id"]: r for r in readers.accepted_requests(readers.read_requests(spark, [str(one), str(many)])).collect()}
+    got = {r["transaction_id"]: r for r in readers.accepted_requests(readers.read_requests(spark, [str(one), str(many)], whole_files=True)).collect()}
     assert got["a"]["transaction_amount"] == "12.5" and got["a"]["channel"] == "1" and got["b"]["kyc_verified"] == "true"
     assert len(got) == 3
-    assert readers.read_requests(spark, str(bad)).first()[readers.CORRUPT] is not None
+    assert readers.read_requests(spark, str(bad), whole_files=True).first()[readers.CORRUPT] is not None
     with pytest.raises(ValueError):
-        readers.accepted_requests(readers.read_requests(spark, str(bad)))
-    kyc = readers.kyc_from_document(readers.read_requests(spark, str(many)))
+        readers.accepted_requests(readers.read_requests(spark, str(bad), whole_files=True))
+    kyc = readers.kyc_from_document(readers.read_requests(spark, str(many), whole_files=True))
     assert {r["transaction_id"]: r["kyc_verified"] for r in kyc.collect()} == {"b": "0", "c": "1"}
 
 
 def test_line_delimited_requests(spark, tmp_path):
     (tmp_path / "lines.json").write_text('{"transaction_id": "a"}\n{"transaction_id": "b"}\n[broken\n')
-    got = readers.read_requests(spark, str(tmp_path / "lines.json"), whole_files=False)
+    got = readers.read_requests(spark, str(tmp_path / "lines.json"))
     assert readers.accepted_requests(got).count() == 2
 
 

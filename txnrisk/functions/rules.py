@@ -88,6 +88,7 @@ def risk_factor_count() -> Column:
 def rule_hits() -> dict[str, Column]:
     """A boolean column per rule, in evaluation order; the two ``else`` rules exclude their sibling."""
     amount, age, kyc, hour, weekend = _inputs()
+    # The cut-offs of amounts, ages and hours.
     very_high = amount > 500000
     new_high = (age < 30) & (amount > 100000)
     return {

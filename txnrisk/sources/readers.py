@@ -57,9 +57,9 @@ CORRUPT = "_corrupt_record"
 
 
 def read_requests(spark: SparkSession, path: str | list[str], fields: list[str] | None = None,
-                  whole_files: bool = True) -> DataFrame:
-    """Request records, every value as text: a JSON object or a list of objects per file, or with
-    ``whole_files=False`` one object per line, which large files need to be read in parallel.
+                  whole_files: bool = False) -> DataFrame:
+    """Request records, every value as text: one object per line, so that large files are read in parallel, or with
+    ``whole_files`` an object or a list of objects per file.
 
     What is not an object is rejected: it is kept in ``_corrupt_record`` with all fields null.
     """
