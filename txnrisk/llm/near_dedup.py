@@ -4,8 +4,9 @@ A document's set of word shingles gets a signature of ``POSITIONS`` min-hashes,
 agree in each position with probability J. The signature is split into ``CHUNKS`` chunks. By the pigeonhole principle two
 signatures that differ in at most ``(errors + 1) * CHUNKS - 1`` positions have a chunk with at most ``errors`` differences, so
 enumerating the allowed errors of each chunk (leaving out each choice of positions) and joining on what remains finds *every*
-pair within that distance. With 64 positions, 16 chunks and one error the distance is 31; a pair of similarity 0.8 exceeds
-it with a probability of about 1e-8. Candidates are then confirmed on the full sets.
+pair within that distance. With 80 positions, 16 chunks and one error the distance is 31, where a pair of similarity 0.8 is
+expected at 16; farther pairs are found unless all their chunks have more errors, so that a pair of similarity 0.8 is missed
+with a probability of about 1e-9. Candidates are then confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -17,14 +18,20 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from txnrisk.llm.components import components
 from txnrisk.llm.shared import written
 from txnrisk.llm.text import mixed, needed, portions, sorted_counts, texts_of, word_hashes
 
-POSITIONS, CHUNKS, ERRORS = 64, 16, 1
+POSITIONS, CHUNKS, ERRORS = 80, 16, 1
+#: All pairs within this distance are found.
 DISTANCE = (ERRORS + 1) * CHUNKS - 1
+#: Of the pairs found, those within this distance are confirmed on full sets: a pair of similarity 0.8 is beyond it with a
+#: probability of about 1e-8.
+NEAR = 37
+#: Rounds of comparisons with drawn sets, and how many of the nearest of these are confirmed for each set.
+ROUNDS, NEAREST = 3, 4
 #: Ids (8 bytes each) up to which they are broadcast; beyond that the join shuffles.
 FEW = 1_000_000
 #: Shingles whose hashes are permuted at a time.
@@ -118,7 +125,7 @@ def indexed(sets: DataFrame) -> DataFrame:
 
 
 def close(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose signatures are within ``DISTANCE``, with their ``distance``."""
+    """The pairs (a, b, of) whose signatures are within ``NEAR``, with their ``distance``."""
     one = sets.select(F.col("sid").alias("a"), F.col("sig").alias("sig_a"))
     two = sets.select(F.col("sid").alias("b"), F.col("sig").alias("sig_b"))
 
@@ -128,9 +135,9 @@ def close(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, POSITIONS) for c in ("sig_a", "sig_b"))
                 distance = (x != y).sum(axis=1).astype(np.int32)
                 held = batch.drop_columns(["sig_a", "sig_b"]).append_column("distance", pa.array(distance))
-                yield held.filter(pa.array(distance <= DISTANCE))
+                yield held.filter(pa.array(distance <= NEAR))
 
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long, distance int")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "of", "sig_a", "sig_b").mapInArrow(run, "a long, b long, of long, distance int")
 
 
 def confirmed(pairs: DataFrame, words: DataFrame, k: int, share: tuple[int, int]) -> DataFrame:
@@ -162,25 +169,40 @@ def confirmed(pairs: DataFrame, words: DataFrame, k: int, share: tuple[int, int]
 def links(docs: DataFrame, sets: DataFrame, k: int, share: tuple[int, int]) -> DataFrame:
     """Confirmed links (a, b) that join all sets which any confirmed link joins.
 
-    First every set is compared with the least set under each of its keys. Under a key whose sets this already joins, no further
-    pair can change a component, however many sets share the key. Under the other keys, every pair of sets from different
-    components is compared: the sets outside the key's largest component with all others.
+    In some rounds every set is compared with one set drawn under each of its keys, as far as they are not joined yet, and with
+    the nearest few of these on full sets; large groups of near copies grow together in this way at a cost that is linear in
+    their size. Under a key whose sets are all joined no further pair can change a component. Under the other keys, every pair
+    from different components that was not compared before is compared: those outside the key's largest component with
+    all others.
     """
     keys = indexed(sets)
-    shared = keys.groupBy("key").agg(F.min("sid").alias("a"), F.max("sid").alias("z")).filter("a != z").select("key", "a")
-    members = written(keys.join(shared, "key").select("key", "a", "sid"))
-    star = written(members.filter("sid != a").select("a", F.col("sid").alias("b")).distinct())
-    first = written(close(star, sets).select("a", "b"))
-    found = written(confirmed(first, words_of(docs, sets, first, k), k, share))
-    joined = components(found)
-    labelled = written(members.select("key", "sid").join(joined.withColumnRenamed("node", "sid"), "sid", "left").select("key", "sid", F.coalesce("component", "sid").alias("component")))
+    shared = keys.groupBy("key").agg(F.min("sid").alias("a"), F.max("sid").alias("z")).filter("a != z").select("key")
+    members = written(keys.join(shared, "key").select("key", "sid"))
+    labelled = members.withColumn("component", F.col("sid"))
+    found = tested = None
+    for number in range(ROUNDS):
+        draw = F.struct(F.xxhash64("key", "sid", F.lit(number)).alias("h"), "sid", "component")
+        drawn = labelled.groupBy("key").agg(F.min(draw).alias("d")).select("key", F.col("d.sid").alias("r"), F.col("d.component").alias("other"))
+        pairs = labelled.join(drawn, "key").filter("component != other").select(F.least("r", "sid").alias("a"), F.greatest("r", "sid").alias("b"), F.col("sid").alias("of")).distinct()
+        pairs = pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
+        near = written(close(pairs, sets))
+        # A set has at most as many of these as it has keys.
+        # A set has at most as many of these as it has keys.
+        rank = F.row_number().over(Window.partitionBy("of").orderBy("distance", "a", "b"))
+        chosen = written(near.withColumn("nth", rank).filter(F.col("nth") <= NEAREST).select("a", "b").distinct())
+        more = written(confirmed(chosen, words_of(docs, sets, chosen, k), k, share))
+        found, tested = (more, chosen) if found is None else (found.unionByName(more), tested.unionByName(chosen))
+        if more.isEmpty():
+            break
+        joined = components(found).withColumnRenamed("node", "sid")
+        labelled = written(members.join(joined, "sid", "left").select("key", "sid", F.coalesce("component", "sid").alias("component")))
     apart = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
     split = written(labelled.join(apart.select("key", F.col("top.component").alias("main")), "key"))
     one, two = split.filter("component != main").alias("x"), split.alias("y")
     across = one.join(two, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & ((F.col("x.sid") < F.col("y.sid")) | (F.col("y.component") == F.col("y.main"))))
-    pairs = across.select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    second = written(close(pairs, sets).select("a", "b"))
-    return found.unionByName(confirmed(second, words_of(docs, sets, second, k), k, share))
+    pairs = across.select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+    rest = written(close(pairs.withColumn("of", F.col("a")), sets).select("a", "b"))
+    return found.unionByName(confirmed(rest, words_of(docs, sets, rest, k), k, share))
 
 
 def words_of(docs: DataFrame, sets: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
