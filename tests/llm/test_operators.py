@@ -367,6 +367,21 @@ def test_bin_completion_finds_the_least(items):
     assert held == Counter(items)
 
 
+@pytest.mark.parametrize("n", [16, 160])
+def test_short_pieces_fill_their_sequences(n):
+    """Three pieces of 150, four of 115 and one of 114 tokens are a sequence; best fit takes a sixteenth more."""
+    counts = np.zeros(1025, np.int64)
+    counts[[150, 115, 114]] = 3 * n, 4 * n, n
+    assert sum(f.times for f in packing.best_fit(counts, 1024)) > n
+    found = packing.complete_bins(counts, 1024)
+    assert sum(f.times for f in found) == n
+    held = Counter()
+    for f in found:
+        for length, each in f.lengths:
+            held[length] += each * f.times
+    assert held == {150: 3 * n, 115: 4 * n, 114: n}
+
+
 @given(st.lists(st.sampled_from([*"a .\n\t\u3000 1é's|<", "the", " the", "<|endoftext|>", "word, ", "…", "«x»", "\r\n"]), max_size=25).map("".join))
 @settings(max_examples=300, deadline=None)
 def test_ranks_give_the_tokenizers_ids(text):

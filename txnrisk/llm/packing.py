@@ -146,67 +146,108 @@ def filling(held: tuple[int, ...], times: int) -> Filling:
     return Filling(tuple((length, held.count(length)) for length in sorted(set(held), reverse=True)), times)
 
 
-def completions(counts: np.ndarray, room: int, most: int, width: int, tries: int = 120) -> list[tuple[int, ...]]:
-    """Up to ``width`` undominated ways to fill ``room`` with pieces that are there, at most ``most`` of them, least waste first.
+def smeared(lengths: int, waste: int) -> int:
+    """Bit s is set if one of the ``lengths`` (a set of bits) is in s..s + waste."""
+    covered = 1
+    while covered <= waste:
+        step = min(covered, waste + 1 - covered)
+        lengths |= lengths >> step
+        covered += step
+    return lengths
+
+
+def completions(counts: np.ndarray, room: int, most: int | None = None) -> Iterator[tuple[tuple[int, int], ...] | None]:
+    """All undominated ways to fill ``room`` with pieces that are there, as (length, how many), least waste first, and of equal
+    waste those with the longest pieces first. None stands for a branch that was looked at in vain.
 
     A set is dominated if a piece left out fits in place of some of its pieces and is at least as long as these together:
-    what can be done with the replaced pieces elsewhere can then be done with the set that holds the longer one.
+    what can be done with the replaced pieces elsewhere can then be done with the set that holds the longer one. The sums that
+    the shorter lengths can make are known as bits, so no branch is entered that can't be filled as far as wanted.
     """
     there = [int(x) for x in np.flatnonzero(counts[: room + 1])]
-    found: list[tuple[int, ...]] = []
-    stack: list[tuple[tuple[int, ...], int]] = [((), room)]
-    while stack and tries:
-        tries -= 1
-        held, left = stack.pop()
-        upto = bisect_right(there, min(left, held[-1] if held else left))
-        fits = [x for x in there[max(0, upto - 12) : upto] if held.count(x) < counts[x]]
-        if not fits or len(held) == most:
-            if held and not dominated(held, left, there, counts):
-                found.append(held)
-                if left == 0 and len(found) >= width:
+    number, sums, within = [int(counts[x]) for x in there], [1], (2 << room) - 1
+    for x, n in zip(there, number, strict=True):
+        can, left, step = sums[-1], min(n, room // x), 1
+        while left:
+            step = min(step, left)
+            can |= can << step * x
+            left, step = left - step, 2 * step
+        sums.append(can & within)
+
+    def ways(upto: int, need: int, waste: int, held: tuple, pieces: int, one: int, more: int, out: int) -> Iterator[tuple | None]:
+        """``one`` and ``more``: sums of one and of several held pieces; ``out``: lengths of which a piece is left out."""
+        if not need:
+            yield held
+            return
+        for i in range(bisect_right(there, need, 0, upto) - 1, -1, -1):
+            if not sums[i + 1] >> need & 1:
+                return
+            x = there[i]
+            # What replaces pieces is longer than x, and of these lengths all that are held are known.
+            longer, after = smeared(out, waste), smeared(out >> 1, waste - 1) if waste else 0
+            found, single, several = [], one | 1 << x, more
+            for n in range(1, min(number[i], need // x) + 1):
+                several |= (several | single if n > 1 else several | one) << x
+                if several & longer or single & after or (most is not None and pieces + n > most):
                     break
-            continue
-        # The longest that fits is looked at first, so it goes on the stack last.
-        stack += [((*held, x), left - x) for x in fits]
-    found.sort(key=lambda s: (room - sum(s), len(s)))
-    return found[:width]
-
-
-def dominated(held: tuple[int, ...], left: int, there: list[int], counts: np.ndarray) -> bool:
-    sums = {0: 0}
-    for x in held:
-        sums |= {s + x: min(n + 1, sums.get(s + x, 99)) for s, n in list(sums.items())}
-    for s, n in sums.items():
-        if n:
-            at = bisect_right(there, s + left) - 1
-            while at >= 0 and there[at] >= s + (n == 1):
-                if held.count(there[at]) < counts[there[at]]:
-                    return True
-                at -= 1
-    return False
-
-
-def complete_bins(counts: np.ndarray, limit: int, nodes: int = 1500, width: int = 4, most: int = 6) -> list[Filling]:
+                if sums[i] >> need - n * x & 1:
+                    found.append((n, several))
+            if not found:
+                yield None
+            for n, several in reversed(found):
+                yield from ways(i, need - n * x, waste, (*held, (x, n)), pieces + n, single, several, out & ~(1 << x) if n == number[i] else out)
+
+    every = sum(1 << x for x in there)
+    for total in range(room, 0, -1):
+        if sums[-1] >> total & 1:
+            yield from ways(len(there), total, room - total, (), 0, 0, 0, every)
+
+
+#: A branch of a filling that is looked at in vain counts as this part of a step.
+LOOK = 64
+
+
+def complete_bins(counts: np.ndarray, limit: int, nodes: int | None = None, width: int | None = None, most: int | None = None) -> list[Filling]:
     """Fillings that use every piece, in as few sequences as the search finds within ``nodes`` steps.
 
-    One step fills as many sequences alike as the counts allow. The search stops early when the incumbent meets the lower
-    bound, so its result is then proved to be the least.
+    One step fills as many sequences alike as the counts allow; half as many, a quarter and so on are tried after all
+    fillings. Unless told otherwise, the steps are enough to go down several times through all lengths, and neither the ways
+    to fill a sequence (``width``) nor the pieces in one (``most``) are limited. The search stops early when the incumbent
+    meets the lower bound, so its result is then proved to be the least.
     """
+    nodes = 1500 + 4 * np.count_nonzero(counts) if nodes is None else nodes
+    budget = int(nodes) * LOOK
     incumbent = best_fit(counts, limit)
     best, floor = sum(f.times for f in incumbent), least_sequences(counts, limit)
 
-    def steps(left: np.ndarray) -> Iterator[tuple[int, ...]]:
+    def steps(left: np.ndarray) -> Iterator[Filling | None]:
+        left = left.copy()
         longest = int(np.flatnonzero(left)[-1])
         left[longest] -= 1
-        ways = completions(left, limit - longest, most, width)
-        left[longest] += 1
-        return iter([(longest, *w) for w in ways] or [(longest,)])
+        part, again = 1, True
+        while again:
+            again, given = False, 0
+            for way in completions(left, limit - longest, most):
+                if way is None:
+                    yield None
+                    continue
+                lengths = ((longest, way[0][1] + 1), *way[1:]) if way[0][0] == longest else ((longest, 1), *way)
+                times = min((int(left[x]) + (x == longest)) // n for x, n in lengths)
+                if times >= part:
+                    yield Filling(lengths, times // part)
+                    again |= times >= 2 * part
+                given += 1
+                if given == width:
+                    break
+            if not given:
+                yield Filling(((longest, 1),), int(left[longest]) + 1)
+            part *= 2
 
     left, used, path = counts.copy(), 0, []
-    trail: list[Iterator[tuple[int, ...]]] = [steps(left)] if best > floor else []
-    while trail and nodes and best > floor:
-        held = next(trail[-1], None)
-        if held is None:
+    trail: list[Iterator[Filling | None]] = [steps(left)] if best > floor else []
+    while trail and budget > 0 and best > floor:
+        done = next(trail[-1], trail)
+        if done is trail:
             trail.pop()
             if path:
                 undone = path.pop()
@@ -214,9 +255,9 @@ def complete_bins(counts: np.ndarray, limit: int, nodes: int = 1500, width: int
                 for length, n in undone.lengths:
                     left[length] += n * undone.times
             continue
-        nodes -= 1
-        once = filling(held, 1)
-        done = filling(held, min(int(left[length]) // n for length, n in once.lengths))
+        budget -= 1 if done is None else LOOK
+        if done is None:
+            continue
         for length, n in done.lengths:
             left[length] -= n * done.times
         used += done.times
@@ -246,7 +287,7 @@ def places(fillings: list[Filling]) -> dict[str, np.ndarray]:
     return {name: table[:, i] for i, name in enumerate(("length", "rank", "each", "sequence", "offset"))} | {"sequences": np.array([sequence])}
 
 
-def pack(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, end: int = END, nodes: int = 1500) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, end: int = END, nodes: int | None = None) -> DataFrame:
     """One row per piece of every row of ``docs`` (doc_id, text): doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A null or empty text is the end id alone. Each row is packed on its own, so repeated rows and null ids are packed as often
