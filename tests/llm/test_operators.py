@@ -457,6 +457,36 @@ def test_heavier_documents_come_first(spark):
     assert abs(sum(r["taken"] for r in got) - 4000) <= 10 and 2.3 < heavy / (len(got) - heavy) < 3.9
 
 
+def first_fit(docs, budget):
+    """Words taken from (size, u) in the order of u, what is too long passed over, and the nearest one at the end."""
+    left, rest = budget, []
+    for u, size in sorted((u, size) for size, u in docs):
+        if size <= left:
+            left -= size
+        else:
+            rest.append(size)
+    near = min((abs(size - left) for size in rest), default=left)
+    return budget - left + (left + near if near < left and left + near in rest else left - near if near < left else 0)
+
+
+def test_documents_behind_a_long_one_are_taken(spark, monkeypatch):
+    """A document that is longer than what is left of the budget ends neither its source nor the search."""
+    monkeypatch.setattr(mixing, "AT_ONCE", 16)
+    rng = random.Random(3)
+    rows = [(i, s, " ".join(["w"] * n)) for s, sizes in {"long": [20_000] + [100] * 200, "mixed": [rng.choice([1, 7, 40, 300, 2500]) for _ in range(150)]}.items() for i, n in enumerate(sizes, 1000 * (s == "mixed"))]
+    frame = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(3)
+    marks = mixing.keyed(frame, ["source"]).collect()
+    for total in (0.1, 0.45):
+        taken, target = Counter(), {}
+        for r in mixing.mix(frame, total=total, weights=lambda sources: dict.fromkeys(sources, 1)).collect():
+            s = "long" if r["doc_id"] < 1000 else "mixed"
+            taken[s] += r["taken"]
+            target[s] = r["target"], r["source_size"]
+        for s, (wanted, size) in target.items():
+            epochs = wanted // size
+            assert taken[s] == epochs * size + first_fit([(m["size"], m["u"]) for m in marks if m["c0"] == s], wanted - epochs * size), (s, total)
+
+
 # ---- 9, quality
 
 def test_quality(spark, empty):

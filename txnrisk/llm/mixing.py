@@ -3,7 +3,8 @@
 Efraimidis-Spirakis sampling: every document gets an exponential key, scaled by its quality weight, and within a source the
 documents are taken in the order of their keys until the source's token budget is reached. A source whose target exceeds its
 size gives complete epochs first; only the remaining fraction of an epoch is selected by keys. The cut-off key of a source is
-found through histograms of key ranges, so no task ever sorts a whole source.
+found through histograms of key ranges, so no task ever sorts a whole source. A document that is too long for what is left of
+the budget is passed over, and those behind it that still fit are taken.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
@@ -21,6 +23,10 @@ from txnrisk.llm.text import needed, portions, texts_of
 #: Key ranges that a level of refinement counts in each source.
 RANGES = 1024
 LEVELS = 2
+#: Keys of a source that a round goes through one after another, once the first document is too long.
+AT_ONCE = 1024
+#: Above every u.
+END = 2.0
 #: Bytes that count as letters for the quality weight: ASCII letters and all of UTF-8's other bytes.
 LETTERS = bytes([*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)])
 NO_LETTERS = bytes(b for b in range(256) if b not in LETTERS)
@@ -71,13 +77,14 @@ def keyed(docs: DataFrame, carry: list[str], quality: Callable[[bytes], float] =
 
 
 def cut_offs(marks: DataFrame, budgets: DataFrame) -> DataFrame:
-    """Per source: ``cut`` (documents with a smaller u are taken) and ``extra`` (the u of one more document, or null).
+    """Per source: ``cut`` (documents with a smaller u are taken), ``spans`` (of those behind it, the ones with a u from ``low`` to
+    below ``high`` and a size of at most ``most`` are taken) and ``extra`` (the u of one more document, or null).
 
     ``marks``: source, size, u. ``budgets``: source, budget. Each level counts words in ranges of u and goes on in the range in
-    which the budget runs out, so what is sorted at the end is a millionth part of a source. Of the documents not taken, the one
-    whose size comes nearest to what is left of the budget (ties: smaller u) is taken too, if that comes nearer to the budget.
+    which the budget runs out, so what is sorted at the end is a millionth part of a source. From there on documents that are
+    too long are passed over. Of the documents not taken, the one whose size comes nearest to what is left of the budget (ties:
+    smaller u) is taken too, if that comes nearer to the budget.
     """
-    same = lambda a, b: a["source"].eqNullSafe(b["source"])
     state = budgets.select("source", F.col("budget").cast("double").alias("left"), F.lit(0.0).alias("low"), F.lit(1.0).alias("width"))
     for _ in range(LEVELS):
         m, s = marks.alias("m"), state.alias("s")
@@ -97,16 +104,78 @@ def cut_offs(marks: DataFrame, budgets: DataFrame) -> DataFrame:
         F.min(F.when(F.col("upto") > F.col("left"), F.col("u"))).alias("over"), F.max(F.when(F.col("upto") <= F.col("left"), F.col("upto"))).alias("used"),
     ).select("source", F.coalesce("over", F.col("low") + F.col("width")).alias("cut"), (F.col("left") - F.coalesce("used", F.lit(0))).alias("gap"))
     cut = written(budgets.select("source").alias("b").join(cut.alias("c"), F.col("b.source").eqNullSafe(F.col("c.source")), "left").select(F.col("b.source").alias("source"), "cut", "gap"))
-    # A cut at the end of the last range may leave documents above it only by rounding; they count as not taken.
+    # A cut at the end of the last range may leave documents above it only by rounding; they count as not taken yet.
+    cut = docs_behind(marks, cut)
     m, c = marks.alias("m"), cut.alias("c")
-    rest = m.join(c, same({"source": F.col("m.source")}, {"source": F.col("c.source")}) & (F.col("u") >= F.col("cut")) & (F.col("size") <= 2 * F.col("gap")))
-    near = rest.groupBy(F.col("c.source").alias("source"), "gap").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), "u")).alias("best"))
+    taken = in_spans(F.col("u"), F.col("size"), F.col("spans"))
+    rest = m.join(c, F.col("m.source").eqNullSafe(F.col("c.source")) & (F.col("u") >= F.col("cut")) & (F.col("size") <= 2 * F.col("gap")) & ~taken)
+    units = rest.groupBy(F.col("c.source").alias("source"), "gap", "u").agg(F.sum("size").alias("words"))
+    near = units.groupBy("source", "gap").agg(F.min(F.struct(F.abs(F.col("words") - F.col("gap")).alias("off"), "u")).alias("best"))
     near = near.filter(F.col("best.off") < F.col("gap")).select("source", F.col("best.u").alias("extra")).alias("n")
-    return c.join(near, F.col("c.source").eqNullSafe(F.col("n.source")), "left").select(F.col("c.source").alias("source"), "cut", "extra")
+    return c.join(near, F.col("c.source").eqNullSafe(F.col("n.source")), "left").select(F.col("c.source").alias("source"), "cut", "spans", "extra")
+
+
+SPANS = "array<struct<low: double, high: double, most: double>>"
+
+
+def in_spans(u: Column, size: Column, spans: Column) -> Column:
+    return F.coalesce(F.exists(spans, lambda s: (u >= s["low"]) & (u < s["high"]) & (size <= s["most"])), F.lit(False))
+
+
+def docs_behind(marks: DataFrame, cut: DataFrame) -> DataFrame:
+    """source, cut, spans and what is left of ``gap`` after the documents behind the cut that still fit, in the order of u.
+
+    A round takes the next documents that are not longer than the gap, about ``AT_ONCE`` of a source found by a histogram of u,
+    and goes through them one by one. As the gap falls, fewer documents come into question; the last round meets none. Rows
+    with the same u are taken together or not at all. What comes back to the driver is a row per source, like the mix itself.
+    """
+    spark = marks.sparkSession
+    state = {r["source"]: [r["cut"], r["gap"], []] for r in cut.collect() if r["cut"] is not None}
+    at = {source: start for source, (start, _, _) in state.items()}
+    while at:
+        now = spark.createDataFrame([(s, u, state[s][1]) for s, u in at.items()], "source string, at double, gap double")
+        m, n = marks.filter("size > 0").alias("m"), F.broadcast(now).alias("n")
+        fit = m.join(n, F.col("m.source").eqNullSafe(F.col("n.source")) & (F.col("u") >= F.col("at")) & (F.col("size") <= F.col("gap")))
+        width = F.greatest((F.lit(1.0) - F.col("at")) / RANGES, F.lit(1e-15))
+        fit = fit.select(F.col("n.source").alias("source"), "at", "gap", "u", "size", F.least(F.floor((F.col("u") - F.col("at")) / width), F.lit(RANGES - 1)).alias("place"))
+        run = F.sum("n").over(Window.partitionBy("source").orderBy("place"))
+        counted = fit.groupBy("source", "place").agg(F.count(F.lit(1)).alias("n")).withColumn("upto", run)
+        ends = {r["source"]: r["end"] for r in counted.groupBy("source").agg(F.min(F.when(F.col("upto") >= AT_ONCE, F.col("place"))).alias("end")).collect()}
+        if not ends:
+            break
+        e = F.broadcast(spark.createDataFrame([(s, RANGES - 1 if end is None else end) for s, end in ends.items()], "of string, end long"))
+        few = fit.join(e, F.col("source").eqNullSafe(F.col("of"))).filter(F.col("place") <= F.col("end"))
+        units = few.groupBy("source", "at", "gap", "end", "u").agg(F.sum("size").alias("words"), F.max("size").alias("size"))
+        at = {}
+        for r in units.groupBy("source").applyInPandas(one_by_one, f"source string, end long, last double, gap double, spans {SPANS}").collect():
+            held = state[r["source"]]
+            held[1] = r["gap"]
+            held[2] += [tuple(x) for x in r["spans"]]
+            if r["end"] < RANGES - 1 and r["gap"] >= 1:
+                at[r["source"]] = r["last"]
+    return spark.createDataFrame([(s, u, gap, spans) for s, (u, gap, spans) in state.items()], f"source string, cut double, gap double, spans {SPANS}")
+
+
+def one_by_one(units: pd.DataFrame) -> pd.DataFrame:
+    """The spans in which documents of one source are taken, what they leave of the gap, and where to go on."""
+    units = units.sort_values("u")
+    first = units.iloc[0]
+    low, most, left, spans = float(first["at"]), float(first["gap"]), float(first["gap"]), []
+    for u, words, size in zip(units["u"].tolist(), units["words"].tolist(), units["size"].tolist(), strict=True):
+        if size > most:
+            continue
+        if words <= left:
+            left -= words
+        else:
+            spans.append({"low": low, "high": u, "most": most})
+            low, most = float(np.nextafter(u, END)), left
+    last = END if first["end"] == RANGES - 1 else float(np.nextafter(units["u"].iloc[-1], END))
+    spans.append({"low": low, "high": last, "most": most})
+    return pd.DataFrame({"source": [first["source"]], "end": [int(first["end"])], "last": [last], "gap": [left], "spans": [spans]})
 
 
 def plan(docs: DataFrame, quality: Callable[[bytes], float] = letter_share, weights: Callable[[list], dict] = cyclic_weights, total: float = 1.0, most: float = 3.0, seed: int = 0) -> DataFrame:
-    """Per source: source_size, target, epochs, cut, extra. ``total`` is the share of all words that the mix has.
+    """Per source: source_size, target, epochs, cut, spans, extra. ``total`` is the share of all words that the mix has.
 
     The table of sources goes through the driver: a mix has one weight per source, so it is as long as the list of weights.
     """
@@ -120,13 +189,13 @@ def plan(docs: DataFrame, quality: Callable[[bytes], float] = letter_share, weig
     table = docs.sparkSession.createDataFrame(rows, "source string, source_size long, target double, epochs int, budget double")
     cuts = cut_offs(marks, table.filter("budget >= 0.5").select("source", "budget"))
     t, c = table.alias("t"), cuts.alias("c")
-    whole = t.join(c, F.col("t.source").eqNullSafe(F.col("c.source")), "left").select("t.source", "source_size", "target", "epochs", "cut", "extra")
+    whole = t.join(c, F.col("t.source").eqNullSafe(F.col("c.source")), "left").select("t.source", "source_size", "target", "epochs", "cut", "spans", "extra")
     return docs.sparkSession.createDataFrame(whole.collect(), whole.schema)  # a local table of known size: Spark broadcasts it if small
 
 
-def copies(u: Column) -> Column:
-    """How often the mix takes a document: complete epochs, and once more if its key is before the cut."""
-    chosen = F.coalesce((u < F.col("cut")) | u.eqNullSafe(F.col("extra")) & F.col("extra").isNotNull(), F.lit(False))
+def copies(u: Column, size: Column) -> Column:
+    """How often the mix takes a document: complete epochs, and once more if its key is before the cut or it still fits."""
+    chosen = F.coalesce((u < F.col("cut")) | u.eqNullSafe(F.col("extra")) & F.col("extra").isNotNull() | in_spans(u, size, F.col("spans")), F.lit(False))
     return F.col("epochs") + chosen.cast("int")
 
 
@@ -141,7 +210,7 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     decided = plan(docs, **options).alias("p")
     rows = keyed(docs, ["doc_id", "source"], options.get("quality", letter_share), options.get("seed", 0)).alias("d")
     both = rows.join(decided, F.col("d.c1").eqNullSafe(F.col("p.source")), "left")
-    return both.select(F.col("c0").alias("doc_id"), "size", "source_size", "target", (F.col("size") * copies(F.col("u"))).alias("taken"))
+    return both.select(F.col("c0").alias("doc_id"), "size", "source_size", "target", (F.col("size") * copies(F.col("u"), F.col("size"))).alias("taken"))
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
@@ -151,5 +220,5 @@ def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     whole = docs.select("doc_id", "source", "text", F.struct(*[F.col(f"`{n}`") for n in names]).alias("row"))
     rows = keyed(whole, ["source", "row"], options.get("quality", letter_share), options.get("seed", 0)).alias("d")
     both = rows.join(decided, F.col("d.c0").eqNullSafe(F.col("p.source")), "left")
-    times = copies(F.col("u"))
+    times = copies(F.col("u"), F.col("size"))
     return both.filter((times > 0) & (F.col("size") > 0)).select(F.col("c1").alias("row"), F.explode(F.sequence(F.lit(1), times)).alias("nth")).select("row.*")
