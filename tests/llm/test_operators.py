@@ -501,6 +501,12 @@ def test_quality(spark, empty):
     assert right(clean) > 0.95
 
 
+def test_rare_words_of_one_class_count():
+    """Of 100 toxic and 800 clean documents, 5 or 19 toxic ones and no clean one have a word; it has to tell something."""
+    five, nineteen, both, once, clean = quality.log_odds(np.array([5.0, 19, 40, 1, 0]), np.array([0.0, 0, 320, 0, 300]), 100, 800)
+    assert nineteen > five > 1 and abs(both) < 0.01 and 0 < once < 0.2 and clean < -1
+
+
 def test_quality_of_odd_tables(docs, empty, spark):
     schema = "doc_id long, quality int, toxic int, text string"
     labels = spark.createDataFrame([(i, int(i % 3 > 0), int(i % 5 == 0), "x") for i in range(10, 56)] + [(None, 1, 1, "x"), (11, None, 0, "x"), (12, 1, 0, "x")], schema)

@@ -1,7 +1,7 @@
 """Quality and toxicity by co-training.
 
 Two classifiers look at a document from different sides: one at the words of its text, one at its metadata (source, language,
-length and layout figures). Either sums the log-odds of the features that tell the classes apart beyond chance. Over some rounds each labels the documents of an unlabelled pool that it is sure of, and the other
+length and layout figures). Either sums the log-odds of all features, each the less the likelier it is by chance. Over some rounds each labels the documents of an unlabelled pool that it is sure of, and the other
 learns from them. Both are then calibrated on documents kept out of training, and the calibrated views are combined to score
 every document.
 """
@@ -26,8 +26,8 @@ TEXT_PLACES, META_PLACES = 1 << 20, 512
 #: Fitting reads at most about this many labelled and unlabelled documents; scoring reads all.
 SAMPLE, POOL = 30_000, 10_000
 ROUNDS = 2
-#: A feature counts if its log-odds are this many standard errors from 0.
-BEYOND_CHANCE = 4.0
+#: A feature counts half if the likelihood ratio against chance, as twice its logarithm, is this much.
+CHANCE = 16.0
 #: A view hands on documents whose probability is this near to 0 or 1.
 SURE = 0.02
 REMEMBERED = 400_000
@@ -75,12 +75,25 @@ def meta_features(text: bytes, source: str | None, lang: str | None) -> set[int]
 
 @dataclass(frozen=True)
 class View:
-    """The log-odds of each feature place (0 for those that tell nothing) and of the classes."""
+    """The log-odds of each feature place (0 for those never seen) and of the classes."""
 
     weights: np.ndarray
     intercept: float
 
 
+def log_odds(a: np.ndarray, b: np.ndarray, ones: float, zeros: float) -> np.ndarray:
+    """The log-odds of features in ``a`` of ``ones`` and ``b`` of ``zeros`` documents, against those of the classes.
+
+    One document in the proportion of the classes is added, so what is unseen tells nothing, and a feature of one class only
+    has finite odds. They are shrunk by g^2 / (g^2 + CHANCE^2), g being twice the logarithm of the likelihood ratio against
+    chance, which holds for counts of 0 as well; no feature is left out.
+    """
+    share = ones / (ones + zeros)
+    told = lambda n, expected: n * np.log(np.where(n > 0, n, 1) / np.where(n > 0, expected, 1))
+    g = 2 * np.maximum(0, told(a, (a + b) * share) + told(b, (a + b) * (1 - share)))
+    return (np.log((a + share) / (b + 1 - share)) - math.log(share / (1 - share))) * g**2 / (g**2 + CHANCE**2)
+
+
 def fit(rows: DataFrame, features: str, places: int) -> View:
     """From rows with ``label`` (0 or 1) and a list of feature places. One aggregation; what is collected has at most a row for
     each place. With one class only, nothing tells the classes apart."""
@@ -88,11 +101,9 @@ def fit(rows: DataFrame, features: str, places: int) -> View:
     ones, zeros = totals.get(1, 0), totals.get(0, 0)
     weights, intercept = np.zeros(places), math.log((ones + 1) / (zeros + 1))
     if ones and zeros:
-        counts = rows.select("label", F.explode(features).alias("place")).groupBy("place").agg((F.sum("label") + 0.5).alias("a"), (F.count(F.lit(1)) - F.sum("label") + 0.5).alias("b"))
-        odds = F.log(F.col("a") / (ones + 1)) - F.log(F.col("b") / (zeros + 1))
-        told = counts.withColumn("odds", odds).filter(F.abs("odds") >= BEYOND_CHANCE * F.sqrt(1 / F.col("a") + 1 / F.col("b")))
-        for r in told.select("place", "odds").collect():
-            weights[r["place"]] = r["odds"]
+        counts = rows.select("label", F.explode(features).alias("place")).groupBy("place").agg(F.sum("label").alias("a"), F.count(F.lit(1)).alias("n")).toArrow()
+        place, a, n = (counts.column(c).to_numpy() for c in ("place", "a", "n"))
+        weights[place] = log_odds(a.astype(float), (n - a).astype(float), ones, zeros)
     return View(weights, intercept)
 
 
