@@ -507,6 +507,28 @@ def test_rare_words_of_one_class_count():
     assert nineteen > five > 1 and abs(both) < 0.01 and 0 < once < 0.2 and clean < -1
 
 
+def test_views_learn_in_turn_from_all_unlabelled_documents(spark, monkeypatch):
+    """Words and sources form a chain that starts at the labels: each link is learned only after the one before it, from the
+    other view. One exchange reaches the first link only."""
+    rows, labels, at = [], [], 0
+    for side in (0, 1):
+        for link in range(5):
+            for _ in range(200):
+                # A link joins its word to the source of the same number or the next one.
+                rows.append((at, f"s{side}{link}" if at % 2 else f"s{side}{link + 1}", "en", f"{'pq'[side]}{'abcdef'[link] * 5}"))
+                if link == 0 and at % 2:
+                    labels.append((at, side, 1 - side))
+                at += 1
+    frame = spark.createDataFrame([*rows, (None, "s00", "en", "paaaaa")], "doc_id long, source string, lang string, text string").repartition(2)
+    given = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    assert quality.unlabelled(frame, given).count() == len(rows) + 1 - len(labels)
+    passes, tally = [], quality.tally
+    monkeypatch.setattr(quality, "tally", lambda rows, *a: passes.append(tally(rows, *a)) or passes[-1])
+    got = {r["doc_id"]: r["quality"] for r in quality.score_documents(frame, given).collect()}
+    assert len(passes) > 3 and (passes[-1][1] <= 0.01 * len(rows)).all()
+    assert all(got[i] < 0.5 for i in range(400, 1000)) and all(got[i] > 0.5 for i in range(1400, 2000))
+
+
 def test_quality_of_odd_tables(docs, empty, spark):
     schema = "doc_id long, quality int, toxic int, text string"
     labels = spark.createDataFrame([(i, int(i % 3 > 0), int(i % 5 == 0), "x") for i in range(10, 56)] + [(None, 1, 1, "x"), (11, None, 0, "x"), (12, 1, 0, "x")], schema)

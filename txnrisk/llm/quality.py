@@ -1,8 +1,8 @@
 """Quality and toxicity by co-training.
 
 Two classifiers look at a document from different sides: one at the words of its text, one at its metadata (source, language,
-length and layout figures). Either sums the log-odds of all features, each the less the likelier it is by chance. Over some rounds each labels the documents of an unlabelled pool that it is sure of, and the other
-learns from them. Both are then calibrated on documents kept out of training, and the calibrated views are combined to score
+length and layout figures). Either sums the log-odds of all features, each the less the likelier it is by chance. Each labels the
+unlabelled documents that it is sure of, and the other learns from them, until few new documents are handed over. Both are then calibrated on documents kept out of training, and the calibrated views are combined to score
 every document.
 """
 
@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
 from txnrisk.llm.shared import written
@@ -23,9 +24,10 @@ from txnrisk.llm.text import id_remainder, portions
 
 #: Places of hashed features in either view.
 TEXT_PLACES, META_PLACES = 1 << 20, 512
-#: Fitting reads at most about this many labelled and unlabelled documents; scoring reads all.
-SAMPLE, POOL = 30_000, 10_000
-ROUNDS = 2
+#: Fitting reads at most about this many labelled documents, and all unlabelled ones; scoring reads all.
+SAMPLE = 30_000
+#: The exchange ends when at most this part of what is handed over is new; it is given up after this many rounds.
+FEW, ROUNDS = 0.01, 20
 #: A feature counts half if the likelihood ratio against chance, as twice its logarithm, is this much.
 CHANCE = 16.0
 #: A view hands on documents whose probability is this near to 0 or 1.
@@ -80,6 +82,19 @@ class View:
     weights: np.ndarray
     intercept: float
 
+    def __reduce__(self):
+        """Sent in single precision, and without the zeros if these are most."""
+        at = np.flatnonzero(self.weights).astype(np.int32)
+        if 2 * len(at) < len(self.weights):
+            return unpacked, (len(self.weights), at, self.weights[at].astype(np.float32), self.intercept)
+        return unpacked, (len(self.weights), None, self.weights.astype(np.float32), self.intercept)
+
+
+def unpacked(places: int, at: np.ndarray | None, weights: np.ndarray, intercept: float) -> View:
+    dense = np.zeros(places)
+    dense[slice(None) if at is None else at] = weights
+    return View(dense, intercept)
+
 
 def log_odds(a: np.ndarray, b: np.ndarray, ones: float, zeros: float) -> np.ndarray:
     """The log-odds of features in ``a`` of ``ones`` and ``b`` of ``zeros`` documents, against those of the classes.
@@ -94,17 +109,15 @@ def log_odds(a: np.ndarray, b: np.ndarray, ones: float, zeros: float) -> np.ndar
     return (np.log((a + share) / (b + 1 - share)) - math.log(share / (1 - share))) * g**2 / (g**2 + CHANCE**2)
 
 
-def fit(rows: DataFrame, features: str, places: int) -> View:
-    """From rows with ``label`` (0 or 1) and a list of feature places. One aggregation; what is collected has at most a row for
-    each place. With one class only, nothing tells the classes apart."""
-    totals = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    ones, zeros = totals.get(1, 0), totals.get(0, 0)
-    weights, intercept = np.zeros(places), math.log((ones + 1) / (zeros + 1))
+def fit(counts: np.ndarray) -> View:
+    """From counts of documents without and with the label (rows) by feature place; the last column counts all documents. With
+    one class only, nothing tells the classes apart."""
+    (b, a), (zeros, ones) = counts[:, :-1], counts[:, -1]
+    weights = np.zeros(len(a))
     if ones and zeros:
-        counts = rows.select("label", F.explode(features).alias("place")).groupBy("place").agg(F.sum("label").alias("a"), F.count(F.lit(1)).alias("n")).toArrow()
-        place, a, n = (counts.column(c).to_numpy() for c in ("place", "a", "n"))
-        weights[place] = log_odds(a.astype(float), (n - a).astype(float), ones, zeros)
-    return View(weights, intercept)
+        seen = np.flatnonzero(a + b)
+        weights[seen] = log_odds(a[seen], b[seen], ones, zeros)
+    return View(weights, math.log((ones + 1) / (zeros + 1)))
 
 
 def platt(pairs: list[tuple[list[float], float]]) -> np.ndarray:
@@ -141,53 +154,145 @@ class Combined:
         return 1 / (1 + math.exp(-bounded(self.both[0] * a + self.both[1] * b + self.both[2])))
 
 
-def sampled(docs: DataFrame, labels: DataFrame, sample: int, pool: int) -> DataFrame:
-    """Features of a bounded sample of labelled and of unlabelled documents, chosen by a hash of the id: doc_id, quality,
-    toxic, fold (0: for calibration), text, meta (lists of feature places)."""
-    known = labels.select("doc_id", "quality", "toxic").filter("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    n_known, n_all = known.count(), docs.filter("doc_id IS NOT NULL").count()
-    chance = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) / 1_000_000
-    few = known.filter(chance < min(1.0, sample / max(1, n_known)))
-    ids = docs.filter("doc_id IS NOT NULL").select("doc_id")
-    others = ids.filter(chance < min(1.0, pool / max(1, n_all))).join(known.select("doc_id"), "doc_id", "left_anti").distinct()
-    wanted = few.unionByName(others.select("doc_id", F.lit(None).cast("int").alias("quality"), F.lit(None).cast("int").alias("toxic")))
-    rows = docs.join(wanted, "doc_id").select("doc_id", "quality", "toxic", id_remainder(F.col("doc_id"), 5).alias("fold"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("binary").alias("text"))
+def known_labels(labels: DataFrame) -> DataFrame:
+    return labels.select("doc_id", "quality", "toxic").filter("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
+
+
+def with_features(rows: DataFrame) -> DataFrame:
+    """quality, toxic, fold, text, meta (lists of feature places) from rows with quality, toxic, fold, source, lang and text."""
+    rows = rows.select("quality", "toxic", F.col("fold").cast("long").alias("fold"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches):
             texts = [t or b"" for t in batch.column("text").to_pylist()]
             one = [sorted(text_features(t)) for t in texts]
             two = [sorted(meta_features(t, s, g)) for t, s, g in zip(texts, batch.column("source").to_pylist(), batch.column("lang").to_pylist(), strict=True)]
-            columns = [*batch.columns[:3], batch.column("fold").cast(pa.int64()), pa.array(one, pa.list_(pa.int32())), pa.array(two, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "quality", "toxic", "fold", "text", "meta"])
-
-    return rows.mapInArrow(run, "doc_id long, quality int, toxic int, fold long, text array<int>, meta array<int>")
-
-
-def co_train(sample: DataFrame, target: str, rounds: int, sure: float) -> Combined:
-    """Fits both views of one target; ``sample`` as ``sampled`` makes it."""
-    given = F.col(target).isNotNull()
-    known = sample.filter(given & (F.col("fold") != 0)).select("text", "meta", F.col(target).alias("label"))
-    pool = sample.filter(~given).select("text", "meta", F.lit(None).cast("int").alias("label"))
-    held = sample.filter(given & (F.col("fold") == 0)).select("text", "meta", F.col(target).alias("label"))
-    for_text, for_meta = known, known
-    for step in range(rounds):
-        text, meta = fit(for_text, "text", TEXT_PLACES), fit(for_meta, "meta", META_PLACES)
-        if step == rounds - 1:
-            break
-        scored = with_odds(pool, text, meta)
-        # The sums are not probabilities yet, so each view is calibrated on the labels before it is trusted.
-        a, b = calibrations(known, text, meta)
-        edge = math.log((1 - sure) / sure)
-        scored = scored.withColumns({"text_odds": F.col("text_odds") * float(a[0]) + float(a[1]), "meta_odds": F.col("meta_odds") * float(b[0]) + float(b[1])})
-        by_text, by_meta = F.abs("text_odds") > edge, F.abs("meta_odds") > edge
-        agree = (F.col("text_odds") > 0) == (F.col("meta_odds") > 0)
-        told = lambda c: (F.col(c) > 0).cast("int").alias("label")
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(one, pa.list_(pa.int32())), pa.array(two, pa.list_(pa.int32()))], ["quality", "toxic", "fold", "text", "meta"])
+
+    return rows.mapInArrow(run, "quality int, toxic int, fold long, text array<int>, meta array<int>")
+
+
+def sampled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
+    """Features of a bounded sample of labelled documents, chosen by a hash of the id; fold 0 is for calibration."""
+    known = known_labels(labels)
+    chance = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) / 1_000_000
+    few = known.filter(chance < min(1.0, sample / max(1, known.count())))
+    return with_features(docs.join(few, "doc_id").withColumn("fold", id_remainder(F.col("doc_id"), 5)))
+
+
+def unlabelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Features of all documents without a label, those without an id among them."""
+    none = {"quality": F.lit(None).cast("int"), "toxic": F.lit(None).cast("int"), "fold": F.lit(0)}
+    return with_features(docs.join(known_labels(labels).select("doc_id"), "doc_id", "left_anti").withColumns(none))
+
+
+TARGETS = ("quality", "toxic")
+VIEWS = (("text", TEXT_PLACES), ("meta", META_PLACES))
+#: Instead of a feature place: all documents, and those handed over that were not before.
+ALL, NEW = -1, -2
+
+
+@dataclass(frozen=True)
+class Judge:
+    """Both views of one target with the calibrations by which they are trusted."""
+
+    text: View
+    meta: View
+    by_text: np.ndarray
+    by_meta: np.ndarray
+
+    def hands(self, lists: list[tuple[np.ndarray, np.ndarray]], n: int, edge: float) -> tuple[np.ndarray, np.ndarray]:
+        """The labels (-1: none) that the text view and the metadata view learn for ``n`` documents."""
+        odds = [summed(view, flat, owner, n) * by[0] + by[1] for view, by, (flat, owner) in zip((self.text, self.meta), (self.by_text, self.by_meta), lists, strict=True)]
+        by_text, by_meta = (np.abs(x) > edge for x in odds)
+        agree = (odds[0] > 0) == (odds[1] > 0)
         # What one view is sure of goes to the other, unless that is just as sure of the opposite.
-        for_meta = known.unionByName(scored.filter(by_text & (agree | ~by_meta)).select("text", "meta", told("text_odds")))
-        for_text = known.unionByName(scored.filter(by_meta & (agree | ~by_text)).select("text", "meta", told("meta_odds")))
-    odds = found_odds(held, text, meta)
-    by_text, by_meta = platt([([x], y) for x, _, y in odds]), platt([([x], y) for _, x, y in odds])
+        return np.where(by_meta & (agree | ~by_text), odds[1] > 0, -1), np.where(by_text & (agree | ~by_meta), odds[0] > 0, -1)
+
+
+def places_of(batch: pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For either view the feature places of all documents in a row, and whose they are."""
+    lists = [batch.column(name) for name, _ in VIEWS]
+    return [(x.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(batch.num_rows), x.value_lengths().to_numpy(zero_copy_only=False))) for x in lists]
+
+
+def summed(view: View, flat: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    return np.bincount(owner, view.weights[flat], n) + view.intercept
+
+
+def tally(rows: DataFrame, now: tuple | None = None, before: tuple | None = None, sure: float = SURE) -> tuple[list[list[np.ndarray]], np.ndarray]:
+    """Counts of documents by target, view, label and feature place (the last place: all documents), and how many documents
+    have a label that they did not have ``before``. Labels are those of the rows, or what is handed over ``now``: broadcast views
+    of all targets and their calibrations.
+
+    Tasks add up their rows, so a task sends at most a row for each target and place, and so do all together.
+    """
+    edge = math.log((1 - sure) / sure)
+    judging = lambda who: [Judge(*views, *by) for views, by in zip(who[0].value, who[1], strict=True)] if who else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judges, judged = judging(now), judging(before)
+        totals = [[np.zeros((2, places + 1), np.int64) for _, places in VIEWS] for _ in TARGETS]
+        new = np.zeros((len(TARGETS), len(VIEWS)), np.int64)
+        for batch in batches:
+            n, lists = batch.num_rows, places_of(batch)
+            for t, target in enumerate(TARGETS):
+                if judges is None:
+                    labels = [batch.column(target).fill_null(-1).to_numpy(zero_copy_only=False)] * 2
+                else:
+                    labels = judges[t].hands(lists, n, edge)
+                    earlier = judged[t].hands(lists, n, edge) if judged else [np.full(n, -1)] * 2
+                    new[t] += [int(((x >= 0) & (x != y)).sum()) for x, y in zip(labels, earlier, strict=True)]
+                for total, label, (flat, owner) in zip(totals[t], labels, lists, strict=True):
+                    for value in (0, 1):
+                        total[value, :-1] += np.bincount(flat[label[owner] == value], minlength=total.shape[1] - 1)
+                        total[value, -1] += (label == value).sum()
+        for t in range(len(TARGETS)):
+            for v, total in enumerate(totals[t]):
+                at = np.flatnonzero(total.any(axis=0))
+                place = np.where(at == total.shape[1] - 1, ALL, at)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (
+                    np.full(len(at) + 1, t, np.int32), np.full(len(at) + 1, v, np.int32), np.append(place, NEW).astype(np.int32), np.append(total[0, at], 0), np.append(total[1, at], new[t, v]))],
+                    ["target", "view", "place", "zeros", "ones"])
+
+    made = rows.select("text", "meta", *TARGETS).mapInArrow(run, "target int, view int, place int, zeros long, ones long")
+    found = made.groupBy("target", "view", "place").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones")).toArrow()
+    target, view, place, zeros, ones = (found.column(c).to_numpy() for c in ("target", "view", "place", "zeros", "ones"))
+    counts = [[np.zeros((2, places + 1)) for _, places in VIEWS] for _ in TARGETS]
+    new = np.zeros((len(TARGETS), len(VIEWS)), np.int64)
+    for t in range(len(TARGETS)):
+        for v in range(len(VIEWS)):
+            mine = (target == t) & (view == v)
+            told = mine & (place != NEW)
+            counts[t][v][:, place[told]] = zeros[told], ones[told]  # ALL is the last place
+            new[t, v] = ones[mine & (place == NEW)].sum()
+    return counts, new
+
+
+def co_train(known: DataFrame, pool: DataFrame, rounds: int, sure: float) -> list[Combined]:
+    """Fits both views of all targets; ``known`` as ``sampled`` makes it, ``pool`` as ``unlabelled`` does."""
+    train, held = known.filter("fold != 0"), known.filter("fold = 0")
+    given, _ = tally(train)
+    views, before = [[fit(c) for c in counts] for counts in given], None
+    for _ in range(rounds):
+        sent = known.sparkSession.sparkContext.broadcast(views)
+        # The sums are not probabilities yet, so each view is calibrated on the labels before it is trusted.
+        now = sent, [calibrations(odds) for odds in found_odds(train, sent)]
+        told, new = tally(pool, now, before, sure)
+        if before:
+            before[0].destroy()
+        before, views = now, [[fit(a + b) for a, b in zip(*both, strict=True)] for both in zip(given, told, strict=True)]
+        if all(new[t, v] <= FEW * told[t][v][:, -1].sum() for t in range(len(TARGETS)) for v in range(len(VIEWS))):
+            break
+    sent = known.sparkSession.sparkContext.broadcast(views)
+    made = [combined(odds, *both) for odds, both in zip(found_odds(held, sent), views, strict=True)]
+    for used in (sent, *(before or ())[:1]):
+        used.destroy()
+    return made
+
+
+def combined(odds: list[tuple[float, float, int]], text: View, meta: View) -> Combined:
+    by_text, by_meta = calibrations(odds)
     calibrated = [([by_text[0] * bounded(x) + by_text[1], by_meta[0] * bounded(z) + by_meta[1]], y) for x, z, y in odds]
     both = platt(calibrated)
     return Combined(text, meta, by_text, by_meta, both if len(both) == 3 else np.array([0.5, 0.5, 0.0]))
@@ -197,30 +302,24 @@ def bounded(odds: float) -> float:
     return min(30.0, max(-30.0, odds))
 
 
-def found_odds(rows: DataFrame, text: View, meta: View) -> list[tuple[float, float, int]]:
-    """Both log-odds and the label of labelled rows, of which there are a bounded number."""
-    return [(r["text_odds"], r["meta_odds"], r["label"]) for r in with_odds(rows, text, meta).select("text_odds", "meta_odds", "label").collect()]
-
-
-def calibrations(rows: DataFrame, text: View, meta: View) -> tuple[np.ndarray, np.ndarray]:
-    odds = found_odds(rows, text, meta)
-    return platt([([x], y) for x, _, y in odds]), platt([([x], y) for _, x, y in odds])
-
-
-def with_odds(rows: DataFrame, text: View, meta: View) -> DataFrame:
-    """(text, meta, label, text_odds, meta_odds) for rows with feature places and a label."""
-    models = rows.sparkSession.sparkContext.broadcast((text, meta))
+def found_odds(rows: DataFrame, sent: Broadcast) -> list[list[tuple[float, float, int]]]:
+    """For each target both views' log-odds and the label of labelled rows, of which there are a bounded number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sums = []
-            for name, view in zip(("text", "meta"), models.value, strict=True):
-                lists = batch.column(name)
-                owner = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
-                sums.append(np.bincount(owner, view.weights[lists.flatten().to_numpy(zero_copy_only=False)], batch.num_rows) + view.intercept)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sums[0]), pa.array(sums[1])], ["text", "meta", "label", "text_odds", "meta_odds"])
+            lists = places_of(batch)
+            for t, (target, views) in enumerate(zip(TARGETS, sent.value, strict=True)):
+                sums = [summed(view, *x, batch.num_rows) for view, x in zip(views, lists, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, t, np.int32)), *map(pa.array, sums), batch.column(target)], ["target", "text_odds", "meta_odds", "label"])
 
-    return rows.select("text", "meta", "label").mapInArrow(run, "text array<int>, meta array<int>, label int, text_odds double, meta_odds double")
+    found: list[list] = [[] for _ in TARGETS]
+    for t, x, z, y in rows.select("text", "meta", *TARGETS).mapInArrow(run, "target int, text_odds double, meta_odds double, label int").collect():
+        found[t].append((x, z, y))
+    return found
+
+
+def calibrations(odds: list[tuple[float, float, int]]) -> tuple[np.ndarray, np.ndarray]:
+    return platt([([x], y) for x, _, y in odds]), platt([([x], y) for _, x, y in odds])
 
 
 class ToldPlaces(dict):
@@ -236,18 +335,17 @@ class ToldPlaces(dict):
         return found
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, pool: int = POOL, rounds: int = ROUNDS, sure: float = SURE) -> DataFrame:
+def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int = ROUNDS, sure: float = SURE) -> DataFrame:
     """One row per row of ``docs`` (doc_id, source, lang, text): doc_id, quality, toxic (probabilities) and kept, which is true
     if quality is 0.5 or more and toxic is below 0.5.
 
     ``labels`` has doc_id, quality and toxic (0 or 1); rows with a null take no part, and of several labels for an id the
-    greatest counts. Only fitting is bounded, to about ``sample`` labelled and ``pool`` unlabelled documents. Without labels
+    greatest counts. Only the labelled documents of fitting are bounded, to about ``sample``. Without labels
     every document gets 0.5 and 0.5 and is not kept. A null text is empty; null source and language are values of their own;
     null ids are scored too; repeated rows are scored alike. An empty table gives no rows; other columns are not read.
     """
     docs = docs.select("doc_id", "source", "lang", "text")
-    ready = written(sampled(docs, labels, sample, pool))
-    held = docs.sparkSession.sparkContext.broadcast([co_train(ready, target, rounds, sure) for target in ("quality", "toxic")])
+    held = docs.sparkSession.sparkContext.broadcast(co_train(written(sampled(docs, labels, sample)), written(unlabelled(docs, labels)), rounds, sure))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models = held.value
