@@ -507,6 +507,14 @@ def test_rare_words_of_one_class_count():
     assert nineteen > five > 1 and abs(both) < 0.01 and 0 < once < 0.2 and clean < -1
 
 
+def test_all_digits_and_all_standalone_marks_count():
+    about = lambda text: quality.meta_features(text, "s", "en")
+    assert all(about(b"ab%d cd%d word %d" % (d, d, d)) == about(b"ab0 cd0 word 0") != about(b"abx cdx word x") for d in range(10))
+    marks = [bytes([c]) for c in range(0x21, 0x7F) if not chr(c).isalnum()]
+    assert len(marks) == 32 and all(about(b"one %s two %s three" % (m, m)) == about(b"one | two | three") for m in marks)
+    assert all(b"~" + m in quality.content_words(b"one " + m + b" two") for m in marks)
+
+
 def test_views_learn_in_turn_from_all_unlabelled_documents(spark, monkeypatch):
     """Words and sources form a chain that starts at the labels: each link is learned only after the one before it, from the
     other view. One exchange reaches the first link only."""

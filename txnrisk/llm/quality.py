@@ -35,7 +35,9 @@ SURE = 0.02
 REMEMBERED = 400_000
 #: ASCII characters that separate words: all but letters, digits and bytes of other scripts.
 GAPS = bytes(c if c >= 0x80 or chr(c).isalnum() else 0x20 for c in range(256))
-MARKS = re.compile(rb"[!-/:-@\[-`{-~]{2,}|(?<= )\|(?= )")
+MARKS = re.compile(rb"[!-/:-@\[-`{-~]{2,}|(?<= )[!-/:-@\[-`{-~](?= )")
+PUNCTUATION, DIGITS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", b"0123456789"
+ALONE = {bytes([c]) for c in PUNCTUATION}
 
 
 def place(kind: bytes, value: bytes, places: int) -> int:
@@ -64,11 +66,11 @@ def meta_features(text: bytes, source: str | None, lang: str | None) -> set[int]
     words = text.split()
     n = max(1, len(words))
     same = sum(map(bytes.__eq__, words, words[1:]))
-    marks = len(text) - len(text.translate(None, b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"))
+    marks, digits = (len(text) - len(text.translate(None, some)) for some in (PUNCTUATION, DIGITS))
     figures = {
         b"length": math.log2(len(text) + 1), b"words": math.log2(len(words) + 1), b"mean": min(20.0, len(text) / n),
         b"same": min(8, round(20 * same / n)), b"distinct": round(10 * len(set(words)) / n), b"marks": min(20, round(50 * marks / max(1, len(text)))),
-        b"bars": min(8, round(20 * words.count(b"|") / n)), b"lines": math.log2(text.count(b"\n") + 1), b"digits": min(10, round(20 * sum(map(text.count, (b"0", b"1", b"5"))) / max(1, len(text)))),
+        b"bars": min(8, round(20 * sum(map(ALONE.__contains__, words)) / n)), b"lines": math.log2(text.count(b"\n") + 1), b"digits": min(10, round(20 * digits / max(1, len(text)))),
         b"runs": min(6, len(MARKS.findall(text)) * 20 // n),
     }
     found = {place(k, str(int(v)).encode(), META_PLACES) for k, v in figures.items()}
