@@ -46,8 +46,9 @@ def iqr_bounds(df: DataFrame, column: str, k: float = 1.5, approx: bool = False)
 
 
 def _outside(column: str, bounds: tuple[float | None, float | None]) -> Column:
-    value = cleaning.known(F.col(column))
-    return (value < F.lit(bounds[0])) | (value > F.lit(bounds[1]))
+    """Plain comparisons, which reach the scan; NaN, which Spark counts as greater than all numbers, is no outlier."""
+    value = F.col(column)
+    return ((value < F.lit(bounds[0])) | (value > F.lit(bounds[1]))) & ~F.isnan(value)
 
 
 def outlier_bounds(df: DataFrame, column: str, k: float = 1.5, approx: bool = False) -> DataFrame:
