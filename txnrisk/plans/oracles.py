@@ -204,6 +204,7 @@ _TYPES = [("transaction_id", "bigint"), ("customer_id", "bigint"), ("transaction
           ("location", "int"), ("currency", "int"), ("ml_prob", "double"), ("is_fraud", "int")]
 _DUMMIES = [("kyc_verified_Yes", "kyc_verified = 'Yes'"), *[(f"channel_{i}", f"channel = {i}") for i in (1, 2, 3)]]
 _SPLIT = "('0x' || substr(md5(transaction_id || '~42'), 1, 8))::BIGINT / 4294967296.0e0 < {f}"
+_DRAW = "('0x' || substr(md5(transaction_id || '~42'), 1, 13))::BIGINT"
 _HOUR0 = """coalesce(hour("timestamp"), 0)"""
 _SCALE = ["transaction_amount", "account_age_days", "channel"]
 _DUPS = ", dup AS (SELECT * FROM txn UNION ALL SELECT * FROM txn WHERE transaction_id % 10 = 0)"
@@ -272,7 +273,8 @@ ORACLES: dict[str, str] = {
     "standard_scale": txn(ORDERS) + "SELECT transaction_id, " + ", ".join(
         f"""round(({c} - (SELECT avg({c}) FROM txn)) / (SELECT coalesce(nullif(stddev_pop({c}), 0), 1) FROM txn), 6) AS {c}""" for c in _SCALE) + " FROM txn",
     # Split and metrics
-    "stratified_split": txn(ORDERS) + f"SELECT transaction_id, is_fraud, CASE WHEN {_SPLIT.format(f='0.25e0')} THEN 'test' ELSE 'train' END AS part FROM txn",
+    "stratified_split": txn(ORDERS) + f"""SELECT transaction_id, is_fraud,
+        CASE WHEN row_number() OVER (PARTITION BY is_fraud ORDER BY {_DRAW}) <= floor(0.25e0 * count(*) OVER (PARTITION BY is_fraud) + 0.5e0) THEN 'test' ELSE 'train' END AS part FROM txn""",
     "split_shares": txn(ORDERS) + f"""SELECT is_fraud, count(*) AS n, count(*) FILTER ({_SPLIT.format(f='0.2e0')}) AS test_rows FROM txn GROUP BY 1""",
     "class_weights": txn(ORDERS) + """SELECT is_fraud, count(*) AS count, round((SELECT count(*) FROM txn) / ((SELECT count(DISTINCT is_fraud) FROM txn) * count(*)), 6) AS weight FROM txn GROUP BY 1""",
     "pr_curve": txn(ORDERS, _CURVE) + 'SELECT round(threshold, 9) AS threshold, round("precision", 6) AS "precision", round(recall, 6) AS recall, tp::BIGINT AS tp, fp::BIGINT AS fp FROM pr',
