@@ -172,16 +172,21 @@ def test_smote_needs_two(spark):
         smote(df, ["a"])
 
 
-def test_boxes_stay_bounded_beyond_the_first_sample(spark, monkeypatch):
-    """With far more boxes than the first sample can shape, large boxes are cut again and the neighbours stay exact."""
+@pytest.mark.parametrize("few", [10_000, 0])
+def test_boxes_stay_bounded(spark, monkeypatch, few):
+    """Large boxes are cut until none is, whatever their shape; the neighbours stay exact, with tables of boxes too large to
+    broadcast as with small ones."""
     monkeypatch.setattr(neighbours, "BOX_ROWS", 10)
-    monkeypatch.setattr(neighbours, "SAMPLE_ROWS", 80)
+    monkeypatch.setattr(neighbours, "BROADCAST_ROWS", few)
     rng = np.random.default_rng(8)
-    points = np.unique(np.concatenate([rng.normal(size=(900, 2)), rng.normal(size=(300, 2)) * 0.01 + 3]).round(6), axis=0)
+    steep = np.column_stack((np.where(rng.random(300) < 0.01, -9.0, 9.0), rng.normal(size=300)))
+    points = np.unique(np.concatenate([rng.normal(size=(900, 2)), rng.normal(size=(300, 2)) * 0.01 + 3, steep]).round(6), axis=0)
     df = spark.createDataFrame([(i, p.tolist(), 1) for i, p in enumerate(points)], "key long, vec array<double>, copies long")
-    tree = neighbours.box_tree(df, 42)
-    _, boxes = neighbours.reached_boxes(tree, points, np.zeros(len(points)))
-    assert np.bincount(boxes).max() <= 4 * 10 and len(set(boxes)) > 50
+    placed, nodes, depth = neighbours.box_tree(df)
+    sizes = [r["count"] for r in placed.groupBy("box").count().collect()]
+    assert max(sizes) <= 2 * 10 and len(sizes) > 50 and sum(sizes) == len(points) and depth > 1
+    own = neighbours.reached_boxes(placed.withColumnRenamed("box", "own").withColumn("reach", F.lit(0.0)), nodes, depth)
+    assert own.filter("box = own").count() == len(points)
     got = {r["key"]: np.array(r["near"]) for r in neighbours.nearest_vectors(df, 3).collect()}
     gap = np.sqrt(((points[:, None] - points[None]) ** 2).sum(axis=2))
     np.fill_diagonal(gap, np.inf)
