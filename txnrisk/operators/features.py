@@ -12,6 +12,8 @@ from txnrisk.operators.joins import skew_join
 from txnrisk.operators.ranks import fit_quantiles
 
 HIGH_QUANTILE = 0.95
+# Levels of a category that become columns of their own.
+MOST_DUMMIES = 1000
 
 # In microseconds.
 _MINUTE = 60 * 1_000_000
@@ -105,9 +107,19 @@ def velocity_24h(df: DataFrame) -> DataFrame:
     return joined.withColumn("txn_last_24h", F.coalesce("txn_last_24h", F.lit(0))).drop("_us")
 
 
+def few_levels(df: DataFrame, columns: list[str], most: int = MOST_DUMMIES) -> dict[str, list]:
+    """The sorted levels of those columns that have at most ``most``; no more than that and one are ever read out."""
+    found = {c: [r[0] for r in df.select(c).filter(F.col(c).isNotNull()).distinct().limit(most + 1).collect()] for c in columns}
+    return {c: sorted(levels) for c, levels in found.items() if len(levels) <= most}
+
+
 def fit_levels(df: DataFrame, columns: list[str]) -> dict[str, list]:
-    """The sorted levels of each column. Each becomes a column of its own, so only categories belong here."""
-    return {c: sorted(r[0] for r in df.select(c).filter(F.col(c).isNotNull()).distinct().collect()) for c in columns}
+    """The sorted levels of each column. Each becomes a column of its own, so only categories belong here: columns with more than
+    ``MOST_DUMMIES`` levels are an error. ``operators.encode`` has no such bound."""
+    found = few_levels(df, columns)
+    if len(found) < len(columns):
+        raise ValueError(f"too many levels for a column each, use operators.encode: {[c for c in columns if c not in found]}")
+    return found
 
 
 def dummy_name(column: str, level: object) -> str:

@@ -55,6 +55,11 @@ def computed_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Dealt over all cores: what a fit reads many times shouldn't sit in the few partitions of a small file."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint into the shared folder the cluster names; keep the lineage where none is named."""
     spark = df.sparkSession
