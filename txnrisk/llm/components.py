@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from txnrisk.llm.shared import written
+from txnrisk.llm.shared import forget, written
 
 
 def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
@@ -18,10 +18,12 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
     labels = written(both.groupBy("node").agg(F.min("other").alias("o")).select("node", F.least("node", "o").alias("component")))
     while True:
         near = both.join(labels.select(F.col("node").alias("other"), "component"), "other").groupBy("node").agg(F.min("component").alias("near"))
-        least = labels.join(near, "node").select("node", F.least("component", "near").alias("component"), F.col("component").alias("was"))
+        least = labels.select("node", "component").join(near, "node").select("node", F.least("component", "near").alias("component"), F.col("component").alias("was"))
         least = written(least)
         leap = least.select(F.col("node").alias("component"), F.col("component").alias("further"))
         after = written(least.join(leap, "component", "left").select("node", F.least("component", F.coalesce("further", "component")).alias("component"), "was"))
+        forget(least, labels)
         if after.filter("component != was").isEmpty():
+            forget(both)
             return after.select("node", "component")
-        labels = after.select("node", "component")
+        labels = after

@@ -18,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from txnrisk.llm.shared import written
+from txnrisk.llm.shared import broadcast_few, written
 from txnrisk.llm.text import needed, portions, sorted_counts, texts_of
 
 #: Fingerprints that one range is meant to hold; the number of ranges follows the number of rows.
@@ -145,17 +145,16 @@ def repeated_fingerprints(fps: DataFrame, rows: int, bits: int = 64) -> DataFram
     return fps.select("fp").mapInArrow(filed, "range long, filter binary").groupBy("range").applyInPandas(joined, "fp long, fp_count long")
 
 
-def copy_groups(docs: DataFrame, bits: int = 64) -> DataFrame:
-    """One row for each group of two or more equal texts: fp, text_sha256, keep_id, group_size.
+def copy_groups(docs: DataFrame, marks: DataFrame, bits: int = 64) -> DataFrame:
+    """One row for each group of two or more equal texts: fp, text_sha256, keep_id, group_size. ``marks``: the written ``fp`` of all.
 
     The bytes of all texts in a group are compared through their least and greatest value, which partial aggregates
     reduce before the shuffle, so a text that a third of the rows share is one row per task. Two texts with the same
     SHA-256 but other bytes would end the job with an error.
     """
-    marks = written(fingerprinted(docs, ["doc_id"], bits).select("fp"))
-    often = written(repeated_fingerprints(marks, marks.count(), bits))
+    often = written(repeated_fingerprints(marks, marks.count(), bits).select("fp"))
     grouped = (
-        fingerprinted(docs, ["doc_id"], bits, with_text=True).join(often.select("fp"), "fp", "left_semi")
+        fingerprinted(docs, ["doc_id"], bits, with_text=True).join(broadcast_few(often), "fp", "left_semi")
         .groupBy("fp", "text_sha256")
         .agg(F.max("c0").alias("keep_id"), F.count(F.lit(1)).alias("group_size"), F.min("norm").alias("least"), F.max("norm").alias("most"))
         .filter("group_size > 1")
@@ -173,7 +172,7 @@ def exact_dedup(docs: DataFrame, bits: int = 64) -> DataFrame:
     """
     docs = needed(docs, "doc_id", "text")
     marks = written(fingerprinted(docs, ["doc_id"], bits).withColumnRenamed("c0", "doc_id").withColumn("row_no", F.monotonically_increasing_id()))
-    verified = copy_groups(docs, bits).select("fp", "text_sha256")
+    verified = copy_groups(docs, marks, bits).select("fp", "text_sha256")
     keys = ["fp", "text_sha256"]
     picked = (
         marks.join(verified, keys, "left_semi").groupBy(*keys)
@@ -189,15 +188,23 @@ def exact_dedup(docs: DataFrame, bits: int = 64) -> DataFrame:
 
 
 def without_copies(docs: DataFrame, bits: int = 64) -> DataFrame:
-    """The rows of ``docs`` that ``exact_dedup`` keeps, with all their columns.
+    """The rows of ``docs`` that ``exact_dedup`` keeps, with all their columns; of rows repeated with the kept id and text, one.
 
-    Texts that occur once pass straight through a join that only marks them; of a group, the row with the largest doc_id stays.
+    Where the table of groups is small enough to be broadcast, every row is decided in the map; beyond that all rows are shuffled
+    once. Null counts as the empty text, and a null id is kept only where its group has no other. Empty tables give no rows.
     """
-    often = written(copy_groups(needed(docs, "doc_id", "text"), bits))
-    names = docs.columns
-    whole = docs.select("doc_id", "text", F.struct(*[F.col(f"`{n}`") for n in names]).alias("row"))
+    keys, narrow = ["fp", "text_sha256"], needed(docs, "doc_id", "text")
+    marks = written(fingerprinted(narrow, ["doc_id"], bits).withColumnRenamed("c0", "doc_id"))
+    groups = written(copy_groups(narrow, marks, bits))
+    stays = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    often = written(marks.join(broadcast_few(groups), keys).filter(stays).groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    whole = docs.select("doc_id", "text", F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("row"))
     marked = fingerprinted(whole, ["row"], bits).withColumnRenamed("c0", "row")
-    known = marked.join(often, ["fp", "text_sha256"], "left")
-    stays = known.filter(F.col("group_size").isNull()).select("row.*")
-    first = known.filter(F.col("group_size").isNotNull() & F.col("row.doc_id").eqNullSafe(F.col("keep_id")))
-    return stays.unionByName(first.dropDuplicates(["fp", "text_sha256"]).select("row.*"))
+    once = broadcast_few(written(groups.join(often, keys, "left").select(*keys, "keep_id", F.col("n").isNotNull().alias("again"))))
+    alone = F.col("again").isNull() | (F.col("row.doc_id").eqNullSafe(F.col("keep_id")) & ~F.col("again"))
+    kept = marked.join(once, keys, "left").filter(alone).select("row.*")
+    if often.isEmpty():
+        return kept
+    # Only groups whose kept id occurs more than once are looked at again.
+    more = marked.join(once.filter("again"), keys).filter(F.col("row.doc_id").eqNullSafe(F.col("keep_id")))
+    return kept.unionByName(more.dropDuplicates(keys).select("row.*"))

@@ -177,7 +177,8 @@ def one_by_one(units: pd.DataFrame) -> pd.DataFrame:
 def plan(docs: DataFrame, quality: Callable[[bytes], float] = letter_share, weights: Callable[[list], dict] = cyclic_weights, total: float = 1.0, most: float = 3.0, seed: int = 0) -> DataFrame:
     """Per source: source_size, target, epochs, cut, spans, extra. ``total`` is the share of all words that the mix has.
 
-    The table of sources goes through the driver: a mix has one weight per source, so it is as long as the list of weights.
+    The table of sources goes through the driver and to all tasks: a mix has one weight per source, so it is as long as the list
+    of weights. The rows of a large source are never brought together.
     """
     marks = written(keyed(docs, ["source"], quality, seed).withColumnRenamed("c0", "source"))
     sizes = {r["source"]: r["size"] or 0 for r in marks.groupBy("source").agg(F.sum("size").alias("size")).collect()}
@@ -190,7 +191,7 @@ def plan(docs: DataFrame, quality: Callable[[bytes], float] = letter_share, weig
     cuts = cut_offs(marks, table.filter("budget >= 0.5").select("source", "budget"))
     t, c = table.alias("t"), cuts.alias("c")
     whole = t.join(c, F.col("t.source").eqNullSafe(F.col("c.source")), "left").select("t.source", "source_size", "target", "epochs", "cut", "spans", "extra")
-    return docs.sparkSession.createDataFrame(whole.collect(), whole.schema)  # a local table of known size: Spark broadcasts it if small
+    return F.broadcast(docs.sparkSession.createDataFrame(whole.collect(), whole.schema))
 
 
 def copies(u: Column, size: Column) -> Column:

@@ -6,7 +6,11 @@ signatures that differ in at most ``(errors + 1) * CHUNKS - 1`` positions have a
 enumerating the allowed errors of each chunk (leaving out each choice of positions) and joining on what remains finds *every*
 pair within that distance. With 80 positions, 16 chunks and one error the distance is 31, where a pair of similarity 0.8 is
 expected at 16; farther pairs are found unless all their chunks have more errors, so that a pair of similarity 0.8 is missed
-with a probability of about 1e-9. Candidates are then confirmed on the full sets.
+with a probability of about 1e-9.
+
+Every set also has its size and a bitmap that says for each of ``BITS`` hash values whether an odd number of its shingles has
+it. Two bitmaps differ in no more places than the sets in shingles, so candidates whose sizes or bitmaps allow no similarity of
+0.8 are refuted exactly, inside the join that finds them. The others are confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -18,22 +22,19 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from txnrisk.llm.components import components
-from txnrisk.llm.shared import written
+from txnrisk.llm.shared import FEW, broadcast_few, forget, written
 from txnrisk.llm.text import mixed, needed, portions, sorted_counts, texts_of, word_hashes
 
 POSITIONS, CHUNKS, ERRORS = 80, 16, 1
 #: All pairs within this distance are found.
 DISTANCE = (ERRORS + 1) * CHUNKS - 1
-#: Of the pairs found, those within this distance are confirmed on full sets: a pair of similarity 0.8 is beyond it with a
-#: probability of about 1e-8.
-NEAR = 37
+#: Places of the bitmap by which pairs are refuted.
+BITS = 2048
 #: Rounds of comparisons with drawn sets, and how many of the nearest of these are confirmed for each set.
 ROUNDS, NEAREST = 3, 4
-#: Ids (8 bytes each) up to which they are broadcast; beyond that the join shuffles.
-FEW = 1_000_000
 #: Shingles whose hashes are permuted at a time.
 BLOCK = 1 << 14
 
@@ -70,12 +71,33 @@ def signature(hashes: np.ndarray, times: np.ndarray, plus: np.ndarray) -> bytes:
     return (mixed(least) >> np.uint64(48)).astype("<u2").tobytes()
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """For each of ``BITS`` values of the top bits whether an odd number of hashes has it, in 64-bit words."""
+    odd = np.bincount((hashes >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view("<i8")
+
+
+def different(x: str, y: str) -> Column:
+    """A lower bound of how many shingles two sets (aliases with ``bits``) don't share."""
+    return sum(F.bit_count(F.col(f"{x}.bits")[i].bitwiseXOR(F.col(f"{y}.bits")[i])) for i in range(BITS // 64))
+
+
+def possible(x: str, y: str, share: tuple[int, int]) -> Column:
+    """Whether sizes and bitmaps of two sets (aliases with ``n`` and ``bits``) allow their link.
+
+    With n and m shingles of which d aren't shared, intersection and union are (n + m - d) / 2 and (n + m + d) / 2.
+    """
+    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+    return (share[1] * F.least(n, m) >= share[0] * F.greatest(n, m)) & ((share[1] + share[0]) * different(x, y) <= (share[1] - share[0]) * (n + m))
+
+
 def marked_sets(docs: DataFrame, k: int, carry: list[str], extra: str | None = None, seed: int = 3) -> DataFrame:
     """The ``carry`` columns (as c0, c1, ...), n_shingles and set_id, a 128-bit digest of the set, null if it is empty; with
-    ``extra`` also the signature (``sig``) or the compressed words (``words``)."""
+    ``extra`` also the signature and bitmap (``sig``, ``bits``) or the compressed words (``words``)."""
     source = docs.select(*[F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(carry)], F.col("text").cast("binary").alias("t"))
     schema = T.StructType(source.schema.fields[: len(carry)]).add("n_shingles", "long").add("set_id", "binary")
     schema = schema.add(extra, "binary") if extra else schema
+    schema = schema.add("bits", T.ArrayType(T.LongType())) if extra == "sig" else schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         times, plus = multipliers(seed)
@@ -91,6 +113,7 @@ def marked_sets(docs: DataFrame, k: int, carry: list[str], extra: str | None = N
                 columns.append(pa.array([squeeze.compress(b" ".join(t)) for t in texts], pa.binary()))
             elif extra:
                 columns.append(pa.array([signature(s, times, plus) if len(s) else None for s in sets], pa.binary()))
+                columns.append(pa.array([parities(s) if len(s) else None for s in sets], pa.list_(pa.int64())))
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return source.mapInArrow(run, schema)
@@ -124,20 +147,37 @@ def indexed(sets: DataFrame) -> DataFrame:
     return sets.select("sid", "sig").mapInArrow(run, "key long, sid long")
 
 
-def close(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b, of) whose signatures are within ``NEAR``, with their ``distance``."""
-    one = sets.select(F.col("sid").alias("a"), F.col("sig").alias("sig_a"))
-    two = sets.select(F.col("sid").alias("b"), F.col("sig").alias("sig_b"))
+def shared_keys(index: DataFrame) -> DataFrame:
+    """The rows of ``index`` whose key another row has too. Rows are dealt by key once and pass a task in order, one held back at a
+    time, so the number of rows of a key doesn't matter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, again = None, False  # the last row so far, and whether the row before it has its key
+
+        def batch_of(keys: np.ndarray, sids: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sids)], ["key", "sid"])
+
         for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, POSITIONS) for c in ("sig_a", "sig_b"))
-                distance = (x != y).sum(axis=1).astype(np.int32)
-                held = batch.drop_columns(["sig_a", "sig_b"]).append_column("distance", pa.array(distance))
-                yield held.filter(pa.array(distance <= NEAR))
+            if not batch.num_rows:
+                continue
+            keys, sids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "sid"))
+            if held:
+                keys, sids = np.append(held[0], keys), np.append(held[1], sids)
+            same = keys[1:] == keys[:-1]
+            keep = np.append(same, False) | np.append(again if held else False, same)
+            yield batch_of(keys[:-1][keep[:-1]], sids[:-1][keep[:-1]])
+            held, again = (keys[-1], sids[-1]), bool(keep[-1])
+        if held and again:
+            yield batch_of(np.array([held[0]]), np.array([held[1]]))
+
+    return index.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, sid long")
 
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "of", "sig_a", "sig_b").mapInArrow(run, "a long, b long, of long, distance int")
+
+def compared(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b, of) that aren't refuted, with a ``distance``."""
+    x, y = (sets.select(F.col("sid").alias(f"sid_{s}"), "n", "bits").alias(s) for s in "xy")
+    both = pairs.join(x, F.col("a") == F.col("sid_x")).join(y, (F.col("b") == F.col("sid_y")) & possible("x", "y", share))
+    return both.select("a", "b", "of", different("x", "y").alias("distance"))
 
 
 def confirmed(pairs: DataFrame, words: DataFrame, k: int, share: tuple[int, int]) -> DataFrame:
@@ -175,33 +215,35 @@ def links(docs: DataFrame, sets: DataFrame, k: int, share: tuple[int, int]) -> D
     from different components that was not compared before is compared: those outside the key's largest component with
     all others.
     """
-    keys = indexed(sets)
-    shared = keys.groupBy("key").agg(F.min("sid").alias("a"), F.max("sid").alias("z")).filter("a != z").select("key")
-    members = written(keys.join(shared, "key").select("key", "sid"))
+    members = written(shared_keys(indexed(sets)))
     labelled = members.withColumn("component", F.col("sid"))
-    found = tested = None
+    found = tested = old = None
     for number in range(ROUNDS):
         draw = F.struct(F.xxhash64("key", "sid", F.lit(number)).alias("h"), "sid", "component")
         drawn = labelled.groupBy("key").agg(F.min(draw).alias("d")).select("key", F.col("d.sid").alias("r"), F.col("d.component").alias("other"))
         pairs = labelled.join(drawn, "key").filter("component != other").select(F.least("r", "sid").alias("a"), F.greatest("r", "sid").alias("b"), F.col("sid").alias("of")).distinct()
         pairs = pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
-        near = written(close(pairs, sets))
-        # A set has at most as many of these as it has keys.
         # A set has at most as many of these as it has keys.
         rank = F.row_number().over(Window.partitionBy("of").orderBy("distance", "a", "b"))
-        chosen = written(near.withColumn("nth", rank).filter(F.col("nth") <= NEAREST).select("a", "b").distinct())
+        chosen = written(compared(pairs, sets, share).withColumn("nth", rank).filter(F.col("nth") <= NEAREST).select("a", "b").distinct())
         more = written(confirmed(chosen, words_of(docs, sets, chosen, k), k, share))
         found, tested = (more, chosen) if found is None else (found.unionByName(more), tested.unionByName(chosen))
         if more.isEmpty():
             break
         joined = components(found).withColumnRenamed("node", "sid")
         labelled = written(members.join(joined, "sid", "left").select("key", "sid", F.coalesce("component", "sid").alias("component")))
+        if old:
+            forget(old)
+        old = labelled
     apart = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
     split = written(labelled.join(apart.select("key", F.col("top.component").alias("main")), "key"))
-    one, two = split.filter("component != main").alias("x"), split.alias("y")
-    across = one.join(two, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & ((F.col("x.sid") < F.col("y.sid")) | (F.col("y.component") == F.col("y.main"))))
-    pairs = across.select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-    rest = written(close(pairs.withColumn("of", F.col("a")), sets).select("a", "b"))
+    wide = split.join(sets.select("sid", "n", "bits"), "sid")
+    across = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component"))
+    across &= (F.col("x.sid") < F.col("y.sid")) | (F.col("y.component") == F.col("y.main"))
+    pairs = wide.filter("component != main").alias("x").join(wide.alias("y"), across & possible("x", "y", share))
+    pairs = pairs.select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+    rest = written(pairs)
+    forget(split, members)
     return found.unionByName(confirmed(rest, words_of(docs, sets, rest, k), k, share))
 
 
@@ -220,7 +262,7 @@ def words_of(docs: DataFrame, sets: DataFrame, pairs: DataFrame, k: int) -> Data
 def grouped(docs: DataFrame, k: int, share: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
     """The documents (doc_id, n_shingles, set_id), and for each set_id its ``group`` and the group's ``component_id``."""
     marked = written(marked_sets(docs, k, ["doc_id"], "sig").withColumnRenamed("c0", "doc_id"))
-    some = marked.filter("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("low"), F.min("sig").alias("sig"))
+    some = marked.filter("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("low"), F.min("sig").alias("sig"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits"))
     sets = written(some.withColumn("sid", F.monotonically_increasing_id()))
     joined = components(links(docs, sets, k, share)).withColumnRenamed("node", "sid")
     known = written(sets.select("set_id", "sid", "low").join(joined, "sid", "left").select("set_id", F.coalesce("component", "sid").alias("group"), "low", F.col("component").isNotNull().alias("linked")))
@@ -247,14 +289,24 @@ def near_dedup(docs: DataFrame, k: int = 5, share: tuple[int, int] = (4, 5)) ->
 
 
 def one_of_each_group(docs: DataFrame, k: int = 5, share: tuple[int, int] = (4, 5)) -> DataFrame:
-    """The rows of ``docs`` that ``near_dedup`` keeps, with all their columns; of rows repeated with the kept id, one."""
+    """The rows of ``docs`` that ``near_dedup`` keeps, with all their columns; of rows repeated with the kept id, one.
+
+    Rows whose set is in no group pass in the map where the table of crowded sets is small enough to be broadcast; beyond that all
+    rows are shuffled once. Null, empty and blank texts all stay, a null id is kept only where its group has no other. Empty tables
+    give no rows.
+    """
     marked, groups = grouped(needed(docs, "doc_id", "text"), k, share)
     rows = marked.filter("set_id is not null").join(groups, "set_id")
     stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
     crowds = written(rows.groupBy("group", "component_id").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(stays, 1)).alias("kept")).filter("n > 1").select("group", (F.col("kept") > 1).alias("again")))
-    crowded = written(groups.join(crowds, "group"))
+    crowded = broadcast_few(written(groups.join(crowds, "group")))
     whole = docs.select("doc_id", "text", F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("row"))
-    known = marked_sets(whole, k, ["row"]).select(F.col("c0").alias("row"), "set_id").join(crowded, "set_id", "left")
-    chosen = F.col("group").isNull() | (F.col("row.doc_id").eqNullSafe(F.col("component_id")) & ~F.col("again"))
-    repeated = F.col("again") & F.col("row.doc_id").eqNullSafe(F.col("component_id"))
-    return known.filter(chosen).select("row.*").unionByName(known.filter(repeated).dropDuplicates(["group"]).select("row.*"))
+    known = marked_sets(whole, k, ["row"]).select(F.col("c0").alias("row"), "set_id")
+    alone = F.col("group").isNull() | (F.col("row.doc_id").eqNullSafe(F.col("component_id")) & ~F.col("again"))
+    kept = known.join(crowded, "set_id", "left").filter(alone).select("row.*")
+    repeated = crowded.filter("again")
+    if repeated.isEmpty():
+        return kept
+    # Only sets of groups whose kept id occurs more than once are looked at again.
+    one = known.join(repeated, "set_id").filter(F.col("row.doc_id").eqNullSafe(F.col("component_id")))
+    return kept.unionByName(one.dropDuplicates(["group"]).select("row.*"))
