@@ -5,7 +5,6 @@ import hashlib
 import numpy as np
 import pytest
 
-from compare import compare, duck
 from txnrisk.llm import boundaries as b, queries
 
 SIGNS = ["a", "é", "日", "𝄞", "\x00", "\n", "é", "👩‍👩‍👧"]
@@ -69,8 +68,7 @@ def test_clashing_names_and_empty_table(spark, docs, empty):
     assert b.digests(b.fill_in_middle(clashing)).count() == docs.count()
 
 
-def test_digests_and_twin(spark, sf):
-    assert compare(queries.QUERIES["op13_fill_in_middle"](spark, sf), duck(sf), queries.ORACLES["op13_fill_in_middle"]) is None
+def test_digests_of_whole_texts(spark, sf):
     made = queries.QUERIES["op13_fill_in_middle"](spark, sf).collect()
     texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     assert all(r["restored_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest() for r in made)

@@ -14,7 +14,8 @@ from compare import compare, duck  # noqa: E402
 from txnrisk.llm import near_dedup, queries  # noqa: E402
 
 NAMES = """op1_token_counts op2_exact_top_k op3_lm_scoring op4_minhash_near_dedup op5_exact_dedup op6_suffix_array_dedup
-op7_best_fit_packing op8_mixing op9_quality_classifier op10_language_id""".split()
+op7_best_fit_packing op8_mixing op9_quality_classifier op10_language_id op11_embedding_near_dedup op12_centroid_clustering
+op13_fill_in_middle""".split()
 
 
 def test_all_are_registered():

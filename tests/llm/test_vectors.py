@@ -8,8 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from compare import compare, duck
-from txnrisk.llm import centroids, lattice, queries, vectors
+from txnrisk.llm import centroids, lattice, vectors
 
 SCHEMA = "vec_id long, embedding array<double>, label int, sid string, component string, unit string, vid string, cluster string, whole string"
 
@@ -205,12 +204,6 @@ def test_walk_in_two_dimensions():
     assert number.tolist() == [0, 0, 2] and distance.tolist() == [2, 500_000, 20_000]
 
 
-def test_twins(spark, sf):
-    con = duck(sf)
-    for name in ("op11_embedding_near_dedup", "op12_centroid_clustering"):
-        assert compare(queries.QUERIES[name](spark, sf), con, queries.ORACLES[name]) is None
-
-
 def test_no_column_but_the_named_ones_is_read(spark, sf):
     rows = spark.read.parquet(f"{sf}/embeddings.parquet").withColumn("unit", F.lit("x"))
     assert lattice.near_vectors(rows).columns == ["vec_id", "n_links", "component_id", "kept"]
