@@ -2,8 +2,11 @@
 
 Two classifiers look at a document from different sides: one at the words of its text, one at its metadata (source, language,
 length and layout figures). Either sums the log-odds of all features, each the less the likelier it is by chance. Each labels the
-unlabelled documents that it is sure of, and the other learns from them, until few new documents are handed over. Both are then calibrated on documents kept out of training, and the calibrated views are combined to score
-every document.
+unlabelled documents that it is sure of, and the other learns from them, until few new documents are handed over. Both are then
+calibrated on documents kept out of training, and the calibrated views are combined to score every document.
+
+The features of all documents are made once, in a table that the exchanges and the scoring read. An exchange adds up only the
+documents whose labels it changes.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
-from txnrisk.llm.shared import written
+from txnrisk.llm.shared import broadcast_few, written
 from txnrisk.llm.text import id_remainder, portions
 
 #: Places of hashed features in either view.
@@ -44,10 +47,10 @@ def place(kind: bytes, value: bytes, places: int) -> int:
     return zlib.crc32(kind + value) % places
 
 
-def content_words(text: bytes) -> set[bytes]:
+def content_words(text: bytes, marks: list[bytes] | None = None) -> set[bytes]:
     """The distinct words of the text without ASCII punctuation, and runs of punctuation marks (with ``~`` before them)."""
-    low = text.lower()
-    return set(low.translate(GAPS).split()).union(b"~" + m for m in set(MARKS.findall(low)))
+    marks = MARKS.findall(text) if marks is None else marks
+    return set(text.lower().translate(GAPS).split()).union(b"~" + m for m in set(marks))
 
 
 def word_places(word: bytes) -> tuple[int, ...]:
@@ -57,13 +60,24 @@ def word_places(word: bytes) -> tuple[int, ...]:
     return place(b"w", word, TEXT_PLACES), place(b"p", word.decode("utf-8", "ignore")[:4].encode(), TEXT_PLACES)
 
 
-def text_features(text: bytes) -> set[int]:
-    return {p for word in content_words(text) for p in word_places(word)}
+class KnownPlaces(dict):
+    """The places of the words that a task has met, a bounded number of them."""
+
+    def __missing__(self, word: bytes) -> tuple[int, ...]:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        found = self[word] = word_places(word)
+        return found
+
+
+def text_features(text: bytes, known: dict[bytes, tuple[int, ...]], marks: list[bytes] | None = None) -> set[int]:
+    return {p for word in content_words(text, marks) for p in known[word]}
 
 
-def meta_features(text: bytes, source: str | None, lang: str | None) -> set[int]:
-    """Source and language as they are, and figures of length and layout cut into classes."""
+def meta_features(text: bytes, source: str | None, lang: str | None, runs: list[bytes] | None = None) -> set[int]:
+    """Source and language as they are, and figures of length and layout cut into classes. ``runs``: those of marks, if known."""
     words = text.split()
+    runs = MARKS.findall(text) if runs is None else runs
     n = max(1, len(words))
     same = sum(map(bytes.__eq__, words, words[1:]))
     marks, digits = (len(text) - len(text.translate(None, some)) for some in (PUNCTUATION, DIGITS))
@@ -71,7 +85,7 @@ def meta_features(text: bytes, source: str | None, lang: str | None) -> set[int]
         b"length": math.log2(len(text) + 1), b"words": math.log2(len(words) + 1), b"mean": min(20.0, len(text) / n),
         b"same": min(8, round(20 * same / n)), b"distinct": round(10 * len(set(words)) / n), b"marks": min(20, round(50 * marks / max(1, len(text)))),
         b"bars": min(8, round(20 * sum(map(ALONE.__contains__, words)) / n)), b"lines": math.log2(text.count(b"\n") + 1), b"digits": min(10, round(20 * digits / max(1, len(text)))),
-        b"runs": min(6, len(MARKS.findall(text)) * 20 // n),
+        b"runs": min(6, len(runs) * 20 // n),
     }
     found = {place(k, str(int(v)).encode(), META_PLACES) for k, v in figures.items()}
     return found | {place(b"source", str(source).encode(), META_PLACES), place(b"lang", str(lang).encode(), META_PLACES)}
@@ -150,42 +164,51 @@ class Combined:
     by_meta: np.ndarray
     both: np.ndarray
 
-    def probability(self, text_odds: float, meta_odds: float) -> float:
-        a = self.by_text[0] * bounded(text_odds) + self.by_text[1]
-        b = self.by_meta[0] * bounded(meta_odds) + self.by_meta[1]
-        return 1 / (1 + math.exp(-bounded(self.both[0] * a + self.both[1] * b + self.both[2])))
+    def probability(self, text_odds: np.ndarray, meta_odds: np.ndarray) -> np.ndarray:
+        a = self.by_text[0] * np.clip(text_odds, -30, 30) + self.by_text[1]
+        b = self.by_meta[0] * np.clip(meta_odds, -30, 30) + self.by_meta[1]
+        return 1 / (1 + np.exp(-np.clip(self.both[0] * a + self.both[1] * b + self.both[2], -30, 30)))
 
 
 def known_labels(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", "quality", "toxic").filter("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
 
 
-def with_features(rows: DataFrame) -> DataFrame:
-    """quality, toxic, fold, text, meta (lists of feature places) from rows with quality, toxic, fold, source, lang and text."""
-    rows = rows.select("quality", "toxic", F.col("fold").cast("long").alias("fold"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("binary").alias("text"))
+def with_features(docs: DataFrame) -> DataFrame:
+    """doc_id, text, meta (ascending feature places) from rows with doc_id, source, lang and text."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = KnownPlaces()
         for batch in portions(batches):
-            texts = [t or b"" for t in batch.column("text").to_pylist()]
-            one = [sorted(text_features(t)) for t in texts]
-            two = [sorted(meta_features(t, s, g)) for t, s, g in zip(texts, batch.column("source").to_pylist(), batch.column("lang").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(one, pa.list_(pa.int32())), pa.array(two, pa.list_(pa.int32()))], ["quality", "toxic", "fold", "text", "meta"])
+            one, two = [], []
+            for text, source, lang in zip(*(batch.column(c).to_pylist() for c in ("text", "source", "lang")), strict=True):
+                text = text or b""
+                marks = MARKS.findall(text)
+                one.append(sorted(text_features(text, known, marks)))
+                two.append(sorted(meta_features(text, source, lang, marks)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(one, pa.list_(pa.int32())), pa.array(two, pa.list_(pa.int32()))], ["doc_id", "text", "meta"])
 
-    return rows.mapInArrow(run, "quality int, toxic int, fold long, text array<int>, meta array<int>")
+    return rows.mapInArrow(run, "doc_id long, text array<int>, meta array<int>")
 
 
-def sampled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
-    """Features of a bounded sample of labelled documents, chosen by a hash of the id; fold 0 is for calibration."""
-    known = known_labels(labels)
+def featured(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The features of all documents with their labels (quality, toxic; null where there is none)."""
+    known = broadcast_few(written(known_labels(labels)))
+    return with_features(docs).join(known, "doc_id", "left").select("doc_id", F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic"), "text", "meta")
+
+
+def sampled(table: DataFrame, sample: int) -> DataFrame:
+    """A bounded sample of the labelled documents, chosen by a hash of the id; fold 0 is for calibration."""
+    known = table.filter("quality IS NOT NULL")
     chance = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) / 1_000_000
     few = known.filter(chance < min(1.0, sample / max(1, known.count())))
-    return with_features(docs.join(few, "doc_id").withColumn("fold", id_remainder(F.col("doc_id"), 5)))
+    return few.withColumn("fold", id_remainder(F.col("doc_id"), 5))
 
 
 def unlabelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Features of all documents without a label, those without an id among them."""
-    none = {"quality": F.lit(None).cast("int"), "toxic": F.lit(None).cast("int"), "fold": F.lit(0)}
-    return with_features(docs.join(known_labels(labels).select("doc_id"), "doc_id", "left_anti").withColumns(none))
+    """The features of all documents without a label, those without an id among them."""
+    return featured(docs, labels).filter("quality IS NULL")
 
 
 TARGETS = ("quality", "toxic")
@@ -225,7 +248,8 @@ def summed(view: View, flat: np.ndarray, owner: np.ndarray, n: int) -> np.ndarra
 def tally(rows: DataFrame, now: tuple | None = None, before: tuple | None = None, sure: float = SURE) -> tuple[list[list[np.ndarray]], np.ndarray]:
     """Counts of documents by target, view, label and feature place (the last place: all documents), and how many documents
     have a label that they did not have ``before``. Labels are those of the rows, or what is handed over ``now``: broadcast views
-    of all targets and their calibrations.
+    of all targets and their calibrations. With ``before`` the counts are what to add to those of before: documents whose label
+    has changed count for the new one and against the old one, all others not at all.
 
     Tasks add up their rows, so a task sends at most a row for each target and place, and so do all together.
     """
@@ -243,12 +267,20 @@ def tally(rows: DataFrame, now: tuple | None = None, before: tuple | None = None
                     labels = [batch.column(target).fill_null(-1).to_numpy(zero_copy_only=False)] * 2
                 else:
                     labels = judges[t].hands(lists, n, edge)
-                    earlier = judged[t].hands(lists, n, edge) if judged else [np.full(n, -1)] * 2
-                    new[t] += [int(((x >= 0) & (x != y)).sum()) for x, y in zip(labels, earlier, strict=True)]
-                for total, label, (flat, owner) in zip(totals[t], labels, lists, strict=True):
+                earlier = judged[t].hands(lists, n, edge) if judged else [np.full(n, -1)] * 2
+                new[t] += [int(((x >= 0) & (x != y)).sum()) for x, y in zip(labels, earlier, strict=True)]
+                for total, label, old, (flat, owner) in zip(totals[t], labels, earlier, lists, strict=True):
+                    changed = label != old
+                    if not changed.any():
+                        continue
+                    mine = changed[owner]
+                    some, of = flat[mine], owner[mine]
                     for value in (0, 1):
-                        total[value, :-1] += np.bincount(flat[label[owner] == value], minlength=total.shape[1] - 1)
-                        total[value, -1] += (label == value).sum()
+                        for who, sign in ((label, 1), (old, -1)):
+                            picked = changed & (who == value)
+                            if picked.any():
+                                total[value, :-1] += sign * np.bincount(some[picked[of]], minlength=total.shape[1] - 1)
+                                total[value, -1] += sign * picked.sum()
         for t in range(len(TARGETS)):
             for v, total in enumerate(totals[t]):
                 at = np.flatnonzero(total.any(axis=0))
@@ -272,15 +304,16 @@ def tally(rows: DataFrame, now: tuple | None = None, before: tuple | None = None
 
 
 def co_train(known: DataFrame, pool: DataFrame, rounds: int, sure: float) -> list[Combined]:
-    """Fits both views of all targets; ``known`` as ``sampled`` makes it, ``pool`` as ``unlabelled`` does."""
+    """Fits both views of all targets; ``known`` as ``sampled`` makes it, ``pool`` the features of those without a label."""
     train, held = known.filter("fold != 0"), known.filter("fold = 0")
     given, _ = tally(train)
-    views, before = [[fit(c) for c in counts] for counts in given], None
+    views, before, told = [[fit(c) for c in counts] for counts in given], None, None
     for _ in range(rounds):
         sent = known.sparkSession.sparkContext.broadcast(views)
         # The sums are not probabilities yet, so each view is calibrated on the labels before it is trusted.
         now = sent, [calibrations(odds) for odds in found_odds(train, sent)]
-        told, new = tally(pool, now, before, sure)
+        more, new = tally(pool, now, before, sure)
+        told = [[a + b for a, b in zip(*both, strict=True)] for both in zip(told, more, strict=True)] if before else more
         if before:
             before[0].destroy()
         before, views = now, [[fit(a + b) for a, b in zip(*both, strict=True)] for both in zip(given, told, strict=True)]
@@ -324,19 +357,6 @@ def calibrations(odds: list[tuple[float, float, int]]) -> tuple[np.ndarray, np.n
     return platt([([x], y) for x, _, y in odds]), platt([([x], y) for _, x, y in odds])
 
 
-class ToldPlaces(dict):
-    """The places of a word that tell something about any target, remembered in a task; most words have none."""
-
-    def __init__(self, models: list[Combined]):
-        self.told = np.any([m.text.weights != 0 for m in models], axis=0)
-
-    def __missing__(self, word: bytes) -> tuple[int, ...]:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        found = self[word] = tuple(p for p in word_places(word) if self.told[p])
-        return found
-
-
 def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int = ROUNDS, sure: float = SURE) -> DataFrame:
     """One row per row of ``docs`` (doc_id, source, lang, text): doc_id, quality, toxic (probabilities) and kept, which is true
     if quality is 0.5 or more and toxic is below 0.5.
@@ -346,22 +366,14 @@ def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, ro
     every document gets 0.5 and 0.5 and is not kept. A null text is empty; null source and language are values of their own;
     null ids are scored too; repeated rows are scored alike. An empty table gives no rows; other columns are not read.
     """
-    docs = docs.select("doc_id", "source", "lang", "text")
-    held = docs.sparkSession.sparkContext.broadcast(co_train(written(sampled(docs, labels, sample)), written(unlabelled(docs, labels)), rounds, sure))
+    table = written(featured(docs.select("doc_id", "source", "lang", "text"), labels))
+    known = written(sampled(table, sample))
+    held = docs.sparkSession.sparkContext.broadcast(co_train(known, table.filter("quality IS NULL"), rounds, sure))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = held.value
-        told = ToldPlaces(models)
-        for batch in portions(batches):
-            scores = []
-            for text, source, lang in zip(batch.column("text").to_pylist(), batch.column("source").to_pylist(), batch.column("lang").to_pylist(), strict=True):
-                text = text or b""
-                words = list({p for w in content_words(text) for p in told[w]})
-                about = list(meta_features(text, source, lang))
-                scores.append([m.probability(m.text.intercept + float(m.text.weights[words].sum()), m.meta.intercept + float(m.meta.weights[about].sum())) for m in models])
-            found = np.array(scores).reshape(-1, 2)
-            kept = (found[:, 0] >= 0.5) & (found[:, 1] < 0.5)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(found[:, 0]), pa.array(found[:, 1]), pa.array(kept)], ["doc_id", "quality", "toxic", "kept"])
-
-    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, quality double, toxic double, kept boolean")
+        for batch in batches:
+            lists = places_of(batch)
+            found = [m.probability(*(summed(view, *x, batch.num_rows) for view, x in zip((m.text, m.meta), lists, strict=True))) for m in held.value]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, found), pa.array((found[0] >= 0.5) & (found[1] < 0.5))], ["doc_id", "quality", "toxic", "kept"])
+
+    return table.select("doc_id", "text", "meta").mapInArrow(run, "doc_id long, quality double, toxic double, kept boolean")
