@@ -112,6 +112,23 @@ def test_velocity_with_hot_customer(spark):
     assert len(got) == len(rows)
 
 
+def test_daily_runs_equal_one(spark):
+    """Six runs of a day each, with what the run before carried over, against one run; customers that pause for days too."""
+    rng = np.random.default_rng(6)
+    start = datetime(2024, 1, 1)
+    rows = [(i, None if i % 90 == 1 else int(rng.integers(0, 9)), start + timedelta(seconds=int(rng.integers(0, 72)) * 7200)) for i in range(400)]
+    df = spark.createDataFrame(rows, "transaction_id int, customer_id int, timestamp timestamp").cache()
+    want = {r["transaction_id"]: r["txn_last_24h"] for r in features.velocity_24h(df).collect()}
+    got, carried = {}, None
+    for day in range(6):
+        at, end = start + timedelta(days=day), start + timedelta(days=day + 1)
+        run = df.filter((F.col("timestamp") >= F.lit(at)) & (F.col("timestamp") < F.lit(end)))
+        got |= {r["transaction_id"]: r["txn_last_24h"] for r in features.velocity_24h(run, carried).collect()}
+        carried = features.velocity_boundary(run, F.lit(end), carried).checkpoint()
+        assert carried.filter(F.col("timestamp") <= F.lit(at)).isEmpty()
+    assert got == want and max(want.values()) > 5
+
+
 def brute(points, copies, k):
     out = []
     for i, p in enumerate(points):

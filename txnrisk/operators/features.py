@@ -68,7 +68,19 @@ def join_customer_stats(df: DataFrame, stats: DataFrame) -> DataFrame:
     return skew_join(df, stats, ["customer_id"], counts)
 
 
-def velocity_24h(df: DataFrame) -> DataFrame:
+def velocity_boundary(df: DataFrame, end: Column, carried: DataFrame | None = None) -> DataFrame:
+    """What the next run needs of all transactions before ``end``: customer_id, timestamp and number ``n`` for the last 24 hours.
+
+    ``df`` has the transactions of this run, ``carried`` what the run before left.
+    """
+    known = F.col("customer_id").isNotNull() & F.col("timestamp").isNotNull()
+    counted = df.filter(known).groupBy("customer_id", F.col("timestamp").cast("timestamp").alias("timestamp")).agg(F.count("*").alias("n"))
+    both = counted.unionByName(carried) if carried is not None else counted
+    recent = F.col("timestamp") > end - F.expr("INTERVAL 24 HOURS")
+    return both.filter(recent).groupBy("customer_id", "timestamp").agg(F.sum("n").alias("n"))
+
+
+def velocity_24h(df: DataFrame, carried: DataFrame | None = None) -> DataFrame:
     """Add ``txn_last_24h``: the customer's transactions in (t - 24 h, t], same-time ones included.
 
     That is C(t) - C(t - 24 h), with C(x) the customer's transactions up to x. Every distinct time goes
@@ -76,11 +88,15 @@ def velocity_24h(df: DataFrame) -> DataFrame:
     not become one window partition, and a sliding frame would look at all of the 24 hours for each
     row, so C is put together from running sums over the customer's days, the minutes of each day and
     the times of each minute. Rows without a customer or time get 0.
+
+    A daily run reads its own transactions and, as ``carried``, the ``velocity_boundary`` of the run before.
     """
     micros = F.unix_micros(F.col("timestamp").cast("timestamp"))
     minute = F.floor(F.col("_us") / _MINUTE)
     known = F.col("customer_id").isNotNull() & F.col("timestamp").isNotNull()
     per_time = df.filter(known).groupBy("customer_id", micros.alias("_us")).agg(F.count("*").alias("n"))
+    if carried is not None:
+        per_time = per_time.unionByName(carried.select("customer_id", micros.alias("_us"), "n")).groupBy("customer_id", "_us").agg(F.sum("n").alias("n"))
 
     def rows(us: Column, n: Column, at: Column, sign: int, of: DataFrame) -> DataFrame:
         return of.select("customer_id", us.alias("_us"), n.cast("long").alias("n"), at.cast("long").alias("_at"), F.lit(sign).alias("_sign"))

@@ -262,6 +262,9 @@ ORACLES: dict[str, str] = {
         min(transaction_amount) AS cust_min_amount FROM txn GROUP BY 1) USING (customer_id)""",
     "velocity_24h": txn(EVENTS) + """SELECT transaction_id, count(*) OVER (PARTITION BY customer_id ORDER BY epoch_us("timestamp")
         RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW) AS txn_last_24h FROM txn""",
+    "sparse_one_hot": txn(ORDERS) + """, n AS (SELECT count(DISTINCT customer_id) + count(DISTINCT channel) - 2 AS size FROM txn)
+        SELECT transaction_id, dense_rank() OVER (ORDER BY customer_id::VARCHAR) - 2 AS customer_id_index, dense_rank() OVER (ORDER BY channel::VARCHAR) - 2 AS channel_index,
+               CAST(size AS INTEGER) AS size FROM txn, n""",
     "one_hot": txn(ORDERS) + "SELECT transaction_id, " + ", ".join(f'({e})::INT AS "{n}"' for n, e in _DUMMIES) + " FROM txn",
     "chi2_scores": txn(ORDERS) + ", x AS (" + " UNION ALL ".join(
         f"""SELECT '{n}' AS feature, is_fraud, count(*) AS n, count(*) FILTER ({e}) AS obs FROM txn GROUP BY 2""" for n, e in _DUMMIES)
@@ -394,3 +397,4 @@ ORACLES: dict[str, str] = {
     "smote_counts": txn(ORDERS) + """, c AS (SELECT is_fraud, count(*) AS n FROM txn GROUP BY 1)
         SELECT is_fraud, 0 AS synthetic, n FROM c UNION ALL SELECT arg_min(is_fraud, n), 1, max(n) - min(n) FROM c""",
 }
+ORACLES["velocity_carried"] = ORACLES["velocity_24h"]

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from txnrisk.functions import cleaning, fusion, reasons, rules
-from txnrisk.operators import alerts, clean, features, metrics, models, profile, scaling, split
+from txnrisk.operators import alerts, clean, encode, features, metrics, models, profile, scaling, split
 from txnrisk.operators.smote import smote
 from txnrisk.plans import analytics, labels, training, views
 from txnrisk.plans.scoring import score
 from txnrisk.plans.views import read_table, txn_events, txn_orders
+from txnrisk.session import cut_lineage
 from txnrisk.sources.records import parse_record
 from txnrisk.sources.sinks import transaction_rows
 from txnrisk.streaming import jobs
@@ -252,6 +255,30 @@ def velocity_24h(spark, sf):
     return features.velocity_24h(t).select("transaction_id", "txn_last_24h")
 
 
+@query
+def velocity_carried(spark, sf):
+    """The same in runs of ten days, each of which reads its own events and the boundary of the run before."""
+    t = txn_events(spark, sf).select("transaction_id", "customer_id", "timestamp")
+    first, last = t.agg(F.min("timestamp"), F.max("timestamp")).first()
+    start, parts, carried = first, [], None
+    while start <= last:
+        end = start + datetime.timedelta(days=10)
+        run = t.filter((F.col("timestamp") >= F.lit(start)) & (F.col("timestamp") < F.lit(end)))
+        parts.append(features.velocity_24h(run, carried).select("transaction_id", "txn_last_24h"))
+        carried, start = cut_lineage(features.velocity_boundary(run, F.lit(end), carried)), end
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query
+def sparse_one_hot(spark, sf):
+    """Places of the dummies of a category with a level per customer and of one with few, and the length of the whole vector."""
+    t = txn_orders(spark, sf).select("transaction_id", "customer_id", "channel")
+    table = encode.level_table(t, ["customer_id", "channel"])
+    counts = encode.level_counts(table)
+    made = encode.encode_levels(t, table, counts)
+    return made.withColumn("size", F.lit(encode.vector_size([], counts)))
+
+
 @query
 def one_hot(spark, sf):
     return features.one_hot(txn_orders(spark, sf).select("transaction_id", "kyc_verified", "channel"), ["kyc_verified", "channel"])
