@@ -35,8 +35,9 @@ DISTANCE = (ERRORS + 1) * CHUNKS - 1
 BITS = 2048
 #: Rounds of comparisons with drawn sets, and how many of the nearest of these are confirmed for each set.
 ROUNDS, NEAREST = 3, 4
-#: Shingles whose hashes are permuted at a time.
-BLOCK = 1 << 14
+#: Shingles whose hashes are permuted at a time, bytes of text whose words are held at a time, pairs that are confirmed at a time
+#: and sets held for them.
+BLOCK, PORTION, PAIRS, HELD = 1 << 12, 1 << 20, 512, 64
 
 
 def shingles(text: bytes, k: int) -> np.ndarray:
@@ -77,9 +78,9 @@ def parities(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view("<i8")
 
 
-def different(x: str, y: str) -> Column:
-    """A lower bound of how many shingles two sets (aliases with ``bits``) don't share."""
-    return sum(F.bit_count(F.col(f"{x}.bits")[i].bitwiseXOR(F.col(f"{y}.bits")[i])) for i in range(BITS // 64))
+def different(x: str, y: str, words: int = BITS // 64) -> Column:
+    """A lower bound of how many shingles two sets (aliases with ``bits``) don't share, from the first ``words`` of the bitmaps."""
+    return sum(F.bit_count(F.col(f"{x}.bits")[i].bitwiseXOR(F.col(f"{y}.bits")[i])) for i in range(words))
 
 
 def possible(x: str, y: str, share: tuple[int, int]) -> Column:
@@ -88,7 +89,10 @@ def possible(x: str, y: str, share: tuple[int, int]) -> Column:
     With n and m shingles of which d aren't shared, intersection and union are (n + m - d) / 2 and (n + m + d) / 2.
     """
     n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
-    return (share[1] * F.least(n, m) >= share[0] * F.greatest(n, m)) & ((share[1] + share[0]) * different(x, y) <= (share[1] - share[0]) * (n + m))
+    most = (share[1] - share[0]) * (n + m)
+    sizes = share[1] * F.least(n, m) >= share[0] * F.greatest(n, m)
+    # A quarter of the bitmap refutes most of them already.
+    return sizes & ((share[1] + share[0]) * different(x, y, BITS // 256) <= most) & ((share[1] + share[0]) * different(x, y) <= most)
 
 
 def marked_sets(docs: DataFrame, k: int, carry: list[str], extra: str | None = None, seed: int = 3) -> DataFrame:
@@ -102,7 +106,7 @@ def marked_sets(docs: DataFrame, k: int, carry: list[str], extra: str | None = N
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         times, plus = multipliers(seed)
         squeeze = zstandard.ZstdCompressor(level=3)
-        for batch in portions(batches, "t"):
+        for batch in portions(batches, "t", PORTION):
             texts = [t.lower().split() for t in texts_of(batch, "t")]
             hashes = word_hashes([w for t in texts for w in t])
             ends = np.cumsum([len(t) for t in texts])
@@ -187,11 +191,11 @@ def confirmed(pairs: DataFrame, words: DataFrame, k: int, share: tuple[int, int]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spread = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in (b.slice(at, PAIRS) for b in batches for at in range(0, b.num_rows, PAIRS)):
             held: dict[bytes, np.ndarray] = {}
             keep = []
             for pair in zip(batch.column("words_a").to_pylist(), batch.column("words_b").to_pylist(), strict=True):
-                if len(held) > 256:
+                if len(held) > HELD:
                     held.clear()
                 x, y = (held[w] if w in held else held.setdefault(w, shingles(spread.decompress(w), k)) for w in pair)
                 least, most = sorted((len(x), len(y)))
