@@ -10,7 +10,7 @@ with a probability of about 1e-9.
 
 Every set also has its size and a bitmap that says for each of ``BITS`` hash values whether an odd number of its shingles has
 it. Two bitmaps differ in no more places than the sets in shingles, so candidates whose sizes or bitmaps allow no similarity of
-0.8 are refuted exactly, inside the join that finds them. The others are confirmed on the full sets.
+0.8 are refuted exactly, before a row is made of them. The others are confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -31,8 +31,9 @@ from txnrisk.llm.text import mixed, needed, portions, sorted_counts, texts_of, w
 POSITIONS, CHUNKS, ERRORS = 80, 16, 1
 #: All pairs within this distance are found.
 DISTANCE = (ERRORS + 1) * CHUNKS - 1
-#: Places of the bitmap by which pairs are refuted.
+#: Places of the bitmap by which pairs are refuted, the same in 64-bit words, and the rows of a key that a task compares.
 BITS = 2048
+WORDS, CROWD = BITS // 64, 8192
 #: Rounds of comparisons with drawn sets, and how many of the nearest of these are confirmed for each set.
 ROUNDS, NEAREST = 3, 4
 #: Shingles whose hashes are permuted at a time, bytes of text whose words are held at a time, pairs that are confirmed at a time
@@ -78,9 +79,9 @@ def parities(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view("<i8")
 
 
-def different(x: str, y: str, words: int = BITS // 64) -> Column:
-    """A lower bound of how many shingles two sets (aliases with ``bits``) don't share, from the first ``words`` of the bitmaps."""
-    return sum(F.bit_count(F.col(f"{x}.bits")[i].bitwiseXOR(F.col(f"{y}.bits")[i])) for i in range(words))
+def different(x: str, y: str) -> Column:
+    """A lower bound of how many shingles two sets (aliases with ``bits``) don't share."""
+    return sum(F.bit_count(F.col(f"{x}.bits")[i].bitwiseXOR(F.col(f"{y}.bits")[i])) for i in range(WORDS))
 
 
 def possible(x: str, y: str, share: tuple[int, int]) -> Column:
@@ -89,10 +90,7 @@ def possible(x: str, y: str, share: tuple[int, int]) -> Column:
     With n and m shingles of which d aren't shared, intersection and union are (n + m - d) / 2 and (n + m + d) / 2.
     """
     n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
-    most = (share[1] - share[0]) * (n + m)
-    sizes = share[1] * F.least(n, m) >= share[0] * F.greatest(n, m)
-    # A quarter of the bitmap refutes most of them already.
-    return sizes & ((share[1] + share[0]) * different(x, y, BITS // 256) <= most) & ((share[1] + share[0]) * different(x, y) <= most)
+    return (share[1] * F.least(n, m) >= share[0] * F.greatest(n, m)) & ((share[1] + share[0]) * different(x, y) <= (share[1] - share[0]) * (n + m))
 
 
 def marked_sets(docs: DataFrame, k: int, carry: list[str], extra: str | None = None, seed: int = 3) -> DataFrame:
@@ -184,6 +182,74 @@ def compared(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataF
     return both.select("a", "b", "of", different("x", "y").alias("distance"))
 
 
+def unrefuted(split: DataFrame, share: tuple[int, int], crowd: int = CROWD) -> DataFrame:
+    """The pairs (a, b) of sets that share a key, lie in different components and aren't refuted by sizes and bitmaps.
+
+    ``split``: key, sid, component, n, bits, and the key's ``main`` component, its number of rows ``all`` and of ``others`` outside
+    the main one. A key's rows go to one task; those of a key with more than ``crowd`` rows are dealt, so that any of the others
+    meets any of all in one task. Tasks compare bitmaps in blocks, and only pairs that may be links leave them.
+    """
+    rows = split.select("key", "sid", "component", "main", "n", "bits", "all", "others")
+    none = F.lit(-1).cast("long")
+    few = rows.filter(F.col("all") <= crowd).withColumns({"i": none, "j": none, "side": F.lit(1)})
+    large, parts = rows.filter(F.col("all") > crowd), lambda n: F.ceil(F.col(n) / F.lit(crowd)).cast("long")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), parts(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("sid"), parts(n))
+    there = large.withColumn("i", every("others")).withColumns({"j": own("all"), "side": F.lit(1)})
+    asking = large.filter("component != main").withColumn("j", every("all")).withColumns({"i": own("others"), "side": F.lit(0)}).select(there.columns)
+    units = few.unionByName(there).unionByName(asking).drop("all", "others")
+
+    def compare(key: np.ndarray, sid: np.ndarray, component: np.ndarray, main: np.ndarray, n: np.ndarray, bits: np.ndarray, alone: bool, side: np.ndarray) -> np.ndarray:
+        ask = np.flatnonzero(component != main) if alone else np.flatnonzero(side == 0)
+        of = np.arange(len(sid)) if alone else np.flatnonzero(side == 1)
+        found = []
+        for x in ask:
+            may = (component[of] != component[x]) & ((sid[x] < sid[of]) | (component[of] == main[of])) & (share[1] * np.minimum(n[x], n[of]) >= share[0] * np.maximum(n[x], n[of]))
+            left = of[may]
+            for upto in (WORDS // 4, WORDS):  # a quarter of the bitmap refutes most of them already
+                apart = np.bitwise_count(bits[x, :upto] ^ bits[left, :upto]).sum(axis=1, dtype=np.int64)
+                left = left[(share[1] + share[0]) * apart <= (share[1] - share[0]) * (n[x] + n[left])]
+            if len(left):
+                found.append(np.column_stack((np.minimum(sid[x], sid[left]), np.maximum(sid[x], sid[left]))))
+        return np.concatenate(found) if found else np.empty((0, 2), np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []  # the parts of a unit that isn't complete yet
+
+        def done() -> np.ndarray:
+            columns = [np.concatenate(c) if len(c) > 1 else c[0] for c in zip(*held, strict=True)]
+            key, i, _, side, sid, component, main, n, bits = columns
+            return compare(key, sid, component, main, n, bits, i[0] < 0, side)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "i", "j", "side", "sid", "component", "main", "n")]
+            columns.append(batch.column("bits").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, WORDS))
+            edge = np.zeros(batch.num_rows, bool)
+            for place, c in enumerate(columns[:3]):
+                edge[1:] |= c[1:] != c[:-1]
+                edge[0] |= bool(held) and held[-1][place][-1] != c[0]
+            found, first = [], 0
+            for cut in np.flatnonzero(edge).tolist():
+                if cut > first:
+                    held.append([c[first:cut] for c in columns])
+                if held:
+                    found.append(done())
+                    held = []
+                first = cut
+            held.append([c[first:] for c in columns])
+            if found := [f for f in found if len(f)]:
+                made = np.concatenate(found)
+                yield pa.RecordBatch.from_arrays([pa.array(made[:, 0]), pa.array(made[:, 1])], ["a", "b"])
+        if held:
+            made = done()
+            yield pa.RecordBatch.from_arrays([pa.array(made[:, 0].copy()), pa.array(made[:, 1].copy())], ["a", "b"])
+
+    unit = ["key", "i", "j"]
+    return units.repartition(*unit).sortWithinPartitions(*unit).mapInArrow(run, "a long, b long")
+
+
 def confirmed(pairs: DataFrame, words: DataFrame, k: int, share: tuple[int, int]) -> DataFrame:
     """The pairs (a, b) whose full sets have ``share[1] * intersection >= share[0] * union``."""
     one = words.select(F.col("sid").alias("a"), F.col("words").alias("words_a"))
@@ -239,13 +305,10 @@ def links(docs: DataFrame, sets: DataFrame, k: int, share: tuple[int, int]) -> D
         if old:
             forget(old)
         old = labelled
-    apart = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    split = written(labelled.join(apart.select("key", F.col("top.component").alias("main")), "key"))
-    wide = split.join(sets.select("sid", "n", "bits"), "sid")
-    across = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component"))
-    across &= (F.col("x.sid") < F.col("y.sid")) | (F.col("y.component") == F.col("y.main"))
-    pairs = wide.filter("component != main").alias("x").join(wide.alias("y"), across & possible("x", "y", share))
-    pairs = pairs.select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+    counted = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("all"))
+    apart = counted.filter("all > top.c").select("key", F.col("top.component").alias("main"), "all", (F.col("all") - F.col("top.c")).alias("others"))
+    split = written(labelled.join(apart, "key"))
+    pairs = unrefuted(split.join(sets.select("sid", "n", "bits"), "sid"), share).distinct().join(tested, ["a", "b"], "left_anti")
     rest = written(pairs)
     forget(split, members)
     return found.unionByName(confirmed(rest, words_of(docs, sets, rest, k), k, share))
