@@ -3,6 +3,7 @@
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from txnrisk.llm import exact_dedup, near_dedup
@@ -57,3 +58,29 @@ def test_rows_repeated_with_the_kept_id(spark):
 def test_tables_without_rows(spark):
     none = spark.createDataFrame([], "doc_id long, text string, row string")
     assert exact_dedup.without_copies(none).count() == 0 and near_dedup.one_of_each_group(none).count() == 0
+
+
+@pytest.mark.parametrize("crowd", [1, 7, 8192])
+def test_unrefuted_pairs(spark, crowd):
+    """Against all pairs under each key, with keys dealt over many tasks or in one."""
+    rng = np.random.default_rng(5)
+    base = [np.unique(rng.integers(0, 2**64, 60, np.uint64)) for _ in range(4)]
+    sets, rows = [], []
+    for sid in range(60):
+        some = base[sid % 4]
+        sets.append(np.unique(np.concatenate((some[rng.random(len(some)) < 0.97], rng.integers(0, 2**64, int(rng.integers(0, 6)), np.uint64)))))
+    for key, members in ((1, range(60)), (2, range(0, 60, 2)), (3, [5, 9]), (4, range(7, 30, 4))):
+        component = {sid: sid // 13 for sid in members}
+        often = Counter(component.values())
+        main = max(often, key=lambda c: (often[c], c))
+        rows += [(key, sid, component[sid], main, len(component), len(component) - often[main], len(sets[sid]), near_dedup.parities(sets[sid]).tolist()) for sid in members]
+    df = spark.createDataFrame(rows, "key long, sid long, component long, main long, all long, others long, n long, bits array<long>").repartition(3)
+    got = {tuple(r) for r in near_dedup.unrefuted(df, (4, 5), crowd).collect()}
+    want = set()
+    for a in rows:
+        for b in rows:
+            if a[0] == b[0] and a[1] < b[1] and a[2] != b[2]:
+                apart = sum(bin((x ^ y) & (2**64 - 1)).count("1") for x, y in zip(a[7], b[7], strict=True))
+                if 5 * min(a[6], b[6]) >= 4 * max(a[6], b[6]) and 9 * apart <= a[6] + b[6]:
+                    want.add((a[1], b[1]))
+    assert got == want and len(want) > 100
