@@ -121,6 +121,12 @@ def _delete(spark: SparkSession, folder: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def alert_stream(scored: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Store the alerts of a scored stream, for ``read_alerts``; ``checkpoint`` must be a shared folder on a cluster."""
+    return (build_alerts(scored).writeStream.foreachBatch(lambda df, batch_id: write_alert_batch(df, batch_id, path))
+            .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start())
+
+
 def _late(stream: DataFrame, time: str, late: str | None) -> DataFrame:
     """A stream has one watermark: pass None where it was set before, as by ``dedup_stream``."""
     return stream.withWatermark(time, late) if late else stream
