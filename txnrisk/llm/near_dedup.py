@@ -326,9 +326,10 @@ def words_of(docs: DataFrame, sets: DataFrame, pairs: DataFrame, k: int) -> Data
     return written(found.join(wanted.select("sid", "set_id"), "set_id").groupBy("sid").agg(F.min("words").alias("words")))
 
 
-def grouped(docs: DataFrame, k: int, share: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
-    """The documents (doc_id, n_shingles, set_id), and for each set_id its ``group`` and the group's ``component_id``."""
-    marked = written(marked_sets(docs, k, ["doc_id"], "sig").withColumnRenamed("c0", "doc_id"))
+def grouped(docs: DataFrame, k: int, share: tuple[int, int], carry: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The documents (doc_id, n_shingles, set_id and the ``carry`` columns), and for each set_id its ``group`` and the group's ``component_id``."""
+    names = ["doc_id", *(carry or [])]
+    marked = written(marked_sets(docs, k, names, "sig").withColumnsRenamed({f"c{i}": n for i, n in enumerate(names)}))
     some = marked.filter("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("low"), F.min("sig").alias("sig"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits"))
     sets = written(some.withColumn("sid", F.monotonically_increasing_id()))
     joined = components(links(docs, sets, k, share)).withColumnRenamed("node", "sid")
@@ -336,7 +337,7 @@ def grouped(docs: DataFrame, k: int, share: tuple[int, int]) -> tuple[DataFrame,
     least = known.filter("linked").groupBy("group").agg(F.min("low").alias("least"))
     linked = known.filter("linked").join(least, "group").select("set_id", "group", F.col("least").alias("component_id"))
     alone = known.filter("not linked").select("set_id", "group", F.col("low").alias("component_id"))
-    return marked.select("doc_id", "n_shingles", "set_id"), written(linked.unionByName(alone))
+    return marked.select(*names, "n_shingles", "set_id"), written(linked.unionByName(alone))
 
 
 def near_dedup(docs: DataFrame, k: int = 5, share: tuple[int, int] = (4, 5)) -> DataFrame:
@@ -358,22 +359,23 @@ def near_dedup(docs: DataFrame, k: int = 5, share: tuple[int, int] = (4, 5)) ->
 def one_of_each_group(docs: DataFrame, k: int = 5, share: tuple[int, int] = (4, 5)) -> DataFrame:
     """The rows of ``docs`` that ``near_dedup`` keeps, with all their columns; of rows repeated with the kept id, one.
 
-    Rows whose set is in no group pass in the map where the table of crowded sets is small enough to be broadcast; beyond that all
-    rows are shuffled once. Null, empty and blank texts all stay, a null id is kept only where its group has no other. Empty tables
+    Rows are known by doc_id and a hash of the text. Where the table of those that go is small enough to be broadcast, every row is
+    decided in the map, without another look at its words; beyond that all rows are shuffled once. Null, empty and blank texts all stay, a null id is kept only where its group has no other. Empty tables
     give no rows.
     """
-    marked, groups = grouped(needed(docs, "doc_id", "text"), k, share)
-    rows = marked.filter("set_id is not null").join(groups, "set_id")
-    stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    crowds = written(rows.groupBy("group", "component_id").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(stays, 1)).alias("kept")).filter("n > 1").select("group", (F.col("kept") > 1).alias("again")))
-    crowded = broadcast_few(written(groups.join(crowds, "group")))
-    whole = docs.select("doc_id", "text", F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("row"))
-    known = marked_sets(whole, k, ["row"]).select(F.col("c0").alias("row"), "set_id")
-    alone = F.col("group").isNull() | (F.col("row.doc_id").eqNullSafe(F.col("component_id")) & ~F.col("again"))
-    kept = known.join(crowded, "set_id", "left").filter(alone).select("row.*")
-    repeated = crowded.filter("again")
+    text = F.xxhash64("text").alias("text_hash")
+    marked, groups = grouped(needed(docs, "doc_id", "text").withColumn("text_hash", F.xxhash64("text")), k, share, ["text_hash"])
+    rows = marked.filter("set_id is not null").join(groups, "set_id").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    # Of a group's rows with the kept id, those of the least hash stay; if there are several of these, one.
+    kept = rows.filter("stays").groupBy("group").agg(F.min("text_hash").alias("least"))
+    judged = rows.join(kept, "group", "left").withColumn("stays", F.col("stays") & (F.col("text_hash") == F.col("least")))
+    known = judged.groupBy("doc_id", "text_hash").agg(F.max("stays").alias("stays"), F.count(F.lit(1)).alias("n"))
+    told = broadcast_few(written(known.filter("NOT stays OR n > 1").select(F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_text"), "stays")))
+    same = lambda d: d["doc_id"].eqNullSafe(told["of_id"]) & (d["text_hash"] == told["of_text"])
+    hashed = docs.select(F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("row"), "doc_id", text)
+    alone = hashed.join(told, same(hashed), "left_anti").select("row.*")
+    repeated = told.filter("stays")
     if repeated.isEmpty():
-        return kept
-    # Only sets of groups whose kept id occurs more than once are looked at again.
-    one = known.join(repeated, "set_id").filter(F.col("row.doc_id").eqNullSafe(F.col("component_id")))
-    return kept.unionByName(one.dropDuplicates(["group"]).select("row.*"))
+        return alone
+    again = hashed.join(repeated, same(hashed), "left_semi")
+    return alone.unionByName(again.dropDuplicates(["doc_id", "text_hash"]).select("row.*"))
