@@ -112,18 +112,19 @@ def learn(docs: DataFrame, folds: int = 5, dimensions: int = DIMENSIONS, seed: i
 
 
 def with_language(docs: DataFrame, prototypes: dict[str, np.ndarray], carry: list[str], dimensions: int = DIMENSIONS, seed: int = 7) -> DataFrame:
-    """The ``carry`` columns (named c0, c1, ...), lang_pred and score, from ``text`` alone; one map, no shuffle."""
+    """The ``carry`` columns (named c0, c1, ...), lang_pred, score and grams (the text's trigrams), from ``text`` alone; one map, no shuffle."""
     source = docs.select(*[F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(carry)], F.col("text").alias("t"))
-    schema = T.StructType(source.schema.fields[:-1]).add("lang_pred", "string").add("score", "double")
+    schema = T.StructType(source.schema.fields[:-1]).add("lang_pred", "string").add("score", "double").add("grams", "long")
     held = docs.sparkSession.sparkContext.broadcast((list(prototypes), np.array(list(prototypes.values())).reshape(len(prototypes), dimensions)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         alphabet, vectors = Alphabet(), Vectors(dimensions, seed)
         names, against = held.value
         for batch in portions(batches, "t"):
-            found, scores = [], []
+            found, scores, lengths = [], [], []
             for text in batch.column("t").to_pylist():
                 grams = alphabet.grams(text or "")
+                lengths.append(len(grams))
                 if not len(grams) or not names:
                     found.append(UNKNOWN)
                     scores.append(0.0)
@@ -134,7 +135,7 @@ def with_language(docs: DataFrame, prototypes: dict[str, np.ndarray], carry: lis
                 best = int(np.argmax(cosines))
                 found.append(names[best])
                 scores.append(float(min(1.0, max(0.0, cosines[best]))))
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(carry))], pa.array(found, pa.string()), pa.array(scores, pa.float64())], names=[*(f"c{i}" for i in range(len(carry))), "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(carry))], pa.array(found, pa.string()), pa.array(scores, pa.float64()), pa.array(lengths, pa.int64())], names=[*(f"c{i}" for i in range(len(carry))), "lang_pred", "score", "grams"])
 
     return source.mapInArrow(run, schema)
 
@@ -150,10 +151,12 @@ def identify(docs: DataFrame, folds: int = 5, **options) -> DataFrame:
     return rows.select(F.col("c0").alias("doc_id"), (id_remainder(F.col("c0"), folds) == 0).alias("held_out"), "lang_pred", "score")
 
 
-def in_a_language(docs: DataFrame, least: float = 0.08, folds: int = 5, **options) -> DataFrame:
-    """The rows of ``docs`` whose text is in a learned language with a score of ``least`` or more, with all their columns."""
+def in_a_language(docs: DataFrame, least: float = 0.08, sure: int = 60, folds: int = 5, **options) -> DataFrame:
+    """The rows of ``docs`` whose text is in a learned language with a score of ``least`` or more, with all their columns.
+
+    A text of fewer than ``sure`` trigrams can't be told from chance by its cosine, so it goes only if it has no letters. Null and
+    empty texts go, and all texts if nothing could be learned. Repeated rows share their fate. An empty table gives no rows.
+    """
     whole = docs.select("text", F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("row"))
     rows = with_language(whole, learn(docs, folds, **options), ["row"], **options)
-    return rows.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("c0.*")
-
-
+    return rows.filter((F.col("lang_pred") != UNKNOWN) & ((F.col("score") >= least) | (F.col("grams") < sure))).select("c0.*")
