@@ -487,6 +487,24 @@ def test_documents_behind_a_long_one_are_taken(spark, monkeypatch):
             assert taken[s] == epochs * size + first_fit([(m["size"], m["u"]) for m in marks if m["c0"] == s], wanted - epochs * size), (s, total)
 
 
+def test_a_round_takes_a_bounded_part_of_a_source(spark, monkeypatch):
+    """Also where most keys lie in one narrow range, and whatever the number of rows that share a key."""
+    monkeypatch.setattr(mixing, "AT_ONCE", 50)
+    rows = [("a", 0.3 + i * 1e-9) for i in range(4000)] + [(None, (i + 0.5) / 300) for i in range(300)] + [("few", 0.5)] * 20 + [("tied", 0.25)] * 500
+    frame = spark.createDataFrame(rows, "source string, u double")
+    ends = mixing.next_ends(frame, {"a": 0.0, None: 0.5, "few": 0.0, "tied": 0.0, "none": 0.0})
+    got = {s: sum(r[0] == s and {"a": 0.0, None: 0.5}.get(s, 0.0) <= r[1] < end for r in rows) for s, end in ends.items()}
+    assert 50 <= got["a"] <= 100 and 50 <= got[None] <= 100 and got["tied"] == 500 and got["few"] == 20
+    assert ends["few"] == mixing.END and "none" not in ends
+
+
+def test_large_keys_stay_apart(spark):
+    """Documents of low quality have large keys; each still has a u of its own, below 1."""
+    frame = spark.range(50_000).selectExpr("id AS doc_id", "'1234' AS text")
+    got = mixing.keyed(frame, ["doc_id"]).agg(F.countDistinct("u").alias("n"), F.max("u").alias("most")).first()
+    assert got["n"] == 50_000 and got["most"] < 1
+
+
 # ---- 9, quality
 
 def test_quality(spark, empty):
@@ -564,6 +582,18 @@ def test_language(small, docs, empty):
     assert kept.columns == docs.columns and not {1, 2, 3} & {r["doc_id"] for r in kept.collect()}
 
 
+def test_short_texts_stay(small):
+    """Every text with a letter that is too short for its cosine to say anything stays; noise of some length goes."""
+    rng = random.Random(5)
+    noise = ["".join(chr(rng.randrange(0x4E00, 0x9FA5)) if rng.random() < 0.8 else " " for _ in range(400)) for _ in range(20)]
+    rows = [(-1 - i, t) for i, t in enumerate(["a", "Ok", "hello there", "x y z", *noise, "", None, "12 34"])]
+    extra = small.sparkSession.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit(None).cast("string"))
+    kept = {r["doc_id"] for r in language.in_a_language(small.select("doc_id", "text", "lang").unionByName(extra)).collect()}
+    assert {-1, -2, -3, -4} <= kept and not kept & {-25, -26, -27}
+    assert sum(-5 - i in kept for i in range(20)) <= 2
+    assert {r["doc_id"] for r in small.filter("text rlike '[a-z]'").collect()} <= kept
+
+
 def test_nothing_learned(docs):
     assert {r["lang_pred"] for r in language.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 

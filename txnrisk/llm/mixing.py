@@ -23,8 +23,11 @@ from txnrisk.llm.text import needed, portions, texts_of
 #: Key ranges that a level of refinement counts in each source.
 RANGES = 1024
 LEVELS = 2
-#: Keys of a source that a round goes through one after another, once the first document is too long.
+#: Documents of a source that a round goes through one after another, once the first document is too long (twice that at most,
+#: rows with equal keys aside, which count as one).
 AT_ONCE = 1024
+#: Refinements of a key range after which all keys in it are equal.
+FINEST = 6
 #: Above every u.
 END = 2.0
 #: Bytes that count as letters for the quality weight: ASCII letters and all of UTF-8's other bytes.
@@ -58,9 +61,10 @@ def cyclic_weights(sources: list) -> dict:
 
 
 def keyed(docs: DataFrame, carry: list[str], quality: Callable[[bytes], float] = letter_share, seed: int = 0) -> DataFrame:
-    """The ``carry`` columns with ``size`` (words) and ``u`` in [0, 1), the exponential key mapped by 1 - exp(-key).
+    """The ``carry`` columns with ``size`` (words) and ``u`` in [0, 1), the exponential key mapped by key / (1 + key).
 
-    The key is -ln(r) / weight, r from a hash of doc_id and text. The map keeps the order, and makes key ranges even.
+    The key is -ln(r) / weight, r from a hash of doc_id and text. The map keeps the order, brings the keys into a bounded range,
+    and keeps large keys apart, as 1 - exp(-key) would not.
     """
     source = docs.select(*[F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(carry)], F.col("doc_id").cast("string").alias("id"), F.col("text").cast("binary").alias("t"))
     schema = T.StructType(source.schema.fields[: len(carry)]).add("size", "long").add("u", "double")
@@ -71,7 +75,7 @@ def keyed(docs: DataFrame, carry: list[str], quality: Callable[[bytes], float] =
             size = [len(t.split()) for t in texts]
             r = np.array([(xxhash.xxh3_64_intdigest(t, seed) ^ xxhash.xxh3_64_intdigest(str(i), seed + 1)) + 1 for t, i in zip(texts, ids, strict=True)], float) / 2.0**64
             key = -np.log(r) / np.array([max(quality(t), 1e-9) for t in texts])
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(carry))], pa.array(size, pa.int64()), pa.array(1 - np.exp(-key))], schema=None, names=[*(f"c{i}" for i in range(len(carry))), "size", "u"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(carry))], pa.array(size, pa.int64()), pa.array(key / (1 + key))], schema=None, names=[*(f"c{i}" for i in range(len(carry))), "size", "u"])
 
     return source.mapInArrow(run, schema)
 
@@ -125,39 +129,76 @@ def in_spans(u: Column, size: Column, spans: Column) -> Column:
 def docs_behind(marks: DataFrame, cut: DataFrame) -> DataFrame:
     """source, cut, spans and what is left of ``gap`` after the documents behind the cut that still fit, in the order of u.
 
-    A round takes the next documents that are not longer than the gap, about ``AT_ONCE`` of a source found by a histogram of u,
-    and goes through them one by one. As the gap falls, fewer documents come into question; the last round meets none. Rows
-    with the same u are taken together or not at all. What comes back to the driver is a row per source, like the mix itself.
+    A round takes the next documents that are not longer than the gap, up to the key that ``next_ends`` finds, and goes through
+    them one by one. As the gap falls, fewer documents come into question; the last round meets none. Rows with the same u are
+    taken together or not at all. What comes back to the driver is a row per source, like the mix itself.
     """
     spark = marks.sparkSession
     state = {r["source"]: [r["cut"], r["gap"], []] for r in cut.collect() if r["cut"] is not None}
     at = {source: start for source, (start, _, _) in state.items()}
     while at:
-        now = spark.createDataFrame([(s, u, state[s][1]) for s, u in at.items()], "source string, at double, gap double")
-        m, n = marks.filter("size > 0").alias("m"), F.broadcast(now).alias("n")
-        fit = m.join(n, F.col("m.source").eqNullSafe(F.col("n.source")) & (F.col("u") >= F.col("at")) & (F.col("size") <= F.col("gap")))
-        width = F.greatest((F.lit(1.0) - F.col("at")) / RANGES, F.lit(1e-15))
-        fit = fit.select(F.col("n.source").alias("source"), "at", "gap", "u", "size", F.least(F.floor((F.col("u") - F.col("at")) / width), F.lit(RANGES - 1)).alias("place"))
-        run = F.sum("n").over(Window.partitionBy("source").orderBy("place"))
-        counted = fit.groupBy("source", "place").agg(F.count(F.lit(1)).alias("n")).withColumn("upto", run)
-        ends = {r["source"]: r["end"] for r in counted.groupBy("source").agg(F.min(F.when(F.col("upto") >= AT_ONCE, F.col("place"))).alias("end")).collect()}
+        now = spark.createDataFrame([(s, u, state[s][1]) for s, u in at.items()], "of string, at double, gap double")
+        fit = joined(marks.filter("size > 0"), now).filter((F.col("u") >= F.col("at")) & (F.col("size") <= F.col("gap")))
+        ends = next_ends(fit, at)
         if not ends:
             break
-        e = F.broadcast(spark.createDataFrame([(s, RANGES - 1 if end is None else end) for s, end in ends.items()], "of string, end long"))
-        few = fit.join(e, F.col("source").eqNullSafe(F.col("of"))).filter(F.col("place") <= F.col("end"))
+        few = joined(fit.drop("of"), spark.createDataFrame(list(ends.items()), "of string, end double")).filter(F.col("u") < F.col("end"))
         units = few.groupBy("source", "at", "gap", "end", "u").agg(F.sum("size").alias("words"), F.max("size").alias("size"))
-        at = {}
-        for r in units.groupBy("source").applyInPandas(one_by_one, f"source string, end long, last double, gap double, spans {SPANS}").collect():
+        # Where rounding has put the end before the first row, the next round goes on from there.
+        at = {s: end for s, end in ends.items() if end < END}
+        for r in units.groupBy("source").applyInPandas(one_by_one, f"source string, gap double, spans {SPANS}").collect():
             held = state[r["source"]]
             held[1] = r["gap"]
             held[2] += [tuple(x) for x in r["spans"]]
-            if r["end"] < RANGES - 1 and r["gap"] >= 1:
-                at[r["source"]] = r["last"]
+            if r["gap"] < 1:
+                at.pop(r["source"], None)
     return spark.createDataFrame([(s, u, gap, spans) for s, (u, gap, spans) in state.items()], f"source string, cut double, gap double, spans {SPANS}")
 
 
+def joined(rows: DataFrame, of: DataFrame) -> DataFrame:
+    """``rows`` (source) with what ``of``, which has a row per source, says of theirs; null is a source too."""
+    return rows.join(F.broadcast(of), F.col("source").eqNullSafe(F.col("of")))
+
+
+def next_ends(rows: DataFrame, at: dict) -> dict:
+    """Per source of ``rows`` (source, u) the key below which lie at least ``AT_ONCE`` of its rows and at most twice as many, or
+    ``END`` if it hasn't so many.
+
+    The range of keys in which the count reaches ``AT_ONCE`` is cut into ranges again until it adds few enough, so the rows up to
+    the end don't grow with the source. Only keys equal to the last digits can add more.
+    """
+    spark, ends = rows.sparkSession, {}
+    open_ = {source: (low, 1.0, 0) for source, low in at.items()}  # from, to, rows before
+    for level in range(FINEST):
+        if not open_:
+            break
+        ranges = spark.createDataFrame([(s, *r) for s, r in open_.items()], "range_of string, low double, high double, before long")
+        inside = rows.select("source", "u").join(F.broadcast(ranges), F.col("source").eqNullSafe(F.col("range_of")) & (F.col("u") >= F.col("low")) & (F.col("u") < F.col("high")))
+        place = F.least(F.floor((F.col("u") - F.col("low")) / (F.col("high") - F.col("low")) * RANGES), F.lit(RANGES - 1))
+        # At most RANGES rows per source.
+        counted = inside.groupBy("source", "before", place.alias("place")).agg(F.count(F.lit(1)).alias("n"))
+        counted = counted.withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy("source").orderBy("place")))
+        reached = F.min(F.when(F.col("upto") >= AT_ONCE, F.struct("place", "upto", "n")))
+        found, open_, tried = counted.groupBy("source").agg(reached.alias("at")).collect(), {}, open_
+        for r in found:
+            low, high, _ = tried[r["source"]]
+            if r["at"] is None:
+                ends[r["source"]] = high if level else END
+                continue
+            place, upto, n = r["at"]
+            width = (high - low) / RANGES
+            below, above = low + place * width, high if place == RANGES - 1 else low + (place + 1) * width
+            if upto <= 2 * AT_ONCE or level == FINEST - 1 or not low <= below < above:
+                ends[r["source"]] = max(above, float(np.nextafter(below, END)), float(np.nextafter(at[r["source"]], END)))
+            else:
+                open_[r["source"]] = (below, above, upto - n)
+        # Rounding may have left a range without the rows that were counted in it.
+        ends |= {s: high for s, (_, high, _) in tried.items() if level and s not in open_ and s not in ends}
+    return {s: END if end >= 1.0 else end for s, end in ends.items()}
+
+
 def one_by_one(units: pd.DataFrame) -> pd.DataFrame:
-    """The spans in which documents of one source are taken, what they leave of the gap, and where to go on."""
+    """The spans in which documents of one source are taken, and what they leave of the gap."""
     units = units.sort_values("u")
     first = units.iloc[0]
     low, most, left, spans = float(first["at"]), float(first["gap"]), float(first["gap"]), []
@@ -169,9 +210,8 @@ def one_by_one(units: pd.DataFrame) -> pd.DataFrame:
         else:
             spans.append({"low": low, "high": u, "most": most})
             low, most = float(np.nextafter(u, END)), left
-    last = END if first["end"] == RANGES - 1 else float(np.nextafter(units["u"].iloc[-1], END))
-    spans.append({"low": low, "high": last, "most": most})
-    return pd.DataFrame({"source": [first["source"]], "end": [int(first["end"])], "last": [last], "gap": [left], "spans": [spans]})
+    spans.append({"low": low, "high": float(first["end"]), "most": most})
+    return pd.DataFrame({"source": [first["source"]], "gap": [left], "spans": [spans]})
 
 
 def plan(docs: DataFrame, quality: Callable[[bytes], float] = letter_share, weights: Callable[[list], dict] = cyclic_weights, total: float = 1.0, most: float = 3.0, seed: int = 0) -> DataFrame:
