@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from txnrisk.llm.text import id_remainder, needed, portions, sorted_counts
+from txnrisk.llm.text import id_remainder, needed, portions, sorted_counts, with_text
 
 DIMENSIONS = 512
 #: Vectors of n-grams that a task remembers; beyond that it starts afresh.
@@ -112,15 +112,17 @@ def learn(docs: DataFrame, folds: int = 5, dimensions: int = DIMENSIONS, seed: i
 
 
 def with_language(docs: DataFrame, prototypes: dict[str, np.ndarray], carry: list[str], dimensions: int = DIMENSIONS, seed: int = 7) -> DataFrame:
-    """The ``carry`` columns (named c0, c1, ...), lang_pred, score and grams (the text's trigrams), from ``text`` alone; one map, no shuffle."""
-    source = docs.select(*[F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(carry)], F.col("text").alias("t"))
-    schema = T.StructType(source.schema.fields[:-1]).add("lang_pred", "string").add("score", "double").add("grams", "long")
+    """The ``carry`` columns (named c0, c1, ...), lang_pred, score and grams (the text's trigrams), from ``text`` alone; one map, no shuffle.
+    Without a column ``text`` it is that of the first carried column, a struct."""
+    text = [F.col("text").alias("t")] if "text" in docs.columns else []
+    source = docs.select(*[F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(carry)], *text)
+    schema = T.StructType(source.schema.fields[: len(carry)]).add("lang_pred", "string").add("score", "double").add("grams", "long")
     held = docs.sparkSession.sparkContext.broadcast((list(prototypes), np.array(list(prototypes.values())).reshape(len(prototypes), dimensions)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         alphabet, vectors = Alphabet(), Vectors(dimensions, seed)
         names, against = held.value
-        for batch in portions(batches, "t"):
+        for batch in portions(with_text(batches, "c0", "t"), "t"):
             found, scores, lengths = [], [], []
             for text in batch.column("t").to_pylist():
                 grams = alphabet.grams(text or "")
@@ -157,6 +159,6 @@ def in_a_language(docs: DataFrame, least: float = 0.08, sure: int = 60, folds: i
     A text of fewer than ``sure`` trigrams can't be told from chance by its cosine, so it goes only if it has no letters. Null and
     empty texts go, and all texts if nothing could be learned. Repeated rows share their fate. An empty table gives no rows.
     """
-    whole = docs.select("text", F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("row"))
+    whole = docs.select(F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("row"))
     rows = with_language(whole, learn(docs, folds, **options), ["row"], **options)
     return rows.filter((F.col("lang_pred") != UNKNOWN) & ((F.col("score") >= least) | (F.col("grams") < sure))).select("c0.*")
