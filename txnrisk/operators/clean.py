@@ -58,13 +58,17 @@ def outlier_bounds(df: DataFrame, column: str, k: float = 1.5, approx: bool = Fa
                   F.count_if(_outside(column, bounds)).alias("outliers"))
 
 
-def outliers(df: DataFrame, column: str, k: float = 1.5, approx: bool = False) -> DataFrame:
-    return df.filter(_outside(column, iqr_bounds(df, column, k, approx)))
+Bounds = tuple[float | None, float | None]
 
 
-def winsorize(df: DataFrame, column: str, k: float = 1.5, approx: bool = False) -> DataFrame:
-    """Clip to the outlier bounds; null stays null, and NaN becomes null."""
-    (lower, upper), value = iqr_bounds(df, column, k, approx), cleaning.known(F.col(column))
+def outliers(df: DataFrame, column: str, k: float = 1.5, approx: bool = False, bounds: Bounds | None = None) -> DataFrame:
+    """The rows strictly outside the bounds: fitted ones (of ``history.iqr_bounds``, say) where given, else the batch's own."""
+    return df.filter(_outside(column, bounds or iqr_bounds(df, column, k, approx)))
+
+
+def winsorize(df: DataFrame, column: str, k: float = 1.5, approx: bool = False, bounds: Bounds | None = None) -> DataFrame:
+    """Clip to the outlier bounds, given or the batch's own; null stays null, and NaN becomes null."""
+    (lower, upper), value = bounds or iqr_bounds(df, column, k, approx), cleaning.known(F.col(column))
     clipped = F.least(F.greatest(value, F.lit(lower)), F.lit(upper))
     return df.withColumn(column, F.when(value.isNotNull(), clipped))
 

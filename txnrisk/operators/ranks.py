@@ -30,9 +30,9 @@ def _cuts(value: Column) -> Column:
     return F.percentile_approx(value, F.split(F.lit(_CUTS), ",").cast("array<double>"), _CUT_ACCURACY)
 
 
-def _bin(value: Column, cuts: Column) -> Column:
-    """How many cuts are <= value, by binary search."""
-    steps = F.array(*[F.lit(1 << b) for b in reversed(range(_BIN_BITS))])
+def binary_place(value: Column, cuts: Column, bits: int = _BIN_BITS) -> Column:
+    """How many of the 2^bits - 1 ascending cuts are <= value, by binary search."""
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(bits))])
     return F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(F.get(cuts, at + step - 1) <= value, step).otherwise(0))
 
 
@@ -43,7 +43,7 @@ def running_sums(df: DataFrame, order: str, sums: dict[str, str], descending: bo
     summed by its own task, from an offset out of the (at most BINS) totals of the pieces before.
     """
     cuts = df.agg(_cuts(F.col(order))).scalar()
-    placed = df.withColumn("_cuts", cuts).withColumn("_bin", _bin(F.col(order), F.col("_cuts"))).drop("_cuts")
+    placed = df.withColumn("_cuts", cuts).withColumn("_bin", binary_place(F.col(order), F.col("_cuts"))).drop("_cuts")
     way = F.desc if descending else F.asc
     # One row per piece, so this window over all pieces sorts at most BINS rows.
     before = Window.orderBy(way("_bin")).rowsBetween(Window.unboundedPreceding, -1)

@@ -398,3 +398,6 @@ ORACLES: dict[str, str] = {
         SELECT is_fraud, 0 AS synthetic, n FROM c UNION ALL SELECT arg_min(is_fraud, n), 1, max(n) - min(n) FROM c""",
 }
 ORACLES["velocity_carried"] = ORACLES["velocity_24h"]
+ORACLES["refit_quantiles"] = txn(_SKEWED) + " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", count({c}) AS n, """ + ", ".join(f"round(quantile_cont({c}::DOUBLE, {p}), 6) AS {q}" for p, q in
+    ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"), (0.95, "q95"))) + " FROM txn" for c in ("transaction_amount", "account_age_days", "ml_prob"))

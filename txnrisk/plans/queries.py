@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from txnrisk.functions import cleaning, fusion, reasons, rules
 from txnrisk.operators import alerts, clean, encode, features, metrics, models, profile, scaling, split
+from txnrisk.operators.history import refit, summarize
 from txnrisk.operators.smote import smote
 from txnrisk.plans import analytics, labels, training, views
 from txnrisk.plans.scoring import score
@@ -173,6 +174,21 @@ def outlier_bounds(spark, sf):
     return clean.outlier_bounds(skewed_orders(spark, sf), "transaction_amount").select(r("lower"), r("upper"), "outliers")
 
 
+@query
+def refit_quantiles(spark, sf):
+    """Each year of the skewed orders is summarized on its own, the last one later than the others; the quantiles of all years are
+    found from the summaries and the values near the wanted ranks."""
+    t = skewed_orders(spark, sf).withColumn("year", F.year("timestamp"))
+    columns, probs = ["transaction_amount", "account_age_days", "ml_prob"], [0.25, 0.5, 0.75, features.HIGH_QUANTILE]
+    last = t.agg(F.max("year")).first()[0]
+    before = summarize(t.filter(F.col("year") < last), columns, "year")
+    summaries = cut_lineage(before.unionByName(summarize(t.filter(F.col("year") == last), columns, "year")))
+    rows = [(c, n, *q) for c, (n, q) in refit(t, summaries, columns, probs, "year").items()]
+    names = ["q25", "q50", "q75", "q95"]
+    found = spark.createDataFrame(rows, "column string, n long, " + ", ".join(f"{q} double" for q in names))
+    return found.select("column", "n", *[r(q) for q in names])
+
+
 @query
 def outliers(spark, sf):
     return clean.outliers(skewed_orders(spark, sf), "transaction_amount").select("transaction_id", "transaction_amount")

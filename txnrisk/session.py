@@ -65,3 +65,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     return df.checkpoint() if named else df
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """Few rows that would come out differently if they were computed again, computed once: in the shared folder, or, where none
+    is named, by way of the driver."""
+    kept = cut_lineage(df)
+    return kept if kept is not df else df.sparkSession.createDataFrame(df.collect(), df.schema)
