@@ -15,7 +15,7 @@ from txnrisk.operators.ranks import binary_place, long_values, running_sums
 from txnrisk.operators.scaling import Scaler
 from txnrisk.session import BROADCAST_ROWS, broadcast_if_few, settled
 
-# The size of a sketch, and about twice the relative rank error it has (some 50 KB per partition and column).
+# The size of a sketch, and a margin that should exceed its relative rank error; exact counts show where it does not.
 _SKETCH = 2048
 _MARGIN = 0.005
 # Pieces of a partition whose values are counted, a power of two.
