@@ -64,7 +64,7 @@ def languages_by_hand(rows, dimensions, seed, folds=5):
 
 def test_languages_by_hand(spark, docs, small):
     """Every prototype and prediction once more, letter by letter."""
-    frame = docs.filter("doc_id <> 60 OR doc_id IS NULL").select("doc_id", "text", "lang").unionByName(small.filter("n_chars < 900").select("doc_id", "text", "lang"))
+    frame = docs.filter("doc_id <> 60 OR doc_id IS NULL").select("doc_id", "text", "lang").unionByName(small.filter("n_chars < 2500").select("doc_id", "text", "lang"))
     rows = [tuple(r) for r in frame.collect()]
     want = sorted(languages_by_hand(rows, 64, 7), key=repr)
     got = sorted((tuple(r) for r in language.identify(frame, dimensions=64).collect()), key=repr)

@@ -8,26 +8,39 @@ greatest cosine to it.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.functions import ArrowUDFType
 
-from txnrisk.llm.text import id_remainder, needed, portions, sorted_counts, with_text
+from txnrisk.llm.text import id_remainder, needed, portions, sorted_counts
 
 DIMENSIONS = 512
 #: Vectors of n-grams that a task remembers; beyond that it starts afresh.
 REMEMBERED = 1 << 15
+#: Of these, how many are added up at a time.
+AT_ONCE = 1 << 11
 UNKNOWN = "und"
 
 
+@functools.cache
+def letters() -> np.ndarray:
+    """For each code point its letter in lower case, 0 if it is none; made once in a process."""
+    table = np.zeros(0x110000, np.uint32)
+    for code in range(0x110000):
+        if (c := chr(code)).isalpha():
+            table[code] = ord(low) if len(low := c.lower()) == 1 else code
+    return table
+
+
 class Alphabet:
     """From code points to letters: lower case, anything that is no letter becomes 0, the gap between words."""
 
     def __init__(self):
-        every = [chr(c) if not 0xD800 <= c < 0xE000 else " " for c in range(0x110000)]
-        self.letter = np.array([ord(low) if c.isalpha() and len(low := c.lower()) == 1 else ord(c) if c.isalpha() else 0 for c in every], np.uint32)
+        self.letter = letters()
 
     def grams(self, text: str) -> np.ndarray:
         """The text's trigrams of letters and gaps, as numbers; gaps in a row are one, and one stands at either end."""
@@ -45,13 +58,14 @@ class Vectors:
     def __init__(self, dimensions: int, seed: int):
         self.dimensions, self.seed, self.letters = dimensions, seed, {}
         self.forget()
+        self.table = np.empty((REMEMBERED, dimensions), np.int8)
 
     def forget(self) -> None:
-        self.known, self.row, self.table = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty((0, self.dimensions), np.float32)
+        self.known, self.row = np.empty(0, np.uint64), np.empty(0, np.int64)
 
     def letter(self, code: int) -> np.ndarray:
         if code not in self.letters:
-            self.letters[code] = np.random.default_rng((self.seed, code)).integers(0, 2, self.dimensions).astype(np.float32) * 2 - 1
+            self.letters[code] = np.random.default_rng((self.seed, code)).integers(0, 2, self.dimensions).astype(np.int8) * 2 - 1
         return self.letters[code]
 
     def rows(self, grams: np.ndarray) -> np.ndarray:
@@ -62,23 +76,23 @@ class Vectors:
             if len(self.known) and len(self.known) + len(new) > REMEMBERED:
                 self.forget()
                 return self.rows(grams)
-            made = np.empty((len(new), self.dimensions), np.float32)
-            for i, gram in enumerate(new.tolist()):
+            start = len(self.known)
+            for i, gram in enumerate(new.tolist(), start):
                 a, b, c = gram >> 42, gram >> 21 & 0x1FFFFF, gram & 0x1FFFFF
-                made[i] = np.roll(self.letter(a), 2) * np.roll(self.letter(b), 1) * self.letter(c)
-            known, row = np.concatenate((self.known, new)), np.concatenate((self.row, np.arange(len(self.table), len(self.table) + len(new))))
+                self.table[i] = np.roll(self.letter(a), 2) * np.roll(self.letter(b), 1) * self.letter(c)
+            known, row = np.concatenate((self.known, new)), np.concatenate((self.row, np.arange(start, start + len(new))))
             order = np.argsort(known)
-            self.known, self.row, self.table = known[order], row[order], np.concatenate((self.table, made))
+            self.known, self.row = known[order], row[order]
             at = np.searchsorted(self.known, grams)
         return self.row[at]
 
     def bundle(self, grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """The sum of the vectors of ``grams``, in pieces of bounded size."""
         total = np.zeros(self.dimensions)
-        for at in range(0, len(grams), REMEMBERED // 4):
-            part = slice(at, at + REMEMBERED // 4)
+        for at in range(0, len(grams), AT_ONCE):
+            part = slice(at, at + AT_ONCE)
             rows = self.rows(grams[part])
-            total += counts[part].astype(np.float32) @ self.table[rows]
+            total += counts[part].astype(np.float32) @ self.table[rows].astype(np.float32)
         return total
 
 
@@ -111,21 +125,18 @@ def learn(docs: DataFrame, folds: int = 5, dimensions: int = DIMENSIONS, seed: i
     return {k: v / np.linalg.norm(v) for k, v in sorted(prototypes.items()) if np.linalg.norm(v) > 0}
 
 
-def with_language(docs: DataFrame, prototypes: dict[str, np.ndarray], carry: list[str], dimensions: int = DIMENSIONS, seed: int = 7) -> DataFrame:
-    """The ``carry`` columns (named c0, c1, ...), lang_pred, score and grams (the text's trigrams), from ``text`` alone; one map, no shuffle.
-    Without a column ``text`` it is that of the first carried column, a struct."""
-    text = [F.col("text").alias("t")] if "text" in docs.columns else []
-    source = docs.select(*[F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(carry)], *text)
-    schema = T.StructType(source.schema.fields[: len(carry)]).add("lang_pred", "string").add("score", "double").add("grams", "long")
-    held = docs.sparkSession.sparkContext.broadcast((list(prototypes), np.array(list(prototypes.values())).reshape(len(prototypes), dimensions)))
+def language_of(spark: SparkSession, prototypes: dict[str, np.ndarray], dimensions: int = DIMENSIONS, seed: int = 7) -> Callable[[Column], Column]:
+    """From a text to a struct of lang_pred, score and grams (the text's trigrams). Only texts go to the Python workers, and only
+    these three values come back; the rest of a row stays where it is."""
+    held = spark.sparkContext.broadcast((list(prototypes), np.array(list(prototypes.values())).reshape(len(prototypes), dimensions)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         alphabet, vectors = Alphabet(), Vectors(dimensions, seed)
         names, against = held.value
-        for batch in portions(with_text(batches, "c0", "t"), "t"):
+        for texts in columns:
             found, scores, lengths = [], [], []
-            for text in batch.column("t").to_pylist():
-                grams = alphabet.grams(text or "")
+            for text in texts:
+                grams = alphabet.grams(text.as_py() or "")
                 lengths.append(len(grams))
                 if not len(grams) or not names:
                     found.append(UNKNOWN)
@@ -137,9 +148,9 @@ def with_language(docs: DataFrame, prototypes: dict[str, np.ndarray], carry: lis
                 best = int(np.argmax(cosines))
                 found.append(names[best])
                 scores.append(float(min(1.0, max(0.0, cosines[best]))))
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(carry))], pa.array(found, pa.string()), pa.array(scores, pa.float64()), pa.array(lengths, pa.int64())], names=[*(f"c{i}" for i in range(len(carry))), "lang_pred", "score", "grams"])
+            yield pa.StructArray.from_arrays([pa.array(found, pa.string()), pa.array(scores, pa.float64()), pa.array(lengths, pa.int64())], ["lang_pred", "score", "grams"])
 
-    return source.mapInArrow(run, schema)
+    return F.arrow_udf(run, "lang_pred string, score double, grams long", ArrowUDFType.SCALAR_ITER)
 
 
 def identify(docs: DataFrame, folds: int = 5, **options) -> DataFrame:
@@ -149,8 +160,9 @@ def identify(docs: DataFrame, folds: int = 5, **options) -> DataFrame:
     text). ``score`` is the cosine to the winning prototype, cut to 0..1. A null text, a text without letters, and every text if
     nothing could be learned, gets ``und`` and 0. Ties go to the first language in code point order. Empty tables give no rows.
     """
-    rows = with_language(docs, learn(docs, folds, **options), ["doc_id"], **options)
-    return rows.select(F.col("c0").alias("doc_id"), (id_remainder(F.col("c0"), folds) == 0).alias("held_out"), "lang_pred", "score")
+    said = language_of(docs.sparkSession, learn(docs, folds, **options), **options)
+    rows = needed(docs, "doc_id", "text").select("doc_id", said("text").alias("said"))
+    return rows.select("doc_id", (id_remainder(F.col("doc_id"), folds) == 0).alias("held_out"), "said.lang_pred", "said.score")
 
 
 def in_a_language(docs: DataFrame, least: float = 0.08, sure: int = 60, folds: int = 5, **options) -> DataFrame:
@@ -159,6 +171,5 @@ def in_a_language(docs: DataFrame, least: float = 0.08, sure: int = 60, folds: i
     A text of fewer than ``sure`` trigrams can't be told from chance by its cosine, so it goes only if it has no letters. Null and
     empty texts go, and all texts if nothing could be learned. Repeated rows share their fate. An empty table gives no rows.
     """
-    whole = docs.select(F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("row"))
-    rows = with_language(whole, learn(docs, folds, **options), ["row"], **options)
-    return rows.filter((F.col("lang_pred") != UNKNOWN) & ((F.col("score") >= least) | (F.col("grams") < sure))).select("c0.*")
+    said = language_of(docs.sparkSession, learn(docs, folds, **options), **options)("text")
+    return docs.filter((said["lang_pred"] != UNKNOWN) & ((said["score"] >= least) | (said["grams"] < sure)))

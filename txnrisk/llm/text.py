@@ -77,13 +77,6 @@ def portions(batches: Iterator[pa.RecordBatch], name: str = "text", most: int =
                 yield batch.slice(at, upto - at)
 
 
-def with_text(batches: Iterator[pa.RecordBatch], row: str, name: str) -> Iterator[pa.RecordBatch]:
-    """The batches with column ``name``, the text inside the whole rows ``row`` where it doesn't come on its own, so that texts
-    aren't sent to Python twice."""
-    for batch in batches:
-        yield batch if name in batch.schema.names else batch.append_column(name, batch.column(row).field("text"))
-
-
 def needed(docs: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that other columns of the input can't clash with those an operator adds."""
     return docs.select(*[F.col(f"`{n}`") for n in names])
