@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from txnrisk.llm import exact_dedup, language, mixing, near_dedup, packing
 from txnrisk.llm.shared import written
 
+#: Documents that a task sends to Python at a time, from the mix on.
+BATCH = 2000
+
 ORACLE_SQL = None  # language profiles, sampling and packing have no SQL twin; tests hold the rows against brute force
 
 
@@ -26,8 +29,14 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return near_dedup.one_of_each_group(docs)
 
 
+def in_small_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python some thousand at a time, not Spark's 10,000: a task holds a batch several times over, on either side."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
+    in_small_batches(spark)
     return mixing.mixed_rows(docs)
 
 

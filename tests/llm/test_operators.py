@@ -449,6 +449,14 @@ def test_mixed_rows(docs, empty):
     assert mixing.mixed_rows(empty).count() == 0
 
 
+def test_whole_rows_of_the_mix_stay_out_of_python(docs):
+    """Ids and texts go to Python once; what comes back are a size and a key."""
+    plan = mixing.mixed_rows(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and plan.count("ArrowEvalPython") == 1
+    keys = docs.select("doc_id", "text", mixing.key_of().alias("k")).select("doc_id", "k.size", "k.u")
+    assert sorted(map(repr, keys.collect())) == sorted(map(repr, mixing.keyed(docs, ["doc_id"]).withColumnRenamed("c0", "doc_id").collect()))
+
+
 def test_heavier_documents_come_first(spark):
     """With weights 3 to 1 and half of all words wanted, the heavier half is taken about three times as often at first."""
     frame = spark.createDataFrame([(i, "s", ("heavy" if i % 2 else "light") + " w" * 9) for i in range(4000)], "doc_id long, source string, text string")

@@ -16,6 +16,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql.functions import ArrowUDFType
 
 from txnrisk.llm.shared import written
 from txnrisk.llm.text import needed, portions, texts_of
@@ -60,6 +61,15 @@ def cyclic_weights(sources: list) -> dict:
     return {s: 1 + i % 3 for i, s in enumerate(ordered)}
 
 
+def sizes_and_keys(batch: pa.RecordBatch, quality: Callable[[bytes], float], seed: int) -> tuple[pa.Array, pa.Array]:
+    """``size`` and ``u`` of documents with the columns id and t."""
+    texts, ids = texts_of(batch, "t"), batch.column("id").to_pylist()
+    size = [len(t.split()) for t in texts]
+    r = np.array([(xxhash.xxh3_64_intdigest(t, seed) ^ xxhash.xxh3_64_intdigest(str(i), seed + 1)) + 1 for t, i in zip(texts, ids, strict=True)], float) / 2.0**64
+    key = -np.log(r) / np.array([max(quality(t), 1e-9) for t in texts])
+    return pa.array(size, pa.int64()), pa.array(key / (1 + key))
+
+
 def keyed(docs: DataFrame, carry: list[str], quality: Callable[[bytes], float] = letter_share, seed: int = 0) -> DataFrame:
     """The ``carry`` columns with ``size`` (words) and ``u`` in [0, 1), the exponential key mapped by key / (1 + key).
 
@@ -71,15 +81,26 @@ def keyed(docs: DataFrame, carry: list[str], quality: Callable[[bytes], float] =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches, "t"):
-            texts, ids = texts_of(batch, "t"), batch.column("id").to_pylist()
-            size = [len(t.split()) for t in texts]
-            r = np.array([(xxhash.xxh3_64_intdigest(t, seed) ^ xxhash.xxh3_64_intdigest(str(i), seed + 1)) + 1 for t, i in zip(texts, ids, strict=True)], float) / 2.0**64
-            key = -np.log(r) / np.array([max(quality(t), 1e-9) for t in texts])
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(carry))], pa.array(size, pa.int64()), pa.array(key / (1 + key))], schema=None, names=[*(f"c{i}" for i in range(len(carry))), "size", "u"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(carry))], *sizes_and_keys(batch, quality, seed)], schema=None, names=[*(f"c{i}" for i in range(len(carry))), "size", "u"])
 
     return source.mapInArrow(run, schema)
 
 
+def key_of(quality: Callable[[bytes], float] = letter_share, seed: int = 0) -> Column:
+    """The same ``size`` and ``u`` as a struct beside whole rows: only ids and texts go to the Python workers, and only these two
+    numbers come back."""
+
+    def run(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for id_, t in columns:
+            parts = [sizes_and_keys(p, quality, seed) for p in portions([pa.RecordBatch.from_arrays([id_, t], ["id", "t"])], "t")]
+            size, u = (pa.concat_arrays(x) for x in zip(*parts)) if parts else (pa.array([], pa.int64()), pa.array([], pa.float64()))
+            yield pa.StructArray.from_arrays([size, u], ["size", "u"])
+
+    # Called so, it is computed once a row; a filter on its result would move below it with a call of its own.
+    key = F.arrow_udf(run, "size long, u double", ArrowUDFType.SCALAR_ITER).asNondeterministic()
+    return key(F.col("doc_id").cast("string"), F.col("text").cast("binary"))
+
+
 def cut_offs(marks: DataFrame, budgets: DataFrame) -> DataFrame:
     """Per source: ``cut`` (documents with a smaller u are taken), ``spans`` (of those behind it, the ones with a u from ``low`` to
     below ``high`` and a size of at most ``most`` are taken) and ``extra`` (the u of one more document, or null).
@@ -258,8 +279,8 @@ def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` with all their columns, each as often as the mix takes it."""
     names = docs.columns
     decided = plan(needed(docs, "doc_id", "source", "text"), **options).alias("p")
-    whole = docs.select("doc_id", "source", "text", F.struct(*[F.col(f"`{n}`") for n in names]).alias("row"))
-    rows = keyed(whole, ["source", "row"], options.get("quality", letter_share), options.get("seed", 0)).alias("d")
-    both = rows.join(decided, F.col("d.c0").eqNullSafe(F.col("p.source")), "left")
-    times = copies(F.col("u"), F.col("size"))
-    return both.filter((times > 0) & (F.col("size") > 0)).select(F.col("c1").alias("row"), F.explode(F.sequence(F.lit(1), times)).alias("nth")).select("row.*")
+    key = key_of(options.get("quality", letter_share), options.get("seed", 0))
+    rows = docs.select(F.col("source").alias("of"), F.struct(*[F.col(f"`{n}`") for n in names]).alias("row"), key.alias("key")).alias("d")
+    both = rows.join(decided, F.col("d.of").eqNullSafe(F.col("p.source")), "left")
+    size, times = F.col("key.size"), copies(F.col("key.u"), F.col("key.size"))
+    return both.filter((times > 0) & (size > 0)).select("row", F.explode(F.sequence(F.lit(1), times)).alias("nth")).select("row.*")
