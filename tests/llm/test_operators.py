@@ -541,6 +541,21 @@ def test_all_digits_and_all_standalone_marks_count():
     assert all(b"~" + m in quality.content_words(b"one " + m + b" two") for m in marks)
 
 
+def test_features_are_kept_as_bytes(docs, empty):
+    """What the exchanges read holds no lists of numbers; read back, it is the features of each document."""
+    rows = docs.select("doc_id", "source", "lang", "text")
+    made = quality.with_features(rows.coalesce(1))
+    assert {f.dataType.typeName() for f in made.schema.fields if f.name != "doc_id"} == {"binary"}
+    table, texts = made.toArrow().combine_chunks(), rows.coalesce(1).collect()
+    for batch in (table.to_batches()[0], table.to_batches()[0].slice(5, 9), table.to_batches()[0].slice(0, 0)):
+        about = texts if batch.num_rows == len(texts) else texts[5:14] if batch.num_rows else []
+        for (flat, owner), of in zip(quality.places_of(batch), (
+                lambda r: quality.text_features((r["text"] or "").encode(), quality.KnownPlaces()),
+                lambda r: quality.meta_features((r["text"] or "").encode(), r["source"], r["lang"])), strict=True):
+            assert [sorted(of(r)) for r in about] == [flat[owner == i].tolist() for i in range(len(about))]
+    assert quality.with_features(empty.select("doc_id", "source", "lang", "text")).count() == 0
+
+
 def test_views_learn_in_turn_from_all_unlabelled_documents(spark, monkeypatch):
     """Words and sources form a chain that starts at the labels: each link is learned only after the one before it, from the
     other view. One exchange reaches the first link only."""

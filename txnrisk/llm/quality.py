@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -71,7 +72,7 @@ class KnownPlaces(dict):
 
 
 def text_features(text: bytes, known: dict[bytes, tuple[int, ...]], marks: list[bytes] | None = None) -> set[int]:
-    return {p for word in content_words(text, marks) for p in known[word]}
+    return set().union(*map(known.__getitem__, content_words(text, marks)))
 
 
 def meta_features(text: bytes, source: str | None, lang: str | None, runs: list[bytes] | None = None) -> set[int]:
@@ -107,7 +108,7 @@ class View:
 
 
 def unpacked(places: int, at: np.ndarray | None, weights: np.ndarray, intercept: float) -> View:
-    dense = np.zeros(places)
+    dense = np.zeros(places, np.float32)
     dense[slice(None) if at is None else at] = weights
     return View(dense, intercept)
 
@@ -174,28 +175,53 @@ def known_labels(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", "quality", "toxic").filter("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
 
 
+#: The feature places of a document, ascending, as bytes: those of the text by their lower 16 bits and by the bits above, which
+#: repeat and so take little room, and those of the metadata. Bytes go to and from the tasks as they are, number by number would not.
+FEATURES = {"text": np.uint16, "text_high": np.uint8, "meta": np.uint16}
+
+
+def as_bytes(values: np.ndarray, lengths: list[int]) -> pa.Array:
+    """The values of all documents in a row, cut into one binary for each."""
+    ends = np.concatenate(([0], np.cumsum(lengths, dtype=np.int64))) * values.itemsize
+    return pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
+
+
+def from_bytes(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The values of all documents in a row, and how many each has."""
+    if not len(column):
+        return np.empty(0, kind), np.empty(0, np.int64)
+    column = column.cast(pa.large_binary())
+    _, ends, data = column.buffers()
+    ends = np.frombuffer(ends, np.int64)[column.offset : column.offset + len(column) + 1]
+    flat = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].view(kind) if ends[-1] > ends[0] else np.empty(0, kind)
+    return flat, np.diff(ends) // np.dtype(kind).itemsize
+
+
 def with_features(docs: DataFrame) -> DataFrame:
-    """doc_id, text, meta (ascending feature places) from rows with doc_id, source, lang and text."""
+    """doc_id and ``FEATURES`` from rows with doc_id, source, lang and text."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = KnownPlaces()
         for batch in portions(batches):
-            one, two = [], []
+            one, two, lengths = array("i"), array("i"), ([], [])
             for text, source, lang in zip(*(batch.column(c).to_pylist() for c in ("text", "source", "lang")), strict=True):
                 text = text or b""
                 marks = MARKS.findall(text)
-                one.append(sorted(text_features(text, known, marks)))
-                two.append(sorted(meta_features(text, source, lang, marks)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(one, pa.list_(pa.int32())), pa.array(two, pa.list_(pa.int32()))], ["doc_id", "text", "meta"])
+                for flat, n, found in zip((one, two), lengths, (text_features(text, known, marks), meta_features(text, source, lang, marks)), strict=True):
+                    flat.extend(sorted(found))
+                    n.append(len(found))
+            flat, meta = (np.array(x, np.int32) for x in (one, two))
+            made = [as_bytes(flat.astype(np.uint16), lengths[0]), as_bytes((flat >> 16).astype(np.uint8), lengths[0]), as_bytes(meta.astype(np.uint16), lengths[1])]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *made], ["doc_id", *FEATURES])
 
-    return rows.mapInArrow(run, "doc_id long, text array<int>, meta array<int>")
+    return rows.mapInArrow(run, "doc_id long, text binary, text_high binary, meta binary")
 
 
 def featured(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The features of all documents with their labels (quality, toxic; null where there is none)."""
     known = broadcast_few(written(known_labels(labels)))
-    return with_features(docs).join(known, "doc_id", "left").select("doc_id", F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic"), "text", "meta")
+    return with_features(docs).join(known, "doc_id", "left").select("doc_id", F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic"), *FEATURES)
 
 
 def sampled(table: DataFrame, sample: int) -> DataFrame:
@@ -237,8 +263,8 @@ class Judge:
 
 def places_of(batch: pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray]]:
     """For either view the feature places of all documents in a row, and whose they are."""
-    lists = [batch.column(name) for name, _ in VIEWS]
-    return [(x.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(batch.num_rows), x.value_lengths().to_numpy(zero_copy_only=False))) for x in lists]
+    (low, n), (high, _), (meta, m) = (from_bytes(batch.column(name), kind) for name, kind in FEATURES.items())
+    return [(flat, np.repeat(np.arange(batch.num_rows), of)) for flat, of in ((low | high.astype(np.int32) << 16, n), (meta.astype(np.int32), m))]
 
 
 def summed(view: View, flat: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
@@ -289,7 +315,7 @@ def tally(rows: DataFrame, now: tuple | None = None, before: tuple | None = None
                     np.full(len(at) + 1, t, np.int32), np.full(len(at) + 1, v, np.int32), np.append(place, NEW).astype(np.int32), np.append(total[0, at], 0), np.append(total[1, at], new[t, v]))],
                     ["target", "view", "place", "zeros", "ones"])
 
-    made = rows.select("text", "meta", *TARGETS).mapInArrow(run, "target int, view int, place int, zeros long, ones long")
+    made = rows.select(*FEATURES, *TARGETS).mapInArrow(run, "target int, view int, place int, zeros long, ones long")
     found = made.groupBy("target", "view", "place").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones")).toArrow()
     target, view, place, zeros, ones = (found.column(c).to_numpy() for c in ("target", "view", "place", "zeros", "ones"))
     counts = [[np.zeros((2, places + 1)) for _, places in VIEWS] for _ in TARGETS]
@@ -348,7 +374,7 @@ def found_odds(rows: DataFrame, sent: Broadcast) -> list[list[tuple[float, float
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, t, np.int32)), *map(pa.array, sums), batch.column(target)], ["target", "text_odds", "meta_odds", "label"])
 
     found: list[list] = [[] for _ in TARGETS]
-    for t, x, z, y in rows.select("text", "meta", *TARGETS).mapInArrow(run, "target int, text_odds double, meta_odds double, label int").collect():
+    for t, x, z, y in rows.select(*FEATURES, *TARGETS).mapInArrow(run, "target int, text_odds double, meta_odds double, label int").collect():
         found[t].append((x, z, y))
     return found
 
@@ -376,4 +402,4 @@ def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, ro
             found = [m.probability(*(summed(view, *x, batch.num_rows) for view, x in zip((m.text, m.meta), lists, strict=True))) for m in held.value]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, found), pa.array((found[0] >= 0.5) & (found[1] < 0.5))], ["doc_id", "quality", "toxic", "kept"])
 
-    return table.select("doc_id", "text", "meta").mapInArrow(run, "doc_id long, quality double, toxic double, kept boolean")
+    return table.select("doc_id", *FEATURES).mapInArrow(run, "doc_id long, quality double, toxic double, kept boolean")
