@@ -84,3 +84,19 @@ def test_unrefuted_pairs(spark, crowd):
                 if 5 * min(a[6], b[6]) >= 4 * max(a[6], b[6]) and 9 * apart <= a[6] + b[6]:
                     want.add((a[1], b[1]))
     assert got == want and len(want) > 100
+
+
+def test_pairs_of_a_large_group(spark, monkeypatch):
+    """Copies with one other word each share most of their keys; a round draws some sets for each copy, not one for each key."""
+    text, n = [f"w{i}" for i in range(400)], 300
+    rows = [(i, " ".join([*text[:i], f"new{i}", *text[i + 1 :]])) for i in range(n)] + [(1000 + i, f"apart {i} " * 9) for i in range(20)]
+    drawn, compared = [], near_dedup.compared
+
+    def counted(pairs, *more):
+        drawn.append(pairs.count())
+        return compared(pairs, *more)
+
+    monkeypatch.setattr(near_dedup, "compared", counted)
+    got = near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), k=5).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: 0 if i < n else i for i, _ in rows}
+    assert n - 1 <= drawn[0] <= 20 * n, drawn

@@ -36,6 +36,8 @@ BITS = 2048
 WORDS, CROWD = BITS // 64, 8192
 #: Rounds of comparisons with drawn sets, and how many of the nearest of these are confirmed for each set.
 ROUNDS, NEAREST = 3, 4
+#: Orders of all sets in a round, by which sets are drawn.
+ORDERS = 4
 #: Shingles whose hashes are permuted at a time, bytes of text whose words are held at a time, pairs that are confirmed at a time
 #: and sets held for them.
 BLOCK, PORTION, PAIRS, HELD = 1 << 12, 1 << 20, 512, 64
@@ -175,6 +177,19 @@ def shared_keys(index: DataFrame) -> DataFrame:
     return index.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, sid long")
 
 
+def drawn_pairs(labelled: DataFrame, number: int) -> DataFrame:
+    """Each set (``of``) with the sets (a, b: the two in order) drawn under its keys (key, sid, component) in a round, from other components.
+
+    Keys are dealt into ``ORDERS`` classes, and in a class the first of its sets in one order of all sets is drawn under every key. So
+    keys that the sets of a group share draw the same few sets, not one for each key: a group of n near copies gives
+    some pairs for each of its sets, however many keys these share.
+    """
+    order = F.pmod("key", F.lit(ORDERS))
+    draw = F.struct(F.xxhash64(order, "sid", F.lit(number)).alias("h"), "sid", "component")
+    drawn = labelled.groupBy("key").agg(F.min(draw).alias("d")).select("key", F.col("d.sid").alias("r"), F.col("d.component").alias("other"))
+    return labelled.join(drawn, "key").filter("component != other").select(F.least("r", "sid").alias("a"), F.greatest("r", "sid").alias("b"), F.col("sid").alias("of")).distinct()
+
+
 def compared(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
     """The pairs (a, b, of) that aren't refuted, with a ``distance``."""
     x, y = (sets.select(F.col("sid").alias(f"sid_{s}"), "n", "bits").alias(s) for s in "xy")
@@ -289,9 +304,7 @@ def links(docs: DataFrame, sets: DataFrame, k: int, share: tuple[int, int]) -> D
     labelled = members.withColumn("component", F.col("sid"))
     found = tested = old = None
     for number in range(ROUNDS):
-        draw = F.struct(F.xxhash64("key", "sid", F.lit(number)).alias("h"), "sid", "component")
-        drawn = labelled.groupBy("key").agg(F.min(draw).alias("d")).select("key", F.col("d.sid").alias("r"), F.col("d.component").alias("other"))
-        pairs = labelled.join(drawn, "key").filter("component != other").select(F.least("r", "sid").alias("a"), F.greatest("r", "sid").alias("b"), F.col("sid").alias("of")).distinct()
+        pairs = drawn_pairs(labelled, number)
         pairs = pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
         # A set has at most as many of these as it has keys.
         rank = F.row_number().over(Window.partitionBy("of").orderBy("distance", "a", "b"))
